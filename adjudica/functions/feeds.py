@@ -28,7 +28,7 @@ def track_sector(sector: Column | str, message: Column | str) -> Column:
     value = as_col(sector).cast("string")
     named = F.regexp_extract_all(F.upper(or_empty(message)), F.lit(r"\bSECTOR\s*([123])\b"), F.lit(1))
     mini = F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), value.try_cast("int"))
-    third = F.least(F.floor((mini - 1) / 8) + 1, F.lit(3)).cast("string")
+    third = F.when(mini.isNotNull(), F.least(F.floor((mini - 1) / 8) + 1, F.lit(3)).cast("string"))
     return (
         F.when(value.isin("1", "2", "3"), value)
         .when(F.size(named) > 0, F.array_min(named))

@@ -11,8 +11,17 @@ from adjudica.functions.blanks import as_col, number, or_empty, strip
 from adjudica.functions.text import contains_any, driver_at_fault, normalize_text
 
 
+def at_least(value: Column, bound: float) -> Column:
+    """Lower bound that keeps NULL (``greatest`` would skip it)."""
+    return F.when(value.isNotNull(), F.greatest(value, F.lit(bound)))
+
+
+def at_most(value: Column, bound: float) -> Column:
+    return F.when(value.isNotNull(), F.least(value, F.lit(bound)))
+
+
 def years_in_sport(season: Column | str, debut: Column | str) -> Column:
-    return F.greatest(as_col(season).cast("int") - as_col(debut).try_cast("int"), F.lit(0))
+    return at_least(as_col(season).cast("int") - as_col(debut).try_cast("int"), 0)
 
 
 def first_named_driver(drivers: Column) -> Column:
@@ -102,7 +111,7 @@ def completion(lap: Column | str, full: Column | str) -> Column:
 
 def valid_lap_remaining(lap: Column | str, full: Column | str) -> Column:
     """Whole laps left, never negative; used when exporting."""
-    return F.greatest(number(full).cast("int") - number(lap).cast("int"), F.lit(0))
+    return at_least(number(full).cast("int") - number(lap).cast("int"), 0)
 
 
 def valid_completion(lap: Column | str, full: Column | str) -> Column:
@@ -125,7 +134,7 @@ def race_stage(completion_pct: Column | str, bins: Sequence[float] = RACE_STAGE_
 
 def round_progress(round_: Column | str, rounds: Column | str) -> Column:
     ratio = F.try_divide(number(round_), F.nullif(number(rounds), F.lit(0.0)))
-    return F.when(ratio.isNotNull(), F.least(F.greatest(ratio, F.lit(0.0)), F.lit(1.0)))
+    return at_most(at_least(ratio, 0.0), 1.0)
 
 
 def is_last_round(round_: Column | str, rounds: Column | str) -> Column:
@@ -133,8 +142,7 @@ def is_last_round(round_: Column | str, rounds: Column | str) -> Column:
 
 
 def points_remaining(round_: Column | str, rounds: Column | str, per_race: float) -> Column:
-    left = number(rounds) - number(round_)
-    return F.when(left.isNotNull(), F.greatest(left, F.lit(0.0)) * float(per_race))
+    return at_least(number(rounds) - number(round_), 0.0) * float(per_race)
 
 
 def similarity_value(value: Column | str) -> Column:
