@@ -116,7 +116,7 @@ def session_keys(wanted: DataFrame, sessions: DataFrame) -> DataFrame:
     lowered = F.lower(or_empty("session"))
     target = session_type("session")
     rows = (asked.drop("want").join(meeting, ["season", "event"])
-            .join(sessions.drop("seq").withColumn("_seq", sessions["seq"]), ["season", "meeting_key"]))
+            .join(sessions.withColumnRenamed("seq", "_seq"), ["season", "meeting_key"]))
     direct = (F.col("session_type") == target) | (F.col("session_name") == target)
     practice = (lowered == "practice") & F.col("session_type").startswith("Practice")
     ranked = rows.withColumn(

@@ -169,4 +169,4 @@ def _(spark, sf):
     return rows.select("row_id", "driver_penalties_last_5_races", "driver_warnings_last_10_races", "normative_penalty_detail")
 
 
-HISTORY_SQL = f"WITH {_GRAIN}, h AS (SELECT driver, season, round, {_AGGREGATES} FROM p GROUP BY ALL)"
+HISTORY_SQL = f"{_GRAIN}, h AS (SELECT driver, season, round, {_AGGREGATES} FROM p GROUP BY ALL)"

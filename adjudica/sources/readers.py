@@ -68,27 +68,32 @@ def read_processed(spark: SparkSession, paths: Sequence[str], ordered: bool = Tr
     return rows.orderBy(F.col("season").asc_nulls_last(), F.col("round").asc_nulls_last(), "incident_id")
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed documents, one JSON object per file; failure lists are skipped."""
-    rows = spark.read.schema(S.DOCUMENT).option("multiLine", True).json(path)
+def read_documents(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    """Parsed documents, one JSON object per file or per line; failure lists are skipped."""
+    rows = spark.read.schema(S.DOCUMENT).option("multiLine", one_per_file).json(path)
     return rows.where(~F.col("_metadata.file_name").endswith("_failures.json") & F.col("document_id").isNotNull())
 
 
-def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.CATALOGUE).option("multiLine", True).json(path)
+def read_catalogue(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    return spark.read.schema(S.CATALOGUE).option("multiLine", one_per_file).json(path)
 
 
 def read_raw_texts(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Whole text files as (document_id, raw_text), and the unreadable ones as failures."""
-    rows = spark.read.text(path, wholetext=True).select(
+    """Whole text files, one document each."""
+    return usable_texts(spark.read.text(path, wholetext=True).select(
         F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.txt$", 1).alias("document_id"),
-        F.translate("value", ODD_SPACES, "  ").alias("raw_text"))
+        F.col("value").alias("raw_text")))
+
+
+def usable_texts(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(document_id, raw_text) rows with text, and the others as failures."""
+    rows = rows.withColumn("raw_text", F.translate(or_empty("raw_text"), ODD_SPACES, "  "))
     good = strip("raw_text") != ""
     return rows.where(good), rows.where(~good).select("document_id", F.lit("empty text").alias("error"))
 
 
-def read_meta(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(S.META).option("multiLine", True).json(path)
+def read_meta(spark: SparkSession, path: str, one_per_file: bool = True) -> DataFrame:
+    return spark.read.schema(S.META).option("multiLine", one_per_file).json(path)
 
 
 def _keyed(spark: SparkSession, path: str, schema: str) -> DataFrame:
