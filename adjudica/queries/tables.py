@@ -25,7 +25,7 @@ def season_files(spark, sf) -> str:
     rows = quality.conform(roles.multi_incidents(spark, sf))
     for season in present_seasons(rows):
         part = rows.where(F.col("season") == str(season))
-        legend = part.limit(1).withColumns({"incident_id": F.lit("* legend"), "drivers": F.lit("**")})
+        legend = quality.conform(spark.range(1).select(F.lit("* legend").alias("incident_id"), F.lit("**").alias("drivers")))
         writers.write_csv(part.unionByName(legend), f"{root}/processed_{season}.csv")
     return root
 
@@ -87,11 +87,11 @@ def _(spark, sf):
     50 + n_nationkey AS total_laps, 2 AS sector_of_turn_8, n_nationkey AS ordinal FROM nation WHERE n_regionkey <> 4""")
 def _(spark, sf):
     ring = circuits(spark, sf)
-    value = F.struct("country", "first_season", "total_laps", "event_name", "corners")
+    value = F.to_json(F.struct("country", "first_season", "total_laps", "event_name", "corners"))
     # A curated dimension of one row per circuit becomes one keyed object.
-    entries = F.array_sort(F.collect_list(F.struct("ordinal", "circuit", value.alias("v"))))
-    keyed = ring.agg(entries.alias("e")).select(F.to_json(F.map_from_entries(F.transform(
-        "e", lambda x: F.struct(x["circuit"].alias("key"), x["v"].alias("value"))))).alias("value"))
+    member = F.concat(F.lit('"'), F.col("circuit"), F.lit('":'), value)
+    listed = ring.agg(F.array_sort(F.collect_list(F.struct("ordinal", member.alias("m")))).alias("e"))
+    keyed = listed.select(F.concat(F.lit("{"), F.array_join("e.m", ","), F.lit("}")).alias("value"))
     path = writers.write_texts(keyed, new_path(spark, "circuits"))
     back = readers.read_circuits(spark, path)
     back = back.select("circuit", "country", "first_season", "total_laps", F.try_element_at("corners", F.lit("8")).alias("sector_of_turn_8"))
