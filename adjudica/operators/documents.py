@@ -82,8 +82,8 @@ def primary_documents(docs: DataFrame, seq: str = "seq", include_event: bool = F
                       by_season: bool = True) -> DataFrame:
     """One document per (season, car, session, fact): corrections, then decisions, then input order.
 
-    A best-of aggregate instead of a ranking window: map-side partial results mean a cluster
-    with very many copies ships one row per task.
+    A best-of aggregate that carries the whole row: partial results mean a cluster with very
+    many copies ships one row per task, and the documents are parsed only once.
     """
     f = F.col("parsed_fields")
     keys = {"_car": or_empty(f["car_number"]), "_session": or_empty(f["session"]),
@@ -95,8 +95,8 @@ def primary_documents(docs: DataFrame, seq: str = "seq", include_event: bool = F
     good = docs.where(is_eligible(F.col("document_type"), f["fact"], f["decision"]))
     rank = F.struct(document_rank("title", F.col("document_type")).alias("r"), F.col(seq).alias("s"))
     best = good.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(
-        F.min_by("document_id", rank).alias("document_id"))
-    return docs.join(best.select("document_id"), "document_id", "left_semi")
+        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("_best"))
+    return best.select("_best.*")
 
 
 def incident_rows(docs: DataFrame, circuits: DataFrame, include_event: bool = False) -> DataFrame:

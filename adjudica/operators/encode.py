@@ -11,7 +11,7 @@ from adjudica.constants import BOOLEAN_FEATURES, CATEGORICAL_FEATURES, NUMERIC_F
 from adjudica.functions.blanks import bool_to_int, number
 from adjudica.operators.features import assert_no_leakage
 from adjudica.operators.running import dense_code
-from adjudica.session import sized
+from adjudica.session import BROADCAST_ROWS, cut_lineage
 
 METADATA = ("penalty", "row_id", "incident_id", "session", "season", "penalty_severity", "split")
 _BRACKET_ROWS = 20_000
@@ -109,6 +109,7 @@ class Encoder:
     numeric: list[str]
     fills: dict[str, float | str]
     codes: DataFrame
+    sizes: dict[str, int]
 
     @property
     def output_columns(self) -> list[str]:
@@ -120,8 +121,10 @@ class Encoder:
         columns = [*self.categorical, *self.numeric]
         rows = coerce_features(df, columns, kept)
         for c in self.categorical:
-            codes = sized(self.codes.where(F.col("column") == c).select(
-                F.col("value").alias(f"v_{c}"), F.col("code").alias(f"cat__{c}")))
+            codes = self.codes.where(F.col("column") == c).select(
+                F.col("value").alias(f"v_{c}"), F.col("code").alias(f"cat__{c}"))
+            if self.sizes[c] <= BROADCAST_ROWS:
+                codes = F.broadcast(codes)
             rows = rows.withColumn(f"v_{c}", F.coalesce(f"x_{c}", F.lit(self.fills[c]))).join(codes, f"v_{c}", "left")
         return rows.select(
             *kept,
@@ -137,9 +140,12 @@ def fit_encoder(train: DataFrame, columns: Sequence[str]) -> Encoder:
     raw = coerce_features(train, [*categorical, *numeric])
     medians = exact_medians(raw, [f"x_{c}" for c in numeric])
     fills: dict[str, float | str] = {c: medians[f"x_{c}"] for c in numeric if medians[f"x_{c}"] is not None}
-    counts = category_counts(raw, categorical) if categorical else None
-    if counts is not None:
+    if categorical:
+        # The dictionary is read once per column, so its small table is materialised.
+        counts = cut_lineage(category_counts(raw, categorical))
         fills |= {r["column"]: r["value"] for r in most_frequent(counts).collect()}
-    return Encoder([c for c in categorical if c in fills], [c for c in numeric if c in fills], fills,
-                   ordinal_codes(counts) if counts is not None else train.sparkSession.createDataFrame(
-                       [], "column string, value string, code long"))
+        sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
+        codes = cut_lineage(ordinal_codes(counts))
+    else:
+        codes, sizes = train.sparkSession.createDataFrame([], "column string, value string, code long"), {}
+    return Encoder([c for c in categorical if c in fills], [c for c in numeric if c in fills], fills, codes, sizes)

@@ -10,12 +10,12 @@ from pyspark.ml.feature import HashingTF, IDF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adjudica.constants import SEVERITY_LABELS, SEVERITY_NAMES
+from adjudica.constants import FEATURE_GROUPS, SEVERITY_LABELS, SEVERITY_NAMES
 from adjudica.operators.encode import fit_encoder
 from adjudica.operators.features import group_columns
 from adjudica.operators.metrics import class_weights, group_modes, summary
 from adjudica.operators.selection import drop_least_important, prune_raw
-from adjudica.session import sized
+from adjudica.session import cut_lineage, sized
 
 LABEL = "penalty_severity"
 PROBABILITIES = tuple(f"proba_{SEVERITY_NAMES[v]}" for v in SEVERITY_LABELS)
@@ -79,9 +79,10 @@ def importances(model: PipelineModel, like: DataFrame) -> DataFrame:
         [(n, float(v)) for n, v in zip(names, values)], "feature string, gain double")
 
 
-def prune_by_importance(train: DataFrame, percentile: float = 20) -> tuple[list[str], DataFrame]:
+def prune_by_importance(train: DataFrame, percentile: float = 20, trees: int = 20,
+                        depth: int = 4) -> tuple[list[str], DataFrame]:
     """Preliminary model, then drop the least important encoded features."""
-    gains = importances(fit_tabular(train), train)
+    gains = importances(fit_tabular(train, trees=trees, depth=depth), train)
     dropped = drop_least_important(gains, percentile)
     lost = {r.feature for r in dropped.collect()}
     return [c for c in train.columns if is_feature(c) and c not in lost], dropped
@@ -89,10 +90,10 @@ def prune_by_importance(train: DataFrame, percentile: float = 20) -> tuple[list[
 
 def baselines(train: DataFrame, validation: DataFrame, key: str = "session") -> DataFrame:
     """Validation rows with the majority and per-session predictions."""
-    majority = group_modes(train, None, LABEL).withColumnRenamed("mode", "pred_majority")
+    majority = group_modes(train, None, LABEL)
     named = train.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "")
     modes = group_modes(named, key, LABEL).withColumnRenamed("mode", "_mode")
-    joined = validation.join(F.broadcast(majority)).join(sized(modes), key, "left")
+    joined = validation.join(sized(modes), key, "left").withColumn("pred_majority", majority.scalar())
     return joined.withColumn("pred_session_stratified", F.coalesce("_mode", "pred_majority")).drop("_mode")
 
 
@@ -142,9 +143,11 @@ def compare_modalities(fused: DataFrame) -> DataFrame:
         row = summary(fused, LABEL, column).select(F.lit(name).alias("modality"), "*")
         parts = row if parts is None else parts.unionByName(row)
     single = parts.where("modality <> 'fused'").agg(
-        F.max_by("modality", F.struct("macro_f1", "modality")).alias("best_single"),
-        F.max("macro_f1").alias("best_single_f1"))
-    return parts.join(F.broadcast(single)).withColumn("beats_best", F.col("macro_f1") >= F.col("best_single_f1"))
+        F.max(F.struct("macro_f1", "modality")).alias("s"))
+    best = parts.withColumn("_best", single.scalar())
+    return best.withColumns({
+        "best_single": F.col("_best.modality"), "best_single_f1": F.col("_best.macro_f1"),
+        "beats_best": F.col("macro_f1") >= F.col("_best.macro_f1")}).drop("_best")
 
 
 def ablation(frame: DataFrame, steps=ABLATION, trees: int = 10, depth: int = 4) -> DataFrame:
@@ -153,17 +156,20 @@ def ablation(frame: DataFrame, steps=ABLATION, trees: int = 10, depth: int = 4)
     ``frame`` carries every engineered column and ``split``. Each step is a distributed fit;
     the driver keeps one number per step.
     """
-    train, validation = frame.where("split = 'train'"), frame.where("split = 'validation'")
+    frame = cut_lineage(frame)
+    train = frame.where("split = 'train'")
+    # Statistics and codes are per column, so one encoding serves every step.
+    encoder = fit_encoder(train, group_columns(frame, tuple(FEATURE_GROUPS)))
+    coded = cut_lineage(encoder.transform(frame))
+    coded_train, coded_val = coded.where("split = 'train'"), coded.where("split = 'validation'")
     results, previous = [], None
     for step, label, groups, select in steps:
         columns = group_columns(frame, groups)
         if select:
             columns, _ = prune_raw(train, columns)
-        encoder = fit_encoder(train, columns)
-        coded_train, coded_val = encoder.transform(train), encoder.transform(validation)
-        features = encoder.output_columns
+        features = [c for c in encoder.output_columns if c.split("__", 1)[1] in columns]
         if select:
-            features, _ = prune_by_importance(coded_train)
+            features, _ = prune_by_importance(coded_train.select(LABEL, *features), trees=trees, depth=depth)
         model = fit_tabular(coded_train, features, trees, depth)
         score_ = summary(score(model, coded_val, "pred"), LABEL, "pred").first()["macro_f1"]
         results.append((step, label, ",".join(sorted(groups)), len(columns), len(features), float(score_),

@@ -97,9 +97,10 @@ def class_weights(df: DataFrame, label: str, fixed_labels: int | None = None) ->
     """Inverse-frequency weights; ``fixed_labels`` divides by a given label count instead of
     the number of classes present."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    totals = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_k"))
-    k = F.lit(fixed_labels) if fixed_labels else F.col("_k")
-    return counts.join(F.broadcast(totals)).select(label, (F.col("_all") / (k * F.col("_n"))).alias("weight"))
+    totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k")).alias("t"))
+    rows = counts.withColumn("_t", totals.scalar())
+    k = F.lit(fixed_labels) if fixed_labels else F.col("_t.k")
+    return rows.select(label, (F.col("_t.n") / (k * F.col("_n"))).alias("weight"))
 
 
 def group_modes(df: DataFrame, key: str | None, value: str) -> DataFrame:

@@ -109,7 +109,7 @@ def gate_metrics(df: DataFrame, prior: DataFrame, provenance_rate: DataFrame, by
         F.count_if(has_prior).alias("rows_with_prior_points"))
     if by:
         return metrics.join(provenance_rate.withColumnRenamed("rate", "standings_provenance_rate"), list(by), "left")
-    return metrics.join(F.broadcast(provenance_rate.withColumnRenamed("rate", "standings_provenance_rate")))
+    return metrics.withColumn("standings_provenance_rate", provenance_rate.select("rate").scalar())
 
 
 def evaluate_gates(metrics: DataFrame, season: Column | None = None,

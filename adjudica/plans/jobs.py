@@ -14,11 +14,12 @@ from adjudica.operators.documents import incident_rows, parse_documents, primary
 from adjudica.operators.encode import Encoder, fit_encoder
 from adjudica.operators.splits import temporal_split
 from adjudica.rulesets import DEFAULT_RULES
+from adjudica.session import cut_lineage
 
 
 def build_incidents(raw: DataFrame, circuits: DataFrame, seq: str = "seq", include_event: bool = False) -> DataFrame:
     """Raw document texts to incident rows: parse, pick primaries, map."""
-    parsed = parse_documents(raw)
+    parsed = parse_documents(raw).drop("raw_text")
     return incident_rows(primary_documents(parsed, seq, include_event), circuits, include_event)
 
 
@@ -43,12 +44,14 @@ def quality_report(processed: DataFrame, prior_points: DataFrame, rate: DataFram
                    meta: DataFrame, review: DataFrame) -> DataFrame:
     """Gates joined to the row counts, fill rate and timestamp figures of the data-quality record."""
     gates = quality.evaluate_gates(quality.gate_metrics(processed, prior_points, rate))
-    counts = processed.agg(F.count(F.lit(1)).alias("row_count"))
-    queued = review.agg(F.count(F.lit(1)).alias("review_count"))
-    stamps = quality.timestamp_totals(meta).select("parsed_rate", "offset_rate")
-    totals = gates.agg(F.count_if("passed").alias("gates_passed"), F.count(F.lit(1)).alias("gates_total"))
-    small = counts.join(F.broadcast(queued)).join(F.broadcast(stamps)).join(F.broadcast(totals))
-    return gates.join(F.broadcast(small))
+    counts = processed.agg(F.count(F.lit(1)))
+    queued = review.agg(F.count(F.lit(1)))
+    stamps = quality.timestamp_totals(meta).select(F.struct("parsed_rate", "offset_rate"))
+    totals = gates.agg(F.struct(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total")))
+    report = gates.withColumns({"row_count": counts.scalar(), "review_count": queued.scalar(),
+                                "_s": stamps.scalar(), "_t": totals.scalar()})
+    return report.select("gate", "actual", "target", "passed", "row_count", "review_count", "_s.parsed_rate",
+                         "_s.offset_rate", F.col("_t.passed").alias("gates_passed"), F.col("_t.total").alias("gates_total"))
 
 
 def labelled_rows(processed: DataFrame) -> DataFrame:
@@ -66,8 +69,11 @@ def engineered(rows: DataFrame) -> DataFrame:
 
 
 def encoded(rows: DataFrame, splits: Mapping[str, Any], columns: Sequence[str] | None = None) -> tuple[DataFrame, Encoder]:
-    """Split by season, fit the encoder on the training part, encode every part."""
-    parts = temporal_split(rows, splits)
+    """Split by season, fit the encoder on the training part, encode every part.
+
+    The statistics need several passes, so the engineered rows are written once.
+    """
+    parts = cut_lineage(temporal_split(rows, splits))
     chosen = list(columns) if columns is not None else features.feature_columns(parts)
     encoder = fit_encoder(parts.where("split = 'train'"), chosen)
     return encoder.transform(parts), encoder

@@ -158,16 +158,16 @@ def _(spark, sf):
 
 @query("E05_session_frame_enrichment", f"""WITH fe AS (SELECT *, CASE event_id % 3 WHEN 0 THEN 'race' WHEN 1 THEN 'qualifying' ELSE 'practice' END AS s,
         CAST(epoch_us(ts) - epoch_us(date_trunc('day', ts)) - 21600000000 * (event_id % 3) AS DOUBLE) / 1000000 AS tm FROM ({FEED_SQL})),
-    hp AS (SELECT *, CAST(day(ts) AS INT) AS day, CASE WHEN "offset" >= 0 THEN "offset" END AS at FROM ({roles.select_sql(_HAPPENED, 'events')}) WHERE event_type = '{PROBE}'),
-    la AS (SELECT hp.event_id, max(fe.lap_number) AS lap FROM hp LEFT JOIN fe ON fe.event_type = '{LAPS}' AND hp.day = fe.day AND hp.session = fe.s AND fe.tm <= hp.at GROUP BY 1),
+    hp AS (SELECT *, CAST(day(ts) AS INT) AS day, CASE WHEN "offset" >= 0 THEN "offset" END AS att FROM ({roles.select_sql(_HAPPENED, 'events')}) WHERE event_type = '{PROBE}'),
+    la AS (SELECT hp.event_id, max(fe.lap_number) AS lap FROM hp LEFT JOIN fe ON fe.event_type = '{LAPS}' AND hp.day = fe.day AND hp.session = fe.s AND fe.tm <= hp.att GROUP BY 1),
     ml AS (SELECT day, s, max(lap_number) AS top FROM fe WHERE event_type = '{LAPS}' GROUP BY 1, 2),
-    rc AS (SELECT hp.event_id, arg_min(fe.message, abs(fe.tm - hp.at)) AS m FROM hp LEFT JOIN fe ON fe.event_type = '{MESSAGES}' AND hp.day = fe.day AND hp.session = fe.s
-        AND abs(fe.tm - hp.at) <= 1800 GROUP BY 1),
+    rc AS (SELECT hp.event_id, arg_min(fe.message, abs(fe.tm - hp.att)) AS m FROM hp LEFT JOIN fe ON fe.event_type = '{MESSAGES}' AND hp.day = fe.day AND hp.session = fe.s
+        AND abs(fe.tm - hp.att) <= 1800 GROUP BY 1),
     sc AS (SELECT day, s, bool_or(contains(message, 'VIRTUAL')) AS v, bool_or(contains(message, 'SAFETY CAR') AND NOT contains(message, 'VIRTUAL')) AS c FROM fe WHERE event_type = '{MESSAGES}' GROUP BY 1, 2),
     w AS (SELECT day, s, arg_max(value, tm) > 20 AS rain FROM fe WHERE event_type = 'signup' GROUP BY 1, 2)
     SELECT incident_id, CASE WHEN hp.lap <> '' THEN hp.lap WHEN lap_hint IS NOT NULL THEN CAST(lap_hint AS STRING) ELSE coalesce(CAST(la.lap AS STRING), '') END AS lap,
         coalesce(CAST(top AS STRING), '') AS full_laps, CASE WHEN rain IS NULL THEN '' WHEN rain THEN 'rain' ELSE 'sunny' END AS weather_conditions,
-        CASE WHEN at IS NULL THEN CASE WHEN c THEN 'safety_car' WHEN v THEN 'vsc' WHEN c IS NOT NULL THEN 'none' ELSE '' END WHEN m IS NULL THEN ''
+        CASE WHEN att IS NULL THEN CASE WHEN c THEN 'safety_car' WHEN v THEN 'vsc' WHEN c IS NOT NULL THEN 'none' ELSE '' END WHEN m IS NULL THEN ''
             WHEN contains(m, 'VIRTUAL') THEN 'vsc' WHEN contains(m, 'SAFETY CAR') THEN 'safety_car' ELSE 'none' END AS safety_car
     FROM hp JOIN la ON hp.event_id = la.event_id JOIN rc ON hp.event_id = rc.event_id LEFT JOIN ml ON hp.day = ml.day AND hp.session = ml.s
     LEFT JOIN sc ON hp.day = sc.day AND hp.session = sc.s LEFT JOIN w ON hp.day = w.day AND hp.session = w.s""")
@@ -227,7 +227,7 @@ def _(spark, sf):
     return jobs.build_incidents(roles.documents(spark, sf), circuits(spark, sf)).select(*INCIDENT_OUT)
 
 
-@query("E10_document_parse", f"""WITH f AS ({FIELDS_SQL}) SELECT document_id, {roles.KIND_SQL} AS document_type, document_no, date, '18:21' AS time, incident_time, grand_prix, car_number, driver_name,
+@query("E10_document_parse", f"""WITH f AS ({FIELDS_SQL}) SELECT document_id, {roles.KIND_SQL} AS document_type, document_no, date, '18:21 ' || season || ' ' || grand_prix AS time, incident_time, grand_prix, car_number, driver_name,
     competitor, {roles.DOC_SESSION_SQL} AS session, fact, offence, decision, reason, {roles.OPPONENTS_SQL} AS opponents, CASE WHEN cents % 5 IN (0, 1) THEN CAST(cents % 20 + 1 AS STRING) ELSE '' END AS turn_number,
     {roles.LABEL_SQL} AS penalty, CASE cents % 9 WHEN 4 THEN '2' WHEN 5 THEN '1' ELSE '' END AS superlicense_points_added, offence AS mentioned_article, {roles.FAULT_SQL} AS driver_at_fault,
     round(1 - (CAST(fact = '' AS INT) + CAST(({roles.KIND_SQL}) = 'decision' AND decision = '' AS INT)) / CASE WHEN ({roles.KIND_SQL}) = 'decision' THEN 3 ELSE 2 END, 3) AS parse_confidence FROM f""")
