@@ -22,20 +22,27 @@ def drop_sparse(df: DataFrame, columns: Sequence[str],
     return [c for c in present if rates[c] <= max_rate], [c for c in present if rates[c] > max_rate]
 
 
-def pair_correlation(a: Column, b: Column) -> Column:
-    """Pearson correlation over rows with both values; NULL for a constant side."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+def correlations(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(left, right, corr): Pearson over rows with both values; NULL for a constant side.
 
+    Each row is spread over its complete pairs and aggregated on the map side, so one scan
+    serves all pairs and k*k/2 rows per task are shuffled.
+    """
+    names = list(columns)
+    k = len(names)
+    values = df.select(F.array(*[e.cast("double") for e in columns.values()]).alias("v"))
+    left = values.select("v", F.posexplode("v").alias("i", "x")).where("x is not null")
+    both = left.select("i", "x", F.posexplode(F.slice("v", F.col("i") + 2, F.lit(k))).alias("d", "y")).where("y is not null")
+    stats = both.groupBy("i", (F.col("i") + F.col("d") + 1).alias("j")).agg(F.try_divide(
+        F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
+    pairs = df.sparkSession.createDataFrame(
+        [(i, j, names[i], names[j]) for i, j in combinations(range(k), 2)], "i int, j int, left string, right string")
+    return F.broadcast(pairs).join(stats, ["i", "j"], "left").select("left", "right", "corr")
 
-def correlations(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """(left, right, corr) for every pair, all computed in one aggregate pass."""
-    pairs = list(combinations(columns, 2))
-    row = df.agg(*[pair_correlation(columns[a], columns[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    entries = F.array(*[F.struct(F.lit(a).alias("left"), F.lit(b).alias("right"), F.col(f"p{i}").alias("corr"))
-                        for i, (a, b) in enumerate(pairs)])
-    return row.select(F.explode(entries).alias("e")).select("e.*")
+
+def _edges_below(value: Column, edges: Sequence[float]) -> Column:
+    listed = F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>")
+    return F.when(value.isNotNull(), F.size(F.filter(listed, lambda edge: edge < value)))
 
 
 def equal_depth_bins(df: DataFrame, columns: dict[str, Column], bins: int = 10) -> dict[str, Column]:
@@ -46,10 +53,7 @@ def equal_depth_bins(df: DataFrame, columns: dict[str, Column], bins: int = 10)
                    for i, c in enumerate(names)]).first()
     binned = {}
     for i, c in enumerate(names):
-        index = F.lit(0)
-        for edge in sorted(set(row[f"e{i}"] or [])):
-            index = index + (columns[c] > edge).cast("int")
-        binned[c] = index
+        binned[c] = _edges_below(columns[c], sorted(set(row[f"e{i}"] or [])))
     return binned
 
 
