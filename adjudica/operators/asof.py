@@ -34,7 +34,7 @@ def _stack(probe: DataFrame, feed: DataFrame, by: Sequence[str], probe_time: str
         _micros(feed, feed_time).alias("_t"),
         F.lit(0).alias("_side"),
         order.alias("_seq"),
-        F.struct(_micros(feed, feed_time).alias("at"), order.alias("seq"),
+        F.struct(_micros(feed, feed_time).alias("_at"), order.alias("_n"),
                  *[F.col(c) for c in take]).alias("_feed"),
     ).where(F.col("_t").isNotNull())
     for i in range(len(by)):
@@ -79,7 +79,7 @@ def asof_backward(probe: DataFrame, feed: DataFrame, by: Sequence[str], probe_ti
     hit = F.col("_before")
     match = F.when(hit.isNotNull(), F.struct(
         *[hit[c].alias(c) for c in take],
-        ((F.col("_t") - hit["at"]) / 1_000_000).alias("error_seconds")))
+        ((F.col("_t") - hit["_at"]) / 1_000_000).alias("error_seconds")))
     return found.select("_row.*", match.alias(out))
 
 
@@ -92,10 +92,10 @@ def asof_nearest(probe: DataFrame, feed: DataFrame, by: Sequence[str], probe_tim
     stack = _stack(probe, feed, by, probe_time, feed_time, take, seq, slice_seconds)
     found = _scan(stack, keys, ["before", "after"])
     before, after = F.col("_before"), F.col("_after")
-    back, ahead = F.col("_t") - before["at"], after["at"] - F.col("_t")
-    use_back = after.isNull() | (back < ahead) | ((back == ahead) & (before["seq"] <= after["seq"]))
+    back, ahead = F.col("_t") - before["_at"], after["_at"] - F.col("_t")
+    use_back = after.isNull() | (back < ahead) | ((back == ahead) & (before["_n"] <= after["_n"]))
     hit = F.when(before.isNotNull() & use_back, before).otherwise(after)
-    error = F.abs(hit["at"] - F.col("_t"))
+    error = F.abs(hit["_at"] - F.col("_t"))
     match = F.when(error <= int(tolerance_seconds * 1_000_000), F.struct(
         *[hit[c].alias(c) for c in take], (error / 1_000_000).alias("error_seconds")))
     return found.select("_row.*", match.alias(out))
