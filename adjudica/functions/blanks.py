@@ -8,6 +8,8 @@ from adjudica.constants import FACT_TEXT_FIELDS
 
 # Unicode white space; Java's \s alone is ASCII only.
 WS = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+WS_CHARS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
@@ -16,7 +18,7 @@ def as_col(value: Column | str) -> Column:
 
 
 def strip(value: Column | str) -> Column:
-    return F.regexp_replace(as_col(value).cast("string"), f"^{WS}+|{WS}+$", "")
+    return F.btrim(as_col(value).cast("string"), F.lit(WS_CHARS))
 
 
 def or_empty(value: Column | str) -> Column:

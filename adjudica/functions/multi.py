@@ -14,6 +14,12 @@ def split_keep(value: Column | str) -> Column:
         F.transform(F.split(text, ",", -1), strip))
 
 
+def count_keep(value: Column | str) -> Column:
+    """Number of elements ``split_keep`` gives, without building them."""
+    text = or_empty(value)
+    return F.when(strip(text) == "", 0).otherwise(F.size(F.split(text, ",", -1)))
+
+
 def split_drop(value: Column | str) -> Column:
     """Elements trimmed, blanks dropped."""
     return F.filter(F.transform(F.split(or_empty(value), ",", -1), strip), lambda item: item != "")

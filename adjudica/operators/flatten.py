@@ -7,16 +7,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from adjudica.constants import (
     ALIGNMENT_EXEMPT, ALIGNMENT_GROUPS, DRIVER_FIELDS, MULTI_VALUE_COLUMNS, SHARED_COLUMNS,
 )
-from adjudica.functions.multi import pick, split_drop, split_keep
+from adjudica.functions.multi import count_keep, pick, split_drop, split_keep
 
 
 def is_aligned(df: DataFrame) -> Column:
     """Every non-empty multi-value cell has as many values as there are drivers."""
-    n = F.size(split_keep("drivers"))
+    n = count_keep("drivers")
     ok = F.lit(True)
     for name in MULTI_VALUE_COLUMNS:
         if name in df.columns and name not in ALIGNMENT_EXEMPT:
-            size = F.size(split_keep(F.col(f"`{name}`")))
+            size = count_keep(F.col(f"`{name}`"))
             ok = ok & ((size == 0) | (size == n))
     return ok
 
@@ -42,10 +42,10 @@ def flatten_incidents(df: DataFrame) -> DataFrame:
     """
     shared = [F.col(f"`{c}`") for c in SHARED_COLUMNS if c in df.columns]
     sources = [c for c, _, _ in DRIVER_FIELDS if c in df.columns]
-    arrays = df.where(is_aligned(df)).select(
+    arrays = df.where((count_keep("drivers") > 0) & is_aligned(df)).select(
         *shared, split_keep("drivers").alias("_drivers"),
         *[split_keep(c).alias(f"_{c}") for c in sources])
-    rows = arrays.where(F.size("_drivers") > 0).select("*", F.posexplode("_drivers").alias("_pos", "driver"))
+    rows = arrays.select("*", F.posexplode("_drivers").alias("_pos", "driver"))
     pair = F.size("_drivers") == 2
     other = F.lit(1) - F.col("_pos")
     columns = [F.concat_ws("_", F.col("incident_id"), F.col("driver")).alias("row_id"), F.col("driver")]
@@ -59,4 +59,4 @@ def flatten_incidents(df: DataFrame) -> DataFrame:
 
 def misaligned_incidents(df: DataFrame) -> DataFrame:
     """Side frame of incidents that flatten leaves out although they list drivers."""
-    return df.where((F.size(split_keep("drivers")) > 0) & ~is_aligned(df)).select("incident_id")
+    return df.where((count_keep("drivers") > 0) & ~is_aligned(df)).select("incident_id")

@@ -10,6 +10,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from adjudica.session import spread
+
 Exprs = Mapping[str, str | tuple[str, str]]
 
 
@@ -73,7 +75,7 @@ INCIDENT_SQL = select_sql(INCIDENT, "orders")
 
 
 def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(table(spark, sf_dir, "orders"), INCIDENT)
+    return select(spread(table(spark, sf_dir, "orders"), "o_orderkey"), INCIDENT)
 
 
 # Incidents with comma-separated cells: none to three parties, some cells of another length.
@@ -113,7 +115,7 @@ MULTI_SQL = select_sql(MULTI, "orders")
 
 
 def multi_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(table(spark, sf_dir, "orders"), MULTI)
+    return select(spread(table(spark, sf_dir, "orders"), "o_orderkey"), MULTI)
 
 
 # Decision documents: the fields, and the text that carries them.
@@ -177,11 +179,11 @@ FIELDS_SQL = select_sql(FIELDS, "orders")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(table(spark, sf_dir, "orders"), DOCUMENT)
+    return select(spread(table(spark, sf_dir, "orders"), "o_orderkey"), DOCUMENT)
 
 
 def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select(table(spark, sf_dir, "orders"), FIELDS)
+    return select(spread(table(spark, sf_dir, "orders"), "o_orderkey"), FIELDS)
 
 
 # Expected normalisations of the fixed phrases above.

@@ -40,3 +40,12 @@ def sized(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     if dim.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(dim)
     return dim
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread a scan that has fewer splits than the cluster has cores.
+
+    Meant for CPU-heavy work on a unique key; a scan with enough splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
