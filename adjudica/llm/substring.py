@@ -28,10 +28,14 @@ BLANK = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def word_hashes(found: list[str], piece_bytes: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    return hashes_of_words([t.encode("utf-8", "surrogatepass") for t in found], piece_bytes)
+
+
+def hashes_of_words(found: list[bytes], piece_bytes: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words and the edges of each text, computed for pieces of the joined bytes."""
     rng = np.random.default_rng(20240229)
     letters = rng.integers(1, 1 << 63, 256, np.uint64)
-    joined = b"\n".join(t.encode("utf-8", "surrogatepass") for t in found)
+    joined = b"\n".join(found)
     hashes, at = [np.zeros(0, np.uint64)], 0
     while at < len(joined):
         stop = len(joined)
@@ -51,7 +55,7 @@ def word_hashes(found: list[str], piece_bytes: int = 1 << 22) -> tuple[np.ndarra
             hashes.append(np.add.reduceat(letters[b[where]] * powers[offset], starts))
         at = stop
     edges = np.zeros(len(found) + 1, np.int64)
-    edges[1:] = np.cumsum([len(t.encode("utf-8", "surrogatepass").split()) for t in found])
+    edges[1:] = np.cumsum([len(b.split()) for b in found])
     return np.concatenate(hashes), edges
 
 
