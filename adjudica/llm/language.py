@@ -50,25 +50,30 @@ class Model:
         return (x @ self.weights) / norm
 
 
-def fit(x: np.ndarray, y: list[str], landmarks: int = 240, ridge: float = 1e-2) -> Model:
-    """x: presence rows of 0 and 1. Landmarks are taken evenly from the rows of each language in turn."""
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """Rows of packed presence bits as vectors of length 1."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
+
+
+def fit(bits: np.ndarray, y: list[str], landmarks: int = 240, ridge: float = 1e-2, rows: int = 256) -> Model:
+    """bits: packed presence rows, unpacked a few at a time. Landmarks are taken evenly from the rows of each language."""
     languages = sorted(set(y))
     if not languages:
         return Model([], np.zeros((DIMENSIONS, 0), np.float32))
-    unit = x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1.0))
     of = [[k for k, v in enumerate(y) if v == name] for name in languages]
-    chosen = sorted(k for rows in of for k in rows[:max(1, landmarks // len(languages))])
-    marks = unit[chosen].astype(np.float64)
-    values, vectors = np.linalg.eigh(marks @ marks.T)
-    good = values > 1e-8 * max(values.max(), 1e-12)
+    chosen = sorted(k for own in of for k in own[:max(1, landmarks // len(languages))])
+    marks = _unit(bits[chosen])
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+    good = values > 1e-6 * max(values.max(), 1e-12)
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = (unit @ marks.T) @ root
+    phi = np.concatenate([_unit(bits[k:k + rows]) @ marks.T for k in range(0, len(y), rows)]).astype(np.float64) @ root
     target = np.where(np.array(y)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     w = np.linalg.solve(phi.T @ phi + ridge * len(y) / 100 * np.eye(phi.shape[1]), phi.T @ target)
     return Model(languages, (marks.T @ (root @ w)).astype(np.float32))
 
 
-def train(docs: DataFrame, rows_per_language: int = 800, landmarks: int = 240) -> Model:
+def train(docs: DataFrame, rows_per_language: int = 400, landmarks: int = 240) -> Model:
     """Learn from rows outside the fold crc32(doc_id) mod 3 = 1 that have text and lang.
 
     The fit sees about rows_per_language rows of each language, chosen by a hash of the id; larger languages are thinned
@@ -92,8 +97,8 @@ def train(docs: DataFrame, rows_per_language: int = 800, landmarks: int = 240) -
                                              names=["doc_id", "lang", "bits"]).filter(keep)
 
     got = sorted(taught.mapInArrow(packed, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.bits)))
-    x = np.array([np.unpackbits(np.frombuffer(bytes(r.bits), np.uint8)) for r in got], np.float32).reshape(len(got), DIMENSIONS)
-    return fit(x, [r.lang for r in got], landmarks)
+    bits = np.array([np.frombuffer(bytes(r.bits), np.uint8) for r in got], np.uint8).reshape(len(got), DIMENSIONS // 8)
+    return fit(bits, [r.lang for r in got], landmarks)
 
 
 def predict(docs: DataFrame, model: Model, rows: int = 128) -> DataFrame:
