@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adjudica.llm import bpe, language, minhash, quality, rules, substring, suffix
+from adjudica.llm import bpe, language, minhash, packing, quality, rules, substring, suffix
 from adjudica.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,11 @@ def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.group(table(spark, sf_dir, "documents"))
 
 
+@query("op9_packing")
+def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query("op10_quality_rules")
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
