@@ -6,9 +6,10 @@ ROWS slots make buckets: a pair at similarity 0.75 shares none of them with prob
 
 Texts of equal shingle sets are one class, and only classes are compared. A bucket proposes a star: an edge from each
 member to its least member, never all pairs. Edges are confirmed on the full sets. A star can miss a link between two
-members that are both unlike the centre. So a second round looks at the buckets that still hold several components
-and proposes the pairs across components, with the largest component of a bucket on one side only; pairs inside a
-component could not change the result. After it every pair that shares a bucket is confirmed, refuted or connected.
+members that are both unlike the centre. So a second round looks at the buckets of three or more that still hold several
+components: members outside the bucket's largest component are held against all members, in blocks of sets, by one
+matrix product per pair of blocks; only found links leave a task. Pairs inside a component could not change the result,
+so after it every pair that shares a bucket is confirmed, refuted or connected.
 """
 
 from __future__ import annotations
@@ -125,6 +126,68 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return paired.mapInArrow(_confirmed, "a long, b long")
 
 
+def links_between(u: list[np.ndarray], m: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Which sets of u are 0.75 alike or more to which sets of m, as a matrix."""
+    sets = u + m
+    lengths = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(len(sets)), lengths)
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[code] > 1
+    row, code = row[shared], (np.cumsum(count > 1) - 1)[code[shared]]
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    common = np.zeros((len(u), len(m)), np.float32)
+    for at in range(0, int(code[-1]) + 1 if len(code) else 0, columns):
+        a, b = np.searchsorted(code, [at, at + columns])
+        has = np.zeros((len(sets), columns), np.float32)
+        has[row[a:b], code[a:b] - at] = 1.0
+        common += has[:len(u)] @ has[len(u):].T
+    common = common.astype(np.int64)
+    return 100 * common >= 75 * (lengths[:len(u), None] + lengths[None, len(u):] - common)
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            found = shingle_sets(batch.column("text").to_pylist())
+            nodes = batch.column("node").to_pylist()
+            mine = [k for k, s in enumerate(found) if len(s) and class_of(s) == nodes[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in mine], pa.int64()), pa.array([found[k].tobytes() for k in mine], pa.binary())], names=["node", "shingles"])
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    """Links of one pair of blocks: of each member outside the main part, one per part it is linked to."""
+    side, node, part = (group.column(c).to_numpy() for c in ("side", "node", "part"))
+    sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
+    u, m = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    a, b = np.nonzero(links_between([sets[k] for k in u], [sets[k] for k in m]) & (part[u][:, None] != part[m][None, :]))
+    _, first = np.unique(np.stack([a, part[m][b]]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
+    return pa.Table.from_pydict({"a": node[u][a[first]], "b": node[m][b[first]]}, schema=arrow_schema("a long, b long"))
+
+
+def across_parts(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, block: int = 256) -> DataFrame:
+    """Links between different components inside buckets that stars have not settled."""
+    held = (members.select("bucket", "node").join(labels, "node", "left").join(classes.select("node", "first"), "node")
+            .select("bucket", "node", F.coalesce("label", "first").alias("part")))
+    sizes = held.groupBy("bucket", "part").agg(F.count("*").alias("size"))
+    mixed_buckets = (sizes.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts"), F.sum("size").alias("all"))
+                     .where("parts > 1 and all > 2").select(
+                         "bucket", F.col("most.part").alias("main"), F.ceil((F.col("all") - F.col("most.size")) / block).cast("int").alias("blocks_u"),
+                         F.ceil(F.col("all") / block).cast("int").alias("blocks_m")))
+    split = written(held.join(mixed_buckets, "bucket"), "split")
+    place = F.xxhash64("node", F.lit(1))
+    right = split.select("bucket", "node", "part", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks_u") - 1)).alias("u"),
+                         F.pmod(place, F.col("blocks_m")).cast("int").alias("m"))
+    left = split.where(F.col("part") != F.col("main")).select(
+        "bucket", "node", "part", F.lit(0).alias("side"), F.pmod(place, F.col("blocks_u")).cast("int").alias("u"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks_m") - 1)).alias("m"))
+    asked = split.select("node").distinct().join(classes.select("node", "first"), "node")
+    rows = docs.select(F.col("doc_id").alias("id"), "text")
+    sets = asked.join(rows, F.col("first").eqNullSafe(F.col("id"))).select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
+    return (left.unionByName(right).join(sets, "node").groupBy("bucket", "u", "m").applyInArrow(_block_links, "a long, b long").distinct())
+
+
 def components(edges: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, label): the least document of the component, for the nodes that have an edge.
 
@@ -165,16 +228,7 @@ def group(docs: DataFrame) -> DataFrame:
     edges = written(confirm(proposed, classes, docs), "confirmed")
     labels = components(edges, classes)
 
-    held = (members.select("bucket", "node").join(labels, "node", "left").join(classes.select("node", "first"), "node")
-            .select("bucket", "node", F.coalesce("label", "first").alias("part")))
-    sizes = held.groupBy("bucket", "part").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("size", "part")).alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    split = held.join(main.select("bucket", F.col("most.part").alias("main")), "bucket")
-    lesser = split.where(F.col("part") != F.col("main")).select("bucket", F.col("node").alias("x"), F.col("part").alias("part_x"))
-    across = (lesser.join(split, "bucket").where((F.col("part") == F.col("main")) | (F.col("part_x") < F.col("part")))
-              .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-              .join(proposed, ["a", "b"], "left_anti"))
-    more = written(confirm(across, classes, docs), "confirmed")
+    more = written(across_parts(members, labels, classes, docs), "confirmed")
     if more.limit(1).count():
         labels = components(edges.unionByName(more), classes)
 
