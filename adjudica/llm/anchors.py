@@ -25,7 +25,6 @@ BASE = np.uint64(0xD1342543DE82EF95)
 SLICE = 1 << 21
 NO_ID = -(1 << 63)
 
-BLOCK = "block int, doc_id long, text string"
 FOUND = "anchor long, span long, doc_key long, block int, doc int, pos int, n int, copies int"
 SETTLED = "block int, doc int, pos int, n int, mask long, kind int, anchor long, doc_key long"
 ASKED = "block int, doc int, pos int, n int, kind int, anchor long, doc_key long, content binary"
@@ -131,11 +130,11 @@ def first_of_kind(found: Found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, new, np.diff(np.append(np.flatnonzero(new), len(order)))
 
 
-def in_order(group: pa.Table) -> tuple[list, list]:
-    """Ids and texts of a block by id, then text: every pass numbers them alike. Null ids come first."""
+def in_order(group: pa.Table) -> tuple[pa.Table, list]:
+    """Rows of a block by id, then text, and their texts: every pass numbers them alike. Null ids come first."""
     ids, found = group.column("doc_id").to_pylist(), group.column("text").to_pylist()
     order = sorted(range(len(ids)), key=lambda k: (NO_ID if ids[k] is None else ids[k], found[k]))
-    return [ids[k] for k in order], [found[k] for k in order]
+    return group.take(pa.array(order, pa.int64())), [found[k] for k in order]
 
 
 Symbols = Callable[[list], tuple[np.ndarray, np.ndarray]]
@@ -146,7 +145,7 @@ def in_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-int(size) // block_bytes))
     key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), "doc_id", "text")
+    return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), "*")
 
 
 def settle(batches: Iterator[pa.RecordBatch], first_stays: bool) -> Iterator[pa.RecordBatch]:
@@ -191,18 +190,18 @@ def repeated(docs: DataFrame, symbols: Symbols, content: Callable, match: Callab
 
     symbols(texts) -> (hashes, edges); content(texts, symbols, edges, rows) -> bytes per asked span;
     match(batches) -> MASKS rows for asked spans, all spans of an anchor in one call's stream;
-    finish(ids, texts, edges, starts) -> a table with the schema out, starts being the windows that recur, as
-    offsets into symbols.
+    finish(rows, texts, edges, starts) -> a table with the schema out, rows being the block's, starts the windows that
+    recur, as offsets into symbols. Columns of docs beyond doc_id and text travel along for finish.
     """
     blocks = in_blocks(docs, block_bytes)
 
     def spans(group: pa.Table) -> pa.Table:
-        ids, found_texts = in_order(group)
+        rows, found_texts = in_order(group)
         s, edges = symbols(found_texts)
         found = find_spans(s, edges, width, gram)
         order, new, copies = first_of_kind(found)
         at = order[new]
-        key = np.array([NO_ID if i is None else i for i in ids], np.int64)
+        key = np.array([NO_ID if i is None else i for i in rows.column("doc_id").to_pylist()], np.int64)
         return pa.Table.from_pydict({
             "anchor": found.anchor[at].view(np.int64), "span": found.span[at].view(np.int64), "doc_key": key[found.doc[at]],
             "block": np.full(len(at), group.column("block")[0].as_py(), np.int32), "doc": found.doc[at].astype(np.int32),
@@ -226,7 +225,7 @@ def repeated(docs: DataFrame, symbols: Symbols, content: Callable, match: Callab
              .sortWithinPartitions("anchor", "doc_key", "block", "doc", "pos").mapInArrow(match, MASKS))
 
     def applied(group: pa.Table, marks: pa.Table) -> pa.Table:
-        ids, found_texts = in_order(group)
+        rows, found_texts = in_order(group)
         s, edges = symbols(found_texts)
         found = find_spans(s, edges, width, gram)
         order, new, copies = first_of_kind(found)
@@ -244,7 +243,7 @@ def repeated(docs: DataFrame, symbols: Symbols, content: Callable, match: Callab
         for bit in range(width - gram + 1):
             hit = ~whole & ((m["mask"] >> bit) & 1).astype(bool)
             starts.append(at[hit] + bit)
-        return finish(ids, found_texts, edges, np.unique(np.concatenate(starts)))
+        return finish(rows, found_texts, edges, np.unique(np.concatenate(starts)))
 
     every = settled.where(F.col("kind") != ASK).select("block", "doc", "pos", "n", "mask").unionByName(masks)
     return blocks.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(applied, out)

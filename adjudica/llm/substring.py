@@ -17,14 +17,16 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from adjudica.llm.anchors import ASK, MASKS, arrow_schema, covered, gram_hashes, repeated
-from adjudica.llm.common import texts
+from adjudica.llm.common import BLANKS, texts
 
 WIDTH, GRAM = 35, 8
 OUT = "doc_id long, n_words long, n_removed long, n_factors long, kept_sha256 string"
 BLANK = re.compile(rb"[\x20\x09-\x0d]")
+WORD = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
 
 
 def word_hashes(found: list[str], piece_bytes: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
@@ -86,27 +88,30 @@ def known_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield pa.RecordBatch.from_pydict({**{c: t.column(c).to_numpy()[keep] for c in ("block", "doc", "pos", "n")}, "mask": mask[keep]}, schema=arrow_schema(MASKS))
 
 
-def _rest_of_words(texts_only: bool):
-    """What remains of each text: the whole digest row, or only the text."""
-    def finish(ids: list, found: list[str], edges: np.ndarray, starts: np.ndarray) -> pa.Table:
-        gone = covered(int(edges[-1]), starts, WIDTH)
-        columns: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "n_factors", "kept_sha256")}
-        kept_texts = []
-        for d, text in enumerate(found):
-            mine = gone[edges[d]:edges[d + 1]]
-            words = text.encode("utf-8", "surrogatepass").split()
-            kept = b" ".join(compress(words, ~mine) if mine.any() else words)
-            if texts_only:
-                kept_texts.append(kept.decode("utf-8", "surrogatepass") if mine.any() else text)
-                continue
-            columns["n_words"].append(len(words))
-            columns["n_removed"].append(int(mine.sum()))
-            columns["n_factors"].append(int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum()))
-            columns["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-        if texts_only:
-            return pa.Table.from_pydict({"doc_id": ids, "text": kept_texts}, schema=arrow_schema("doc_id long, text string"))
-        return pa.Table.from_pydict({"doc_id": ids, **columns}, schema=arrow_schema(OUT))
-    return finish
+def _digests(rows: pa.Table, found: list[str], edges: np.ndarray, starts: np.ndarray) -> pa.Table:
+    gone = covered(int(edges[-1]), starts, WIDTH)
+    columns: dict[str, list] = {c: [] for c in ("n_words", "n_removed", "n_factors", "kept_sha256")}
+    for d, text in enumerate(found):
+        mine = gone[edges[d]:edges[d + 1]]
+        words = text.encode("utf-8", "surrogatepass").split()
+        kept = b" ".join(compress(words, ~mine) if mine.any() else words)
+        columns["n_words"].append(len(words))
+        columns["n_removed"].append(int(mine.sum()))
+        columns["n_factors"].append(int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum()))
+        columns["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+    return pa.Table.from_pydict({"doc_id": rows.column("doc_id"), **columns}, schema=arrow_schema(OUT))
+
+
+def _texts_left(rows: pa.Table, found: list[str], edges: np.ndarray, starts: np.ndarray) -> pa.Table:
+    """The rows with what remains of their texts; a word goes with the blanks before it."""
+    gone = covered(int(edges[-1]), starts, WIDTH)
+    left = []
+    for d, text in enumerate(found):
+        mine = gone[edges[d]:edges[d + 1]]
+        if mine.any():
+            text = b"".join(compress(WORD.findall(text.encode("utf-8", "surrogatepass")), ~mine)).decode("utf-8", "surrogatepass").lstrip(BLANKS)
+        left.append(text)
+    return pa.Table.from_arrays([pa.array(left, pa.string()), rows.column("rest")], names=["text", "rest"])
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -116,9 +121,19 @@ def digest(docs: DataFrame) -> DataFrame:
     A null or empty text has no words; repeated rows are copies of each other like any others; texts of fewer than WIDTH
     words stay whole. One output row per input row.
     """
-    return repeated(texts(docs), word_hashes, window_hashes, known_windows, _rest_of_words(False), OUT, WIDTH, GRAM, first_stays=False)
+    return repeated(texts(docs), word_hashes, window_hashes, known_windows, _digests, OUT, WIDTH, GRAM, first_stays=False)
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """doc_id and the text without its duplicate words; texts without any are returned unchanged."""
-    return repeated(texts(docs), word_hashes, window_hashes, known_windows, _rest_of_words(True), "doc_id long, text string", WIDTH, GRAM, first_stays=False)
+def rewrite(docs: DataFrame) -> DataFrame:
+    """The rows with their columns and with texts that have lost their duplicate words, n_chars recounted if there is one.
+
+    Every row stays; a text that is repeated in full becomes empty, and so does a null one.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*others).alias("rest"))
+    out = StructType([StructField("text", StringType()), rows.schema["rest"]])
+    left = repeated(rows, word_hashes, window_hashes, known_windows, _texts_left, out, WIDTH, GRAM, first_stays=False)
+    columns = {c: F.col(f"rest.`{c}`").alias(c) for c in others} | {"text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return left.select(*(columns[c] for c in docs.columns))

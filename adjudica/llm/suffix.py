@@ -241,7 +241,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answered(t)
 
 
-def _rest_of_bytes(ids: list, found: list[str], edges: np.ndarray, starts: np.ndarray) -> pa.Table:
+def _rest_of_bytes(rows: pa.Table, found: list[str], edges: np.ndarray, starts: np.ndarray) -> pa.Table:
     gone = covered(int(edges[-1]), starts, WIDTH)
     columns: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
     for d, text in enumerate(found):
@@ -251,7 +251,7 @@ def _rest_of_bytes(ids: list, found: list[str], edges: np.ndarray, starts: np.nd
         columns["n_removed"].append(int(mine.sum()))
         columns["n_spans"].append(int(mine[:1].sum() + (mine[1:] & ~mine[:-1]).sum()))
         columns["kept_sha256"].append(hashlib.sha256(np.frombuffer(b, np.uint8)[~mine].tobytes() if mine.any() else b).hexdigest())
-    return pa.Table.from_pydict({"doc_id": ids, **columns}, schema=arrow_schema(OUT))
+    return pa.Table.from_pydict({"doc_id": rows.column("doc_id"), **columns}, schema=arrow_schema(OUT))
 
 
 def digest(docs: DataFrame) -> DataFrame:
