@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD1342543DE82EF95)
-SLICE = 1 << 21
+SLICE = 1 << 19
 NO_ID = -(1 << 63)
 
 FOUND = "anchor long, span long, doc_key long, block int, doc int, pos int, n int, copies int"

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from adjudica.llm.common import remainder
+from adjudica.llm.common import in_rows, remainder
 
 BITS = 14
 DIMENSIONS = 1 << BITS
@@ -86,7 +86,7 @@ def train(docs: DataFrame, rows_per_language: int = 400, landmarks: int = 240) -
     taught = rows.withColumn("at", spread).join(shares, "lang").where(F.col("at") < F.col("share")).select("doc_id", "lang", "text")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_rows(batches):
             bits = []
             for text in batch.column("text").to_pylist():
                 row = np.zeros(DIMENSIONS, np.float32)
@@ -108,23 +108,21 @@ def predict(docs: DataFrame, model: Model, rows: int = 128) -> DataFrame:
     is the winning regression value mapped from [-1, 1] to [0, 1].
     """
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                found = part.column("text").to_pylist()
-                live = [has_letter(t) and bool(model.languages) for t in found]
-                x = np.zeros((len(found), DIMENSIONS), np.float32)
-                for k, text in enumerate(found):
-                    if live[k]:
-                        presence(text, x[k])
-                names, scores = [UNKNOWN] * len(found), np.zeros(len(found))
-                if model.languages:
-                    s = model.scores(x)
-                    top = s.argmax(axis=1)
-                    names = [model.languages[top[k]] if live[k] else UNKNOWN for k in range(len(found))]
-                    scores = np.where(live, np.clip((s.max(axis=1) + 1) / 2, 0, 1), 0.0).astype(float)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                                                 names=["doc_id", "lang_pred", "score"])
+        for part in in_rows(batches, rows):
+            found = part.column("text").to_pylist()
+            live = [has_letter(t) and bool(model.languages) for t in found]
+            x = np.zeros((len(found), DIMENSIONS), np.float32)
+            for k, text in enumerate(found):
+                if live[k]:
+                    presence(text, x[k])
+            names, scores = [UNKNOWN] * len(found), np.zeros(len(found))
+            if model.languages:
+                s = model.scores(x)
+                top = s.argmax(axis=1)
+                names = [model.languages[top[k]] if live[k] else UNKNOWN for k in range(len(found))]
+                scores = np.where(live, np.clip((s.max(axis=1) + 1) / 2, 0, 1), 0.0).astype(float)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                                             names=["doc_id", "lang_pred", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(predicted, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

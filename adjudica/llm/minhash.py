@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from adjudica.llm.anchors import arrow_schema, gram_hashes, mixed
-from adjudica.llm.common import drop_written, texts, written
+from adjudica.llm.common import drop_written, in_rows, texts, written
 from adjudica.llm.substring import hashes_of_words
 
 SHINGLE, ROWS, BANDS = 5, 3, 32
@@ -81,38 +81,34 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            sets = shingle_sets(batch.column("text").to_pylist())
-            full = [k for k, s in enumerate(sets) if len(s)]
-            keys = dict(zip(full, band_keys(signatures([sets[k] for k in full])).tolist()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                 pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64()))], names=["doc_id", "n", "node", "bands"])
+    for batch in in_rows(batches):
+        sets = shingle_sets(batch.column("text").to_pylist())
+        full = [k for k, s in enumerate(sets) if len(s)]
+        keys = dict(zip(full, band_keys(signatures([sets[k] for k in full])).tolist()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+             pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+             pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64()))], names=["doc_id", "n", "node", "bands"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of texts whose full sets are 0.75 alike or more."""
     schema = arrow_schema("a long, b long")
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            c = {name: batch.column(name).to_pylist() for name in ("a", "b", "text_a", "text_b")}
-            names = {t: k for k, t in enumerate(dict.fromkeys(c["text_a"] + c["text_b"]))}
-            sets = shingle_sets(list(names))
-            node = [class_of(s) for s in sets]
-            a_out, b_out = [], []
-            for a, b, ta, tb in zip(c["a"], c["b"], c["text_a"], c["text_b"]):
-                x, y = names[ta], names[tb]
-                # Where an id repeats with other texts, only the text of the class counts.
-                if node[x] != a or node[y] != b:
-                    continue
-                common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * common >= 75 * (len(sets[x]) + len(sets[y]) - common):
-                    a_out.append(a), b_out.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], schema=schema)
+    for batch in in_rows(batches):
+        c = {name: batch.column(name).to_pylist() for name in ("a", "b", "text_a", "text_b")}
+        names = {t: k for k, t in enumerate(dict.fromkeys(c["text_a"] + c["text_b"]))}
+        sets = shingle_sets(list(names))
+        node = [class_of(s) for s in sets]
+        a_out, b_out = [], []
+        for a, b, ta, tb in zip(c["a"], c["b"], c["text_a"], c["text_b"]):
+            x, y = names[ta], names[tb]
+            # Where an id repeats with other texts, only the text of the class counts.
+            if node[x] != a or node[y] != b:
+                continue
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * common >= 75 * (len(sets[x]) + len(sets[y]) - common):
+                a_out.append(a), b_out.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], schema=schema)
 
 
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -147,13 +143,11 @@ def links_between(u: list[np.ndarray], m: list[np.ndarray], columns: int = 4096)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for at in range(0, whole.num_rows, 512):
-            batch = whole.slice(at, 512)
-            found = shingle_sets(batch.column("text").to_pylist())
-            nodes = batch.column("node").to_pylist()
-            mine = [k for k, s in enumerate(found) if len(s) and class_of(s) == nodes[k]]
-            yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in mine], pa.int64()), pa.array([found[k].tobytes() for k in mine], pa.binary())], names=["node", "shingles"])
+    for batch in in_rows(batches):
+        found = shingle_sets(batch.column("text").to_pylist())
+        nodes = batch.column("node").to_pylist()
+        mine = [k for k, s in enumerate(found) if len(s) and class_of(s) == nodes[k]]
+        yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in mine], pa.int64()), pa.array([found[k].tobytes() for k in mine], pa.binary())], names=["node", "shingles"])
 
 
 def _block_links(group: pa.Table) -> pa.Table:

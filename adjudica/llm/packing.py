@@ -26,9 +26,11 @@ from adjudica.llm.pretokens import class_runs, cut, in_slices
 
 LIMIT = 2048
 HARD_STEP = 256
-LINE_TOKENS = 4 << 20
+LINE_TOKENS = 2 << 20
 SENTENCE, HARD = 1.0, 16.0
 END_ID = 1
+#: Words whose ids a task remembers before it starts anew; encoding does not depend on it.
+KNOWN_WORDS = 400_000
 POWERS = (128, 256, 512, 1024)
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -102,7 +104,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
         ends_sentence = np.array([(tokenizer.id_to_token(i) or " ")[-1] in ".!?Ċ" for i in range(tokenizer.get_vocab_size())])
         table = np.repeat(runs[1], runs[0])
         shard = TaskContext.get().partitionId() << 32
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, bytes] = {}
         sequences = 0
         ids: list = []
         lengths: list[np.ndarray] = []
@@ -114,19 +116,19 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
             words, counts = cut(part, table)
             coded_words = words.dictionary_encode()
             distinct = coded_words.dictionary.cast(pa.string()).to_pylist()
-            if len(known) > 1_500_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             new = [w for w in distinct if w not in known]
             for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.uint32)
-            arrays = [known[w] for w in distinct] + [np.array([end_id], np.uint32)]
-            offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])])
+                known[w] = np.array(e.ids, "<u4").tobytes()
+            spelled = [*map(known.__getitem__, distinct), np.array([end_id], "<u4").tobytes()]
+            offsets = np.cumsum([0, *map(len, spelled)]) // 4
             # The end of each text is one more word.
-            which = np.insert(coded_words.indices.to_numpy().astype(np.int64), np.cumsum(counts), len(arrays) - 1)
+            which = np.insert(coded_words.indices.to_numpy().astype(np.int64), np.cumsum(counts), len(spelled) - 1)
             per_word = np.diff(offsets)[which]
             total = np.concatenate([[0], np.cumsum(per_word)])
             stops = np.cumsum(counts + 1)
-            return ragged(np.concatenate(arrays), offsets, which), np.diff(np.concatenate([[0], total[stops]]))
+            return ragged(np.frombuffer(b"".join(spelled), "<u4"), offsets, which), np.diff(np.concatenate([[0], total[stops]]))
 
         def flush() -> pa.RecordBatch:
             nonlocal sequences, waiting, ids, lengths, line

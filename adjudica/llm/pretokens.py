@@ -64,7 +64,7 @@ def cut(texts: list[str], table: np.ndarray) -> tuple[pa.BinaryArray, np.ndarray
     return words, np.diff(np.searchsorted(firsts, edges))
 
 
-def in_slices(texts: list[str], chars: int = 1 << 22):
+def in_slices(texts: list[str], chars: int = 1 << 20):
     """Texts in order, in lists of about so many characters."""
     part, size = [], 0
     for text in texts:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from adjudica.llm.common import remainder, texts
+from adjudica.llm.common import in_rows, remainder, texts
 from adjudica.llm.stats import TextStats
 
 BINS = 64
@@ -133,7 +133,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in in_rows(batches):
         rows = [features(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Forest:
 def score(docs: DataFrame, forest: Forest, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; a null text is scored as an empty one."""
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_rows(batches):
             x = np.array([features(t) for t in batch.column("text").to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
             s = forest.scores(x)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
@@ -170,7 +170,7 @@ def score(docs: DataFrame, forest: Forest, threshold: float = 0.7) -> DataFrame:
 def keep_good(docs: DataFrame, forest: Forest, threshold: float = 0.7) -> DataFrame:
     """The rows scored at least threshold, with all their columns."""
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_rows(batches):
             x = np.array([features(t) for t in batch.column("text").to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
             yield batch.filter(pa.array(forest.scores(x) >= threshold))
 

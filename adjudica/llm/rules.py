@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from adjudica.llm.common import texts
+from adjudica.llm.common import in_rows, texts
 from adjudica.llm.stats import TextStats
 
 
@@ -48,7 +48,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
 
     def timed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spent, hits, rows = [0.0] * len(rules), [0] * len(rules), 0
-        for batch in batches:
+        for batch in in_rows(batches):
             for text in batch.column("text").to_pylist():
                 rows += 1
                 for k, rule in enumerate(rules):
@@ -83,7 +83,7 @@ def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_ro
     cascade = ordered(rules, measure(docs, rules, sample_rows))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_rows(batches):
             yield batch.filter(pa.array([passes(TextStats(t), cascade) for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(kept, docs.schema)
@@ -98,7 +98,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_rows(batches):
             columns: dict[str, list] = {c: [] for c in (*counts, "base_failed", "kept")}
             for text in batch.column("text").to_pylist():
                 s = TextStats(text)

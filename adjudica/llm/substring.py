@@ -29,11 +29,11 @@ BLANK = re.compile(rb"[\x20\x09-\x0d]")
 WORD = re.compile(rb"[\x20\x09-\x0d]*[^\x20\x09-\x0d]+")
 
 
-def word_hashes(found: list[str], piece_bytes: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(found: list[str], piece_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     return hashes_of_words([t.encode("utf-8", "surrogatepass") for t in found], piece_bytes)
 
 
-def hashes_of_words(found: list[bytes], piece_bytes: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+def hashes_of_words(found: list[bytes], piece_bytes: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words and the edges of each text, computed for pieces of the joined bytes."""
     rng = np.random.default_rng(20240229)
     letters = rng.integers(1, 1 << 63, 256, np.uint64)
