@@ -40,7 +40,11 @@ def _stack(probe: DataFrame, feed: DataFrame, by: Sequence[str], probe_time: str
     for i in range(len(by)):
         right = right.where(F.col(f"_k{i}").isNotNull())
     both = left.unionByName(right, allowMissingColumns=True)
-    return both.withColumn("_slice", F.floor(F.col("_t") / int(slice_seconds * 1_000_000)))
+    complete = F.col("_t").isNotNull()
+    for i in range(len(by)):
+        complete = complete & F.col(f"_k{i}").isNotNull()
+    # Probe rows without a key or a time match nothing; a hash spreads them, or they would be one cell.
+    return both.withColumn("_slice", F.when(complete, F.floor(F.col("_t") / int(slice_seconds * 1_000_000))).otherwise(F.xxhash64("_row")))
 
 
 def _scan(stack: DataFrame, keys: list[str], sides: Sequence[str]) -> DataFrame:
@@ -55,7 +59,7 @@ def _scan(stack: DataFrame, keys: list[str], sides: Sequence[str]) -> DataFrame:
         rank = F.when(F.col("_feed").isNotNull(), F.struct(F.col("_t") if back else -F.col("_t"), -F.col("_seq")))
         totals.append(F.max_by("_feed", rank).alias(f"_cell_{side}"))
         names.append(side)
-    cells = stack.groupBy(*cell_keys).agg(*totals)
+    cells = stack.where("_t is not null").groupBy(*cell_keys).agg(*totals)
     carried = []
     for side in names:
         slices = F.col("_slice").asc() if side == "before" else F.col("_slice").desc()
@@ -70,7 +74,7 @@ def _scan(stack: DataFrame, keys: list[str], sides: Sequence[str]) -> DataFrame:
 
 
 def asof_backward(probe: DataFrame, feed: DataFrame, by: Sequence[str], probe_time: str,
-                  feed_time: str, take: Sequence[str], seq: str | None = None,
+                  feed_time: str, take: Sequence[str], seq: str,
                   slice_seconds: float = 3600, out: str = "match") -> DataFrame:
     """Last feed row with ``feed_time <= probe_time``; ``out.error_seconds`` is its age."""
     keys = [f"_k{i}" for i in range(len(by))]
@@ -85,7 +89,7 @@ def asof_backward(probe: DataFrame, feed: DataFrame, by: Sequence[str], probe_ti
 
 def asof_nearest(probe: DataFrame, feed: DataFrame, by: Sequence[str], probe_time: str,
                  feed_time: str, take: Sequence[str], tolerance_seconds: float,
-                 seq: str | None = None, slice_seconds: float = 3600,
+                 seq: str, slice_seconds: float = 3600,
                  out: str = "match") -> DataFrame:
     """Nearest feed row within a tolerance; equal distances take the lowest ``seq``."""
     keys = [f"_k{i}" for i in range(len(by))]
@@ -111,7 +115,7 @@ def max_until(probe: DataFrame, feed: DataFrame, by: Sequence[str], probe_time:
     inside = (Window.partitionBy(*keys, "_slice").orderBy("_t", "_side")
               .rowsBetween(Window.unboundedPreceding, 0))
     across = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    cells = stack.groupBy(*keys, "_slice").agg(F.max("_m").alias("_top"))
+    cells = stack.where("_t is not null").groupBy(*keys, "_slice").agg(F.max("_m").alias("_top"))
     cells = cells.select(*keys, "_slice", F.max("_top").over(across).alias("_carry"))
     found = (stack.withColumn("_scan", F.max("_m").over(inside)).where("_side = 1").drop("_feed")
              .join(cells, [*keys, "_slice"], "left"))

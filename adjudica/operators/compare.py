@@ -43,11 +43,13 @@ def _rates(df: DataFrame) -> list[Column]:
 def breakdowns(deviations: DataFrame, dimensions: Sequence[str] = DIMENSIONS) -> DataFrame:
     """Every breakdown in one grouping-sets pass; NULL keys stay a group of their own."""
     present = [d for d in dimensions if d in deviations.columns]
-    rows = deviations.withColumns({d: F.coalesce(F.col(d).cast("string"), F.lit("<missing>")) for d in present})
-    grouped = rows.groupingSets([[F.col(d)] for d in present], *[F.col(d) for d in present]).agg(*_rates(rows))
-    name = F.coalesce(*[F.when(F.col(d).isNotNull(), d) for d in present])
-    return grouped.select(name.alias("dimension"), F.coalesce(*present).alias("key"),
-                          *[c for c in grouped.columns if c not in present])
+    rows = deviations.withColumns({d: F.col(d).cast("string") for d in present})
+    grouped = rows.groupingSets([[F.col(d)] for d in present], *[F.col(d) for d in present]).agg(
+        *[F.grouping(d).alias(f"_off_{d}") for d in present], *_rates(rows))
+    on = {d: F.col(f"_off_{d}") == 0 for d in present}
+    rates = [c for c in grouped.columns if c not in present and not c.startswith("_off_")]
+    return grouped.select(F.coalesce(*[F.when(on[d], d) for d in present]).alias("dimension"),
+                          F.coalesce(*[F.when(on[d], F.col(d)) for d in present]).alias("key"), *rates)
 
 
 def overall(deviations: DataFrame) -> DataFrame:

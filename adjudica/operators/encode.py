@@ -10,11 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from adjudica.constants import BOOLEAN_FEATURES, CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from adjudica.functions.blanks import bool_to_int, number
 from adjudica.operators.features import assert_no_leakage
-from adjudica.operators.running import dense_code
-from adjudica.session import BROADCAST_ROWS, cut_lineage
+from adjudica.operators.running import dense_code, running
+from adjudica.session import cut_lineage
 
 METADATA = ("penalty", "row_id", "incident_id", "session", "season", "penalty_severity", "split")
-_BRACKET_ROWS = 20_000
 
 
 def raw_value(column: str) -> Column:
@@ -31,55 +30,31 @@ def coerce_features(df: DataFrame, columns: Sequence[str], keep: Sequence[str] =
     return df.select(*[F.col(c) for c in keep], *[raw_value(c).alias(f"x_{c}") for c in columns])
 
 
-def _quantiles(df: DataFrame, wanted: dict[str, tuple[float, float]], within: dict[str, Column],
-               accuracy: int) -> dict[str, tuple[float, float]]:
-    row = df.agg(*[F.percentile_approx(
-        F.when(within[c], F.col(c)), F.array(F.lit(a), F.lit(b)), F.lit(accuracy)).alias(f"q{i}")
-        for i, (c, (a, b)) in enumerate(wanted.items())]).first()
-    return {c: tuple(row[f"q{i}"]) for i, c in enumerate(wanted)}
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float | None]:
+    """Exact medians of all columns in one pass over the rows.
 
-
-def exact_medians(df: DataFrame, columns: Sequence[str], bracket_rows: int = _BRACKET_ROWS) -> dict[str, float | None]:
-    """Exact medians without gathering a column in one task.
-
-    A sketch brackets the middle ranks and rows below the bracket are only counted. Brackets
-    with many distinct values are narrowed and tried again; the rest are counted exactly. All
-    columns share each pass.
+    Rows become one count per (column, value). The counts are summed in value order on the executors, in cells between
+    quantiles of the values, and the values that hold the middle ranks are picked there: one row per column comes back.
     """
     medians: dict[str, float | None] = {c: None for c in columns}
     if not columns:
         return medians
-    sizes = df.agg(*[F.count(c).alias(c) for c in columns]).first()
-    todo = [c for c in columns if sizes[c]]
-    if not todo:
-        return medians
-    bounds = _quantiles(df, {c: (0.499, 0.501) for c in todo}, {c: F.lit(True) for c in todo}, 10_000)
-    while todo:
-        inside = {c: F.col(c).between(*bounds[c]) for c in todo}
-        stats = df.agg(*[e for c in todo for e in (
-            F.count_if(F.col(c) < bounds[c][0]).alias(f"b_{c}"), F.count_if(inside[c]).alias(f"s_{c}"))]).first()
-        cells = F.array_compact(F.array(*[
-            F.when(inside[c], F.struct(F.lit(c).alias("c"), F.col(c).alias("v"))) for c in todo]))
-        counts = df.select(F.explode(cells).alias("e")).groupBy("e.c", "e.v").agg(F.count(F.lit(1)).alias("n"))
-        distinct = {r.c: r["count"] for r in counts.groupBy("c").count().collect()}
-        small = [c for c in todo if distinct.get(c, 0) <= bracket_rows]
-        values: dict[str, list] = {c: [] for c in small}
-        for r in counts.where(F.col("c").isin(small)).collect():
-            values[r.c].append((r.v, r.n))
-        for c in small:
-            ranks, seen, picked = ((sizes[c] - 1) // 2, sizes[c] // 2), stats[f"b_{c}"], []
-            for value, n in sorted(values[c]):
-                picked += [value for rank in ranks if seen <= rank < seen + n]
-                seen += n
-            medians[c] = sum(picked) / 2
-        todo = [c for c in todo if c not in small]
-        if todo:
-            shares = {}
-            for c in todo:
-                base, span = stats[f"b_{c}"], stats[f"s_{c}"]
-                shares[c] = (max(((sizes[c] - 1) // 2 - base) / span - 0.001, 0.0),
-                             min((sizes[c] // 2 - base) / span + 0.001, 1.0))
-            bounds = _quantiles(df, shares, inside, 100_000)
+    entries = F.array_compact(F.array(*[
+        F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v"))) for c in columns]))
+    counts = df.select(F.explode(entries).alias("e")).groupBy("e.c", "e.v").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)
+    shares = [k / 64 for k in range(1, 64)]
+    facts = counts.groupBy("c").agg(F.percentile_approx("v", shares, 1000).alias("bounds"), F.sum("n").alias("total"))
+    placed = counts.join(facts, "c").withColumn("cell", F.size(F.filter("bounds", lambda b: b < F.col("v"))))
+    summed = running(placed, ["c"], ["cell"], [F.col("v")], F.col("n"), "before")
+    picks = F.lit(0)
+    for rank in (F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)):
+        picks = picks + ((F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))).cast("int")
+    middle = summed.withColumn("picks", picks).where("picks > 0").groupBy("c").agg(
+        F.sum(F.col("v") * F.col("picks")).alias("sum"), F.sum("picks").alias("picks"))
+    for r in middle.collect():
+        assert r.picks == 2, f"median of {r.c}: {r.picks} middle ranks"
+        medians[r.c] = r["sum"] / 2
     return medians
 
 
@@ -109,7 +84,6 @@ class Encoder:
     numeric: list[str]
     fills: dict[str, float | str]
     codes: DataFrame
-    sizes: dict[str, int]
 
     @property
     def output_columns(self) -> list[str]:
@@ -123,8 +97,6 @@ class Encoder:
         for c in self.categorical:
             codes = self.codes.where(F.col("column") == c).select(
                 F.col("value").alias(f"v_{c}"), F.col("code").alias(f"cat__{c}"))
-            if self.sizes[c] <= BROADCAST_ROWS:
-                codes = F.broadcast(codes)
             rows = rows.withColumn(f"v_{c}", F.coalesce(f"x_{c}", F.lit(self.fills[c]))).join(codes, f"v_{c}", "left")
         return rows.select(
             *kept,
@@ -144,8 +116,7 @@ def fit_encoder(train: DataFrame, columns: Sequence[str]) -> Encoder:
         # The dictionary is read once per column, so its small table is materialised.
         counts = cut_lineage(category_counts(raw, categorical))
         fills |= {r["column"]: r["value"] for r in most_frequent(counts).collect()}
-        sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
         codes = cut_lineage(ordinal_codes(counts))
     else:
-        codes, sizes = train.sparkSession.createDataFrame([], "column string, value string, code long"), {}
-    return Encoder([c for c in categorical if c in fills], [c for c in numeric if c in fills], fills, codes, sizes)
+        codes = train.sparkSession.createDataFrame([], "column string, value string, code long")
+    return Encoder([c for c in categorical if c in fills], [c for c in numeric if c in fills], fills, codes)

@@ -15,7 +15,7 @@ from adjudica.operators.encode import fit_encoder
 from adjudica.operators.features import group_columns
 from adjudica.operators.metrics import class_weights, group_modes, summary
 from adjudica.operators.selection import drop_least_important, prune_raw
-from adjudica.session import cut_lineage, sized
+from adjudica.session import cut_lineage
 
 LABEL = "penalty_severity"
 PROBABILITIES = tuple(f"proba_{SEVERITY_NAMES[v]}" for v in SEVERITY_LABELS)
@@ -31,7 +31,7 @@ ABLATION = (
 
 
 def weighted(train: DataFrame, label: str = LABEL, fixed_labels: int | None = None) -> DataFrame:
-    return train.join(sized(class_weights(train, label, fixed_labels)), label, "left")
+    return train.join(class_weights(train, label, fixed_labels), label, "left")
 
 
 def is_feature(name: str) -> bool:
@@ -93,7 +93,7 @@ def baselines(train: DataFrame, validation: DataFrame, key: str = "session") ->
     majority = group_modes(train, None, LABEL)
     named = train.where(F.trim(F.coalesce(F.col(key), F.lit(""))) != "")
     modes = group_modes(named, key, LABEL).withColumnRenamed("mode", "_mode")
-    joined = validation.join(sized(modes), key, "left").withColumn("pred_majority", majority.scalar())
+    joined = validation.join(modes, key, "left").withColumn("pred_majority", majority.scalar())
     return joined.withColumn("pred_session_stratified", F.coalesce("_mode", "pred_majority")).drop("_mode")
 
 

@@ -8,7 +8,6 @@ from adjudica.functions.blanks import number, or_empty
 from adjudica.functions.multi import split_drop
 from adjudica.functions.scoring import years_in_sport
 from adjudica.functions.text import id_slug, nationality_slug, slug
-from adjudica.session import sized
 
 
 def with_meta(incidents: DataFrame, meta: DataFrame) -> DataFrame:
@@ -19,14 +18,14 @@ def resolve_circuit(df: DataFrame, circuits: DataFrame, event: str = "event") ->
     """Circuit by event name, else the slug of the event without its suffix."""
     known = circuits.select(F.col("event_name").alias(event), F.col("circuit").alias("_c"))
     fallback = slug(F.replace(or_empty(event), F.lit(" Grand Prix"), F.lit("")))
-    return df.join(sized(known), event, "left").withColumn(
+    return df.join(known, event, "left").withColumn(
         "circuit", F.coalesce("_c", fallback)).drop("_c")
 
 
 def corner_sector(df: DataFrame, circuits: DataFrame) -> DataFrame:
     """Sector of (circuit, turn); ``circuits.corners`` maps turn to sector."""
     corners = circuits.select("circuit", F.explode("corners").alias("turn_number", "_sector"))
-    return df.join(sized(corners), ["circuit", "turn_number"], "left").withColumn(
+    return df.join(corners, ["circuit", "turn_number"], "left").withColumn(
         "sector", F.coalesce(F.col("_sector").cast("string"), F.lit(""))).drop("_sector")
 
 
@@ -40,7 +39,7 @@ def canonical_teams(teams: DataFrame) -> DataFrame:
 
 def resolve_teams(df: DataFrame, teams: DataFrame, team: str = "team_id") -> DataFrame:
     table = canonical_teams(teams).withColumnRenamed("team_id", team)
-    return df.join(sized(table), team, "left").withColumn(
+    return df.join(table, team, "left").withColumn(
         "canonical", F.coalesce("canonical", F.col(team)))
 
 
@@ -66,12 +65,12 @@ def season_driver_fields(incidents: DataFrame, drivers: DataFrame, standings: Da
     named = ~F.col("driver").startswith("car_")
     table = standings.select("season", "driver", F.col("position").alias("driver_standings"),
                              F.col("points").alias("driver_points"), F.col("team").alias("team_id"))
-    rows = (rows.join(sized(drivers), "driver", "left").join(sized(table), ["season", "driver"], "left"))
+    rows = (rows.join(drivers, "driver", "left").join(table, ["season", "driver"], "left"))
     rows = resolve_teams(rows, teams).withColumnRenamed("canonical", "respective_teams")
     by_team = team_standings.select("season", F.col("team").alias("respective_teams"),
                                     F.col("position").alias("construct_standings"),
                                     F.col("points").alias("construct_points"))
-    rows = rows.join(sized(by_team), ["season", "respective_teams"], "left")
+    rows = rows.join(by_team, ["season", "respective_teams"], "left")
     fields = ("nationalities", "driver_standings", "driver_points", "respective_teams",
               "construct_standings", "construct_points", "years_in_sport")
     rows = rows.withColumns({"nationalities": nationality_slug("nationality"),
@@ -139,7 +138,7 @@ def top_four(standings: DataFrame) -> DataFrame:
 
 def mode_lookup(df: DataFrame, modes: DataFrame, fallback: Column, key: str, out: str) -> DataFrame:
     """Group mode with a global fallback."""
-    return df.join(sized(modes.withColumnRenamed("mode", "_m")), key, "left").withColumn(
+    return df.join(modes.withColumnRenamed("mode", "_m"), key, "left").withColumn(
         out, F.coalesce("_m", fallback)).drop("_m")
 
 
@@ -147,6 +146,6 @@ def resolve_round(rows: DataFrame, local: DataFrame, fetched: DataFrame) -> Data
     """Own round, else the local calendar's, else the fetched calendar's."""
     first = local.select("season", "event", F.col("round").alias("_local"))
     second = fetched.select("season", "event", F.col("round").alias("_fetched"))
-    return (rows.join(sized(first), ["season", "event"], "left").join(sized(second), ["season", "event"], "left")
+    return (rows.join(first, ["season", "event"], "left").join(second, ["season", "event"], "left")
             .withColumn("round", F.coalesce(number("round").cast("int"), "_local", "_fetched"))
             .drop("_local", "_fetched"))

@@ -14,7 +14,6 @@ from adjudica.constants import EVENT_ALIASES
 from adjudica.functions.blanks import or_empty, strip
 from adjudica.functions.feeds import session_type
 from adjudica.functions.text import event_name, event_stem, event_token, id_slug
-from adjudica.session import sized
 
 
 def substrings(text: Column) -> Column:
@@ -34,7 +33,7 @@ def local_rounds(events: DataFrame, circuits: DataFrame, calendar: DataFrame) ->
     """
     wanted = events.select("season", "event").where(or_empty("event") != "").distinct()
     names = circuits.select("event_name", "circuit", "ordinal")
-    exact = wanted.join(sized(names), wanted.event == names.event_name).select(
+    exact = wanted.join(names, wanted.event == names.event_name).select(
         "season", "event", F.lit(0).alias("rank"), "ordinal", "circuit")
     parts = names.select("circuit", "ordinal", F.explode(substrings(F.lower("event_name"))).alias("stem"))
     loose = wanted.withColumn("stem", event_stem("event")).join(parts, "stem").select(

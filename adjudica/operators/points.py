@@ -4,28 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from adjudica.functions.blanks import number, or_empty
+from adjudica.functions.blanks import number
 from adjudica.functions.multi import split_drop
 from adjudica.functions.scoring import first_named_driver, license_points
-from adjudica.operators.running import running
+from adjudica.operators.running import running, with_text_cell
 
 _UNKNOWN_ROUND = 999
 _UNKNOWN_DATE = "9999-12-31"
 
 
-def driver_points(incidents: DataFrame, id_prefix: int = 14) -> DataFrame:
+def driver_points(incidents: DataFrame) -> DataFrame:
     """One row per incident and named driver with the points held before the incident.
 
     Order within a season is (round, date, incident id): earlier rows of the same round do
-    count. Points go to the first named driver. ``id_prefix`` characters of the id cut a
-    driver's single date into several cells.
+    count. Points go to the first named driver. Cells between sampled ids cut a driver's single
+    date.
     """
     drivers = split_drop("drivers")
-    rows = incidents.select(
+    rows = with_text_cell(incidents, "incident_id", "_cell").select(
         "incident_id", F.coalesce(F.col("season").cast("int"), F.lit(-1)).alias("season"),
         F.coalesce(number("round").cast("int"), F.lit(_UNKNOWN_ROUND)).alias("_round"),
         F.coalesce(F.col("date").cast("date"), F.lit(_UNKNOWN_DATE).cast("date")).alias("_date"),
-        F.left(or_empty("incident_id"), F.lit(id_prefix)).alias("_cell"),
+        "_cell",
         license_points("superlicense_points_added").alias("_points"),
         first_named_driver(drivers).alias("_primary"),
         F.explode(F.array_distinct(drivers)).alias("driver"))
@@ -36,9 +36,9 @@ def driver_points(incidents: DataFrame, id_prefix: int = 14) -> DataFrame:
                    credit, "points_before")
 
 
-def points_before(incidents: DataFrame, id_prefix: int = 14) -> DataFrame:
+def points_before(incidents: DataFrame) -> DataFrame:
     """(incident_id, superlicense_points_before_incident): one value per listed driver."""
-    held = driver_points(incidents, id_prefix)
+    held = driver_points(incidents)
     listed = incidents.select("incident_id", F.posexplode(split_drop("drivers")).alias("pos", "driver"))
     joined = listed.join(held.select("incident_id", "driver", "points_before"), ["incident_id", "driver"], "left")
     value = F.coalesce(F.col("points_before").cast("string"), F.lit(""))

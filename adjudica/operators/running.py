@@ -46,9 +46,19 @@ def running(df: DataFrame, keys: Sequence[str], bucket: Sequence[str], order: Se
     return joined.withColumn(out, both).drop("_v", "_scan", "_carry")
 
 
-def dense_code(df: DataFrame, group: str, value: str, out: str, prefix: int = 2) -> DataFrame:
+def with_text_cell(df: DataFrame, value: str, out: str, cells: int = 64) -> DataFrame:
+    """Add a monotone cell of a text column: how many of ``cells`` sampled values are smaller; NULL is in cell 0.
+
+    The sample is the values with the smallest hashes, so it follows the data whatever its ids look like; it shapes the
+    work and no result.
+    """
+    sample = df.select(F.col(value).alias("v")).where("v is not null").orderBy(F.xxhash64("v"), "v").limit(cells)
+    bounded = df.withColumn("_bounds", sample.agg(F.array_sort(F.collect_set("v"))).scalar())
+    smaller = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+    return bounded.withColumn(out, F.when(F.col(value).isNull(), 0).otherwise(smaller)).drop("_bounds")
+
+
+def dense_code(df: DataFrame, group: str, value: str, out: str) -> DataFrame:
     """Zero-based rank of distinct ``value`` within ``group`` in binary text order."""
-    distinct = (df.select(group, value).distinct()
-                .withColumn("_cell", F.left(F.col(value), F.lit(prefix))))
-    ranked = running(distinct, [group], ["_cell"], [F.col(value)], F.lit(1), out)
-    return ranked.drop("_cell")
+    distinct = with_text_cell(df.select(group, value).distinct(), value, "_cell")
+    return running(distinct, [group], ["_cell"], [F.col(value)], F.lit(1), out).drop("_cell")

@@ -59,7 +59,7 @@ def equal_depth_bins(df: DataFrame, columns: dict[str, Column], bins: int = 10)
 
 def mutual_information(df: DataFrame, discrete: dict[str, Column], label: str) -> DataFrame:
     """(feature, mi) in nats between each discrete column and the label, in one shuffle."""
-    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(e.cast("string"), F.lit("<missing>")).alias("x"))
+    entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.concat(F.lit("="), e.cast("string")), F.lit("")).alias("x"))
                         for c, e in discrete.items()])
     rows = df.select(F.explode(entries).alias("e"), F.col(label).alias("y")).select("e.*", "y")
     joint = rows.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy"))
@@ -80,19 +80,14 @@ def correlation_prune(pairs: Sequence[tuple[str, str, float | None]], scores: di
     Works on the k*k summary, not on rows. An undefined correlation keeps both columns, and a
     dropped column prunes nothing further.
     """
-    corr = {(a, b): c for a, b, c in pairs} | {(b, a): c for a, b, c in pairs}
-    kept, dropped = set(columns), []
-    for i, a in enumerate(numeric):
-        for b in numeric[i + 1:]:
-            if a not in kept:
-                break
-            value = corr.get((a, b))
-            if b not in kept or value is None or abs(value) <= threshold:
-                continue
-            lose, win = (b, a) if scores.get(a, 0.0) >= scores.get(b, 0.0) else (a, b)
-            kept.discard(lose)
-            dropped.append((lose, win))
-    return [c for c in columns if c in kept], dropped
+    place = {c: k for k, c in enumerate(numeric)}
+    strong = [tuple(sorted((a, b), key=place.get)) for a, b, c in pairs if c is not None and abs(c) > threshold and a in place and b in place]
+    lost: dict[str, str] = {}
+    for a, b in sorted(strong, key=lambda p: (place[p[0]], place[p[1]])):
+        if not lost.keys() & {a, b}:
+            weak, good = (b, a) if scores.get(a, 0.0) >= scores.get(b, 0.0) else (a, b)
+            lost[weak] = good
+    return [c for c in columns if c not in lost], list(lost.items())
 
 
 def prune_raw(train: DataFrame, columns: Sequence[str], label: str = "penalty_severity",

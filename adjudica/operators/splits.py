@@ -18,13 +18,10 @@ def season_list(value: Any) -> list[int]:
 
 def assignments(splits: Mapping[str, Any]) -> dict[int, str]:
     """Season -> split name; a season in two splits is an error."""
-    assigned: dict[int, str] = {}
-    for name, key in (("train", "train_seasons"), ("validation", "validation_season"), ("test", "test_season")):
-        for season in season_list(splits.get(key)):
-            if season in assigned:
-                raise ValueError(f"season {season} appears in multiple splits")
-            assigned[season] = name
-    return assigned
+    if twice := overlap(splits):
+        raise ValueError(f"seasons {sorted(twice)} appear in multiple splits")
+    keys = {"train": "train_seasons", "validation": "validation_season", "test": "test_season"}
+    return {season: name for name, key in keys.items() for season in season_list(splits.get(key))}
 
 
 def overlap(splits: Mapping[str, Any]) -> set[int]:

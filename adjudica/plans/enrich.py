@@ -20,7 +20,6 @@ from adjudica.functions.text import id_slug, nationality_slug
 from adjudica.operators import lookup, match, points
 from adjudica.operators.asof import asof_backward, asof_nearest, max_until
 from adjudica.operators.fill import fill_columns, fill_gap, record
-from adjudica.session import sized
 
 POSITIONS = "positions_of_involved parties"
 Enriched = tuple[DataFrame, DataFrame]
@@ -42,9 +41,9 @@ def enrich_reference(incidents: DataFrame, meta: DataFrame, circuits: DataFrame,
         "season", "event", F.col("circuit").alias("_circuit"), F.col("round").alias("_round"))
     facts = circuits.select(F.col("circuit").alias("_circuit"), F.col("country").alias("_country"),
                             F.col("first_season").alias("_first"), F.col("total_laps").alias("_laps"))
-    rows = rows.join(rounds, ["season", "event"], "left").join(sized(facts), "_circuit", "left")
+    rows = rows.join(rounds, ["season", "event"], "left").join(facts, "_circuit", "left")
     season = seasons["seasons"].select("season", F.col("rounds").alias("_rounds"), F.col("num_teams").alias("_teams"))
-    rows = rows.join(sized(season), "season", "left")
+    rows = rows.join(season, "season", "left")
     race_laps = F.when(F.lower(or_empty("session")) == "race", F.col("_laps"))
     updates = {"round": F.col("_round"), "circuit": F.col("_circuit"), "country": F.col("_country"),
                "first_season": F.col("_first"), "full_laps": race_laps,
@@ -60,7 +59,7 @@ def enrich_reference(incidents: DataFrame, meta: DataFrame, circuits: DataFrame,
     if with_standings:
         top = lookup.top_four(seasons["drivers"].select(
             "season", F.lit(0).alias("round"), F.col("position").alias("ordinal"), F.col("driver").alias("driver_id")))
-        rows = rows.join(sized(top.select("season", F.col("current_top_4_drivers").alias("_top"))), "season", "left")
+        rows = rows.join(top.select("season", F.col("current_top_4_drivers").alias("_top")), "season", "left")
         rows = fill_columns(rows, {"current_top_4_drivers": F.col("_top")})
     return rows.select(*incidents.columns)
 
@@ -92,10 +91,10 @@ def enrich_standings(incidents: DataFrame, meta: DataFrame, calendar: DataFrame,
     found = match.ranked_rounds(rows, calendar).withColumnRenamed("round", "_round")
     races = calendar.select("season", F.col("round").alias("_round"), F.col("circuit_id").alias("_circuit"),
                             F.col("country").alias("_country"))
-    rows = rows.join(found, ["season", "event"], "left").join(sized(races), ["season", "_round"], "left")
+    rows = rows.join(found, ["season", "event"], "left").join(races, ["season", "_round"], "left")
     count = calendar.groupBy("season").agg(F.count(F.lit(1)).alias("_rounds"))
     size = team_standings.groupBy("season").agg(F.countDistinct("constructor_id").alias("_teams"))
-    rows = rows.join(sized(count), "season", "left").join(sized(size), "season", "left")
+    rows = rows.join(count, "season", "left").join(size, "season", "left")
     basics = {"round": F.col("_round"), "circuit": F.col("_circuit"), "country": F.col("_country")}
     filled = [record(rows, c, "standings_feed", 2, is_blank(c) & ~is_blank(v), {"value": v}) for c, v in basics.items()]
     rows = fill_columns(rows, {**basics, "rounds": F.col("_rounds"), "num_teams": F.col("_teams")})
@@ -155,7 +154,7 @@ def max_laps(laps: DataFrame, keys: list[str], lap: str) -> DataFrame:
 
 
 def positions(rows: DataFrame, numbers: DataFrame, on: list[str], feed: DataFrame, by: list[str], at: str,
-              feed_time: str, position: str, driver: str, tolerance: float, seq: str | None = None) -> DataFrame:
+              feed_time: str, position: str, driver: str, tolerance: float, seq: str) -> DataFrame:
     """(incident_id, _positions): nearest position of each listed driver, blanks kept."""
     listed = rows.select("incident_id", "car_number", *dict.fromkeys([*on, *by]), at,
                          F.posexplode(split_drop("drivers")).alias("pos", "driver"))
@@ -184,7 +183,7 @@ def enrich_feed(incidents: DataFrame, meta: DataFrame, sessions: DataFrame, laps
                         "seq", out="_rc")
     rows = rows.join(max_laps(laps, ["session_key"], "lap_number"), "session_key", "left")
     cells = positions(rows, numbers, ["session_key"], position, ["session_key"], "_at", "date", "position",
-                      "driver_number", tolerance)
+                      "driver_number", tolerance, "seq")
     rows = rows.join(cells, "incident_id", "left")
     known = F.col("session_key").isNotNull()
     hint = F.when(known & (F.coalesce("lap_hint", F.lit(0)) > 0), F.col("lap_hint").cast("string"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from adjudica.constants import INCIDENT_COLUMNS, QUALITY_GATES
 from adjudica.functions import feeds, text as tx
@@ -313,10 +313,10 @@ def _(spark, sf):
 @query("O03_breakdown_order", f"""WITH {RULED_SQL}, b AS (SELECT incident_type AS key, round(1 - avg(CAST(dir = 0 AS INT)), 6) AS disagreement_rate FROM dev GROUP BY 1)
     SELECT key, disagreement_rate, row_number() OVER (ORDER BY disagreement_rate DESC, key) AS position FROM b""")
 def _(spark, sf):
-    rows = compare.breakdowns(ruled(spark, sf), ["incident_type"]).orderBy(F.col("disagreement_rate").desc(), "key")
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct((-F.col("disagreement_rate")).alias("d"), "key"))).alias("l"))
-    return listed.select(F.posexplode("l").alias("p", "e")).select(
-        "e.key", F.round(-F.col("e.d"), 6).alias("disagreement_rate"), (F.col("p") + 1).alias("position"))
+    # One row per incident type; the grouping has been done before rows meet in one window.
+    place = Window.orderBy(F.col("disagreement_rate").desc(), "key")
+    rows = compare.breakdowns(ruled(spark, sf), ["incident_type"]).withColumn("position", F.row_number().over(place))
+    return rows.select("key", F.round("disagreement_rate", 6).alias("disagreement_rate"), "position").orderBy("position")
 
 
 def importances(spark, sf):

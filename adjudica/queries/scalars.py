@@ -114,10 +114,10 @@ def _(spark, sf):
 
 
 @query("F18_event_name", r"""
-    SELECT doc_id, trim(regexp_replace(replace(lower(regexp_replace(strip_accents(left(text, 200)), '[^\x00-\x7F]', '', 'g')),
+    SELECT doc_id, trim(regexp_replace(replace(lower(regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')),
         'grand prix', ' '), '[^a-z0-9]+', ' ', 'g')) AS name FROM documents""")
 def _(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tx.event_name(F.left("text", F.lit(200))).alias("name"))
+    return table(spark, sf, "documents").select("doc_id", tx.event_name("text").alias("name"))
 
 
 @query("F19_id_slugs", """

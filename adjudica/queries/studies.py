@@ -342,7 +342,7 @@ def _(spark, sf):
 
 @query("M08_ablation")
 def _(spark, sf):
-    return learning.ablation(splits.temporal_split(jobs.engineered(roles.incidents(spark, sf)), SPLITS), trees=5, depth=3)
+    return learning.ablation(splits.temporal_split(jobs.engineered(roles.incidents(spark, sf)), SPLITS))
 
 
 @query("M09_text_dataset", f"WITH {TEXT_ROWS_SQL} SELECT row_id, {SPLIT_SQL} AS split, md5(text) AS digest FROM joined WHERE drop_reason IS NULL AND penalty <> ''")
@@ -356,7 +356,7 @@ def text_dataset(spark, sf):
 
 
 def labelled_texts(spark, sf):
-    """Documents with a quality label; the language decides the split."""
+    """Documents with a quality label; a hash of the id decides the split."""
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
     return rows.select(F.col("doc_id").cast("string").alias("row_id"), "text", F.col("quality").alias("penalty_severity"),
                        F.when(F.xxhash64("doc_id") % 4 == 0, "validation").otherwise("train").alias("split"))
@@ -365,7 +365,7 @@ def labelled_texts(spark, sf):
 @query("M10_text_classifier")
 def _(spark, sf):
     train, validation = _parts(labelled_texts(spark, sf))
-    return learning.score(learning.fit_text(train, features=1 << 14, iterations=10), validation, "pred_nlp")
+    return learning.score(learning.fit_text(train), validation, "pred_nlp")
 
 
 _FUSED_SQL = f"""a AS ({PRED_SQL}), b AS ({PRED2_SQL}), f AS (SELECT a.row_id, a.penalty_severity, [a.proba_no_penalty, a.proba_minor, a.proba_major] AS n, [b.proba_no_penalty, b.proba_minor, b.proba_major] AS t,
@@ -385,7 +385,7 @@ def _(spark, sf):
 @query("M12_stacked_fusion")
 def _(spark, sf):
     merged = learning.merge_modalities(predictions(spark, sf), tabular_predictions(spark, sf))
-    model = learning.fit_stack(merged, iterations=10)
+    model = learning.fit_stack(merged)
     return learning.score(model, merged, "pred_stacked")
 
 
@@ -400,7 +400,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = coded(spark, sf)
     path = new_path(spark, "model")
-    learning.fit_tabular(rows.where("split = 'train'"), trees=5).write().overwrite().save(path)
+    learning.fit_tabular(rows.where("split = 'train'")).write().overwrite().save(path)
     scored = learning.score(PipelineModel.load(path), rows.where("split = 'test'"), "pred")
     return rounded(metrics.summary(scored, learning.LABEL, "pred", probabilities=learning.PROBABILITIES))
 
@@ -416,7 +416,7 @@ def _(spark, sf):
 @query("M16_text_evaluation")
 def _(spark, sf):
     train, validation = _parts(labelled_texts(spark, sf))
-    scored = learning.score(learning.fit_text(train, features=1 << 12, iterations=5), validation, "pred_nlp")
+    scored = learning.score(learning.fit_text(train), validation, "pred_nlp")
     wrong = learning.errors(scored, "pred_nlp").agg(F.count(F.lit(1)).alias("errors"))
     return metrics.summary(scored, learning.LABEL, "pred_nlp").withColumn("errors", wrong.scalar())
 
@@ -446,7 +446,7 @@ def _(spark, sf):
     rows = coded(spark, sf)
     train, validation = _parts(rows)
     path = new_path(spark, "stack-model")
-    learning.fit_tabular(train, trees=5).write().overwrite().save(path)
+    learning.fit_tabular(train).write().overwrite().save(path)
     model = PipelineModel.load(path)
     return learning.score(model, train, "pred").withColumn("split", F.lit("train")).unionByName(
         learning.score(model, validation, "pred").withColumn("split", F.lit("validation")))

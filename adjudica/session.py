@@ -1,26 +1,22 @@
-"""Session helpers: shared folder, reliable lineage cuts, size-checked broadcast."""
+"""Session helpers: shared folder, reliable lineage cuts."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# A dimension is broadcast only when a bounded count proves it has at most this many rows.
-BROADCAST_ROWS = 50_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it."""
+    """The folder every executor can reach, as the cluster names it.
+
+    Only where spark.checkpoint.dir is unset is it a folder of the warehouse, which lies on the session's default file system.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder is None:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        # Only a session without the setting (tests) gets a folder of its own.
-        folder = tempfile.mkdtemp(prefix="adjudica-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        folder = current.get() if current.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    if not current.isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
@@ -33,19 +29,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def sized(dim: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a size check; larger sides are left to a shuffled join."""
-    if dim.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(dim)
-    return dim
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that has fewer splits than the cluster has cores.
-
-    Meant for CPU-heavy work on a unique key; a scan with enough splits is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

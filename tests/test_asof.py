@@ -66,6 +66,6 @@ def test_team_and_standing_lookups(spark):
 def test_keyed_positions(spark):
     rows = spark.createDataFrame([("i", 2712.0, 0, 44), ("i", 2712.0, 1, None)], "incident_id string, at double, pos int, driver_number int")
     laps = spark.createDataFrame([(44, 2, 2700.0), (44, 3, 2800.0), (7, 9, 2712.0)], "driver_number int, position int, Time double")
-    near = asof_nearest(rows, laps, ["driver_number"], "at", "Time", ["position"], 45)
+    near = asof_nearest(rows, laps, ["driver_number"], "at", "Time", ["position"], 45, "position")
     cell = lookup.regroup(near.withColumn("p", F.col("match.position")), "incident_id", "p").first().p
     assert cell == "2,"

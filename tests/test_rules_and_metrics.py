@@ -61,7 +61,7 @@ def test_comparison(spark):
     assert o.agreement_rate_excl_manual_review == pytest.approx(2 / 3)
     assert out["top_deviations"].first().row_id == "d"
     keys = {(r.dimension, r.key) for r in out["breakdowns"].collect()}
-    assert ("circuit", "<missing>") in keys and sum(d == "incident_type" for d, _ in keys) == 3
+    assert ("circuit", None) in keys and sum(d == "incident_type" for d, _ in keys) == 3
     model = spark.createDataFrame([("a", 0), ("b", 0)], "row_id string, pred int")
     three = compare.three_way(out["rows"], model).first()
     assert (three.overlap_rows, three.agreement_actual_model, three.agreement_rule_model) == (2, 0.5, 0.5)
