@@ -19,11 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from adjudica.llm.common import texts
+from adjudica.llm.common import in_rows, texts
 from adjudica.llm.pretokens import class_runs, cut, in_slices
 
 BUCKETS = 1 << 16
-BLOCK_CHARS = 24 << 20
+BLOCK_CHARS = 12 << 20
 #: Code point of id 0 when ids are written as characters; above the surrogates, so any vocabulary's ids fit.
 FIRST = 0x10000
 DONE = "!"
@@ -125,7 +125,7 @@ def blocks(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
                 pa.array([which.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(known)], pa.int32()), spelled)],
                 names=["ids", "counts", "which", "words"])
 
-        for batch in batches:
+        for batch in in_rows(batches):
             at = 0
             for part in in_slices(batch.column("text").to_pylist()):
                 found, many = cut(part, table)
@@ -159,7 +159,7 @@ def _rows(batches: Iterator[pa.RecordBatch]):
             for w in words:
                 per_word.append(flat[at:at + len(w)])
                 at += len(w)
-            yield (batch.column("ids")[k].values, np.frombuffer(batch.column("which")[k].as_py(), np.int32).tolist(),
+            yield (batch.column("ids")[k].values, np.frombuffer(batch.column("which")[k].as_py(), np.int32),
                    np.concatenate([[0], np.cumsum(counts)]).tolist(), per_word)
 
 
@@ -168,7 +168,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, which, edges, words in _rows(batches):
             for d in range(len(ids)):
-                flat = [i for w in which[edges[d]:edges[d + 1]] for i in words[w]]
+                flat = [i for w in which[edges[d]:edges[d + 1]].tolist() for i in words[w]]
                 yield pa.RecordBatch.from_arrays([ids.slice(d, 1), pa.array([flat], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return encoded_blocks(docs, ranks).mapInArrow(assembled, "doc_id long, ids array<int>")
@@ -194,7 +194,7 @@ def digest(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             many = list(map(len, words))
             n, a, b = [], [], []
             for d in range(len(ids)):
-                mine = which[edges[d]:edges[d + 1]]
+                mine = which[edges[d]:edges[d + 1]].tolist()
                 n.append(sum([many[w] for w in mine]))
                 a.append(hashlib.sha256(" ".join([codes[w] for w in mine]).encode()).hexdigest())
                 b.append(hashlib.sha256(b"".join([decoded[w] for w in mine])).hexdigest())

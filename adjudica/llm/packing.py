@@ -13,6 +13,8 @@ LINE_TOKENS, so nothing is shuffled and a task holds one line.
 
 from __future__ import annotations
 
+import gc
+import os
 from collections import deque
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from adjudica.llm.common import texts
+from adjudica.llm.common import in_rows, texts
 from adjudica.llm.pretokens import class_runs, cut, in_slices
 
 LIMIT = 2048
@@ -31,6 +33,7 @@ SENTENCE, HARD = 1.0, 16.0
 END_ID = 1
 #: Words whose ids a task remembers before it starts anew; encoding does not depend on it.
 KNOWN_WORDS = 400_000
+CODED_CHARS = 6 << 20
 POWERS = (128, 256, 512, 1024)
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -54,7 +57,11 @@ def best_cuts(cuts: np.ndarray, penalties: np.ndarray, limit: int = LIMIT, power
     at, cost = cuts.tolist(), penalties.tolist()
     n = len(at)
     f, came = [0.0] * n, [0] * n
-    place = {c: k for k, c in enumerate(at)}
+    exact: list = [()] * n
+    for p in powers:
+        k = np.searchsorted(cuts, cuts - p)
+        for j in np.flatnonzero((cuts >= p) & (cuts[k] == cuts - p)).tolist():
+            exact[j] += (int(k[j]),)
     queue: deque = deque([(0.0, 0)])
     for j in range(1, n):
         c = at[j]
@@ -62,9 +69,8 @@ def best_cuts(cuts: np.ndarray, penalties: np.ndarray, limit: int = LIMIT, power
             queue.popleft()
         value, i = queue[0]
         value += limit - c
-        for p in powers:
-            k = place.get(c - p)
-            if k is not None and f[k] < value:
+        for k in exact[j]:
+            if f[k] < value:
                 value, i = f[k], k
         value += cost[j]
         f[j], came[j] = value, i
@@ -83,7 +89,9 @@ def ragged(flat: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> np.ndarr
     """flat[offsets[w]:offsets[w + 1]] for each w, one after the other."""
     lengths = (offsets[1:] - offsets[:-1])[which]
     total = np.cumsum(lengths)
-    return flat[np.repeat(offsets[:-1][which] - total + lengths, lengths) + np.arange(int(total[-1]) if len(total) else 0)]
+    at = np.repeat((offsets[:-1][which] - total + lengths).astype(np.int32), lengths)
+    at += np.arange(len(at), dtype=np.int32)
+    return flat[at]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int = END_ID) -> DataFrame:
@@ -96,6 +104,8 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
     runs = class_runs()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Spark gives a task one core; the library's own threads would take more.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -113,18 +123,23 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
 
         def coded(part: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Ids of the texts one after the other, each with end_id, and how many each has."""
-            words, counts = cut(part, table)
-            coded_words = words.dictionary_encode()
-            distinct = coded_words.dictionary.cast(pa.string()).to_pylist()
+            slices = [cut(s, table) for s in in_slices(part)]
+            counts = np.concatenate([c for _, c in slices])
+            coded_words = pa.chunked_array([w for w, _ in slices], pa.binary()).dictionary_encode()
+            distinct = coded_words.chunk(coded_words.num_chunks - 1).dictionary.cast(pa.string()).to_pylist()
+            index = np.concatenate([x.indices.to_numpy() for x in coded_words.chunks])
             if len(known) > KNOWN_WORDS:
                 known.clear()
             new = [w for w in distinct if w not in known]
+            # Encodings come by the hundred thousand and hold no cycles.
+            gc.disable()
             for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
                 known[w] = np.array(e.ids, "<u4").tobytes()
+            gc.enable()
             spelled = [*map(known.__getitem__, distinct), np.array([end_id], "<u4").tobytes()]
             offsets = np.cumsum([0, *map(len, spelled)]) // 4
             # The end of each text is one more word.
-            which = np.insert(coded_words.indices.to_numpy().astype(np.int64), np.cumsum(counts), len(spelled) - 1)
+            which = np.insert(index, np.cumsum(counts), len(spelled) - 1)
             per_word = np.diff(offsets)[which]
             total = np.concatenate([[0], np.cumsum(per_word)])
             stops = np.cumsum(counts + 1)
@@ -151,9 +166,9 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
             ids, lengths, line, waiting = [], [], [], 0
             return out
 
-        for batch in batches:
+        for batch in in_rows(batches, 2048):
             at = 0
-            for part in in_slices(batch.column("text").to_pylist()):
+            for part in in_slices(batch.column("text").to_pylist(), CODED_CHARS):
                 tokens, size = coded(part)
                 ids.append(batch.column("doc_id").slice(at, len(part)))
                 lengths.append(size), line.append(tokens)
