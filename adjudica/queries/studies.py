@@ -151,7 +151,7 @@ def _(spark, sf):
     rows, _ = enrich.enrich_feed(
         incidents, side, sessions(spark, sf), roles.feed(spark, sf, LAPS).select("session_key", "lap_number", F.col("ts").alias("date_start")),
         roles.feed(spark, sf, MESSAGES).select("session_key", F.col("ts").alias("date"), "flag", "message", "sector", F.col("event_id").alias("seq")),
-        roles.feed(spark, sf, POSITIONS).select("session_key", "driver_number", "position", F.col("ts").alias("date")),
+        roles.feed(spark, sf, POSITIONS).select("session_key", "driver_number", "position", F.col("ts").alias("date"), F.col("event_id").alias("seq")),
         match.number_keys(results(spark, sf), roster(spark, sf), ["session_key"]), tolerance=1800)
     return rows.select("incident_id", "lap", "full_laps", "flag", "sector", F.col(f"`{enrich.POSITIONS}`").alias("positions"))
 
