@@ -174,5 +174,5 @@ def digest(docs: DataFrame, bucket_bytes: int = 32 << 20) -> DataFrame:
             yield printed(rows)
 
     ranged = docs.mapInArrow(dealt, "range int, guest int, doc_id long, text string")
-    ranged = ranged.coalesce(1) if alone else ranged.repartition("range")
+    ranged = ranged.coalesce(1) if alone else ranged.repartitionById(len(heads), F.col("range"))
     return ranged.sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), F.col("text").desc()).mapInArrow(streamed, OUT)
