@@ -83,7 +83,9 @@ def train(docs: DataFrame, rows_per_language: int = 400, landmarks: int = 240) -
             .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 3) != 1)))
     shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), rows_per_language / F.count("*")).alias("share"))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    taught = rows.withColumn("at", spread).join(shares, "lang").where(F.col("at") < F.col("share")).select("doc_id", "lang", "text")
+    ids = rows.select("doc_id", "lang", spread.alias("at")).join(shares, "lang").where(F.col("at") < F.col("share")).select("doc_id").distinct()
+    # About rows_per_language ids a language, as many as the fit collects: the texts need not be shuffled.
+    taught = rows.join(F.broadcast(ids), "doc_id")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_rows(batches):
