@@ -40,6 +40,15 @@ def record(df: DataFrame, field: str, source: str, stage: int, when: Column,
         F.lit(stage).alias("stage"), F.map_from_entries(entries).alias("details"))
 
 
+def record_all(df: DataFrame, source: str, stage: int, fields: Mapping[str, tuple[Column, Mapping[str, Column]]]) -> DataFrame:
+    """Provenance of several fields of one source in one pass: ``fields`` maps a name to (when, details)."""
+    entries = [F.when(when, F.struct(F.lit(name).alias("field"), F.map_from_entries(F.array_compact(F.array(*[
+        F.when(or_empty(value) != "", F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))
+        for key, value in details.items()]))).alias("details"))) for name, (when, details) in fields.items()]
+    rows = df.where(or_empty("incident_id") != "").select("incident_id", F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    return rows.select("incident_id", "e.field", F.lit(source).alias("source"), F.lit(stage).alias("stage"), "e.details")
+
+
 def latest_provenance(records: DataFrame) -> DataFrame:
     """Last write per (incident, field) by stage."""
     payload = F.struct("source", "details")

@@ -19,7 +19,7 @@ from adjudica.functions.scoring import infer_fault, suggest_severity
 from adjudica.functions.text import id_slug, nationality_slug
 from adjudica.operators import lookup, match, points
 from adjudica.operators.asof import asof_backward, asof_nearest, max_until
-from adjudica.operators.fill import fill_columns, fill_gap, record
+from adjudica.operators.fill import fill_columns, fill_gap, record, record_all
 
 POSITIONS = "positions_of_involved parties"
 Enriched = tuple[DataFrame, DataFrame]
@@ -112,8 +112,9 @@ def enrich_standings(incidents: DataFrame, meta: DataFrame, calendar: DataFrame,
     used = F.greatest(F.col("_round") - 1, F.lit(0))
     # A cell of commas only holds no value.
     value = {c: F.when(F.replace(or_empty(f"_f_{c}"), F.lit(","), F.lit("")) != "", F.col(f"_f_{c}")) for c in names}
-    filled += [record(rows, c, "standings_feed", 2, value[c].isNotNull(), {"value": value[c], "round_used": used})
-               for c in names if overwrite]
+    if overwrite:
+        filled.append(record_all(rows, "standings_feed", 2, {
+            c: (value[c].isNotNull(), {"value": value[c], "round_used": used}) for c in names}))
     rows = rows.withColumns({c: fill_gap(
         F.col(c), F.coalesce(F.col(f"_f_{c}"), F.lit("")) if write_blanks else value[c],
         overwrite and c in STANDINGS_COLUMNS, not write_blanks) for c in names})
@@ -141,12 +142,10 @@ def enrich_timestamps(incidents: DataFrame, meta: DataFrame, schedule: DataFrame
 
 
 def timestamp_provenance(meta: DataFrame) -> DataFrame:
-    return record(
-        meta, "session_offset_seconds", "timestamp", 8, F.col("session_offset_seconds").isNotNull(),
-        {"value": F.col("session_offset_seconds"), "method": F.col("time_parse_method"),
-         "confidence": F.col("time_parse_confidence")},
-    ).unionByName(record(meta, "lap", "timestamp", 8, F.col("lap_hint").isNotNull(),
-                         {"value": F.col("lap_hint"), "via": F.lit("lap_hint")}))
+    return record_all(meta, "timestamp", 8, {
+        "session_offset_seconds": (F.col("session_offset_seconds").isNotNull(), {
+            "value": F.col("session_offset_seconds"), "method": F.col("time_parse_method"), "confidence": F.col("time_parse_confidence")}),
+        "lap": (F.col("lap_hint").isNotNull(), {"value": F.col("lap_hint"), "via": F.lit("lap_hint")})})
 
 
 def max_laps(laps: DataFrame, keys: list[str], lap: str) -> DataFrame:
@@ -198,9 +197,9 @@ def enrich_feed(incidents: DataFrame, meta: DataFrame, sessions: DataFrame, laps
                 "match_error_seconds": F.when(hint.isNull(), F.col("_lap.error_seconds"))},
         "full_laps": {"session_key": F.col("session_key")}, "flag": rc, "sector": rc,
         POSITIONS: {"session_key": F.col("session_key")}}
-    filled = [record(rows, c, "race_feed", 4, is_blank(F.col(f"`{c}`")) & v.isNotNull(), {"value": v, **details[c]})
-              for c, v in updates.items()]
-    return fill_columns(rows, updates).select(*[F.col(f"`{c}`") for c in incidents.columns]), _union(filled)
+    filled = record_all(rows, "race_feed", 4, {
+        c: (is_blank(F.col(f"`{c}`")) & v.isNotNull(), {"value": v, **details[c]}) for c, v in updates.items()})
+    return fill_columns(rows, updates).select(*[F.col(f"`{c}`") for c in incidents.columns]), filled
 
 
 def enrich_session_frames(incidents: DataFrame, meta: DataFrame, laps: DataFrame, messages: DataFrame,
@@ -245,9 +244,9 @@ def enrich_session_frames(incidents: DataFrame, meta: DataFrame, laps: DataFrame
         POSITIONS: F.col("_positions"),
         "safety_car": F.when(F.col("_at").isNull(), overall).when(near, safety_car_state("_rc.Message")),
     }
-    filled = [record(rows, c, "session_frames", 5, is_blank(F.col(f"`{c}`")) & v.isNotNull(),
-                     {"value": v, "round": F.col("_round")}) for c, v in updates.items()]
-    return fill_columns(rows, updates).select(*[F.col(f"`{c}`") for c in incidents.columns]), _union(filled)
+    filled = record_all(rows, "session_frames", 5, {
+        c: (is_blank(F.col(f"`{c}`")) & v.isNotNull(), {"value": v, "round": F.col("_round")}) for c, v in updates.items()})
+    return fill_columns(rows, updates).select(*[F.col(f"`{c}`") for c in incidents.columns]), filled
 
 
 def enrich_points(incidents: DataFrame, dates: DataFrame) -> Enriched:
@@ -275,14 +274,12 @@ def enrich_text(incidents: DataFrame, meta: DataFrame, docs: DataFrame,
         "_sev": suggest_severity("_fact", "_reason", "_decision", "penalty")})
     fault, sure = F.col("_fault.value"), F.col("_fault.confidence")
     write = (fault != "") & (sure >= min_confidence) & is_blank("driver_at_fault")
-    filled = [
-        record(rows, "driver_at_fault", "text_fields", 7, fault != "",
-               {"value": fault, "confidence": sure, "suggestion_only": F.when(~write, "true")}),
-        record(rows, "severity", "text_fields", 7, F.lit(True),
-               {"value": F.col("_sev.value"), "confidence": F.col("_sev.confidence"),
-                "suggestion_only": (~is_blank("severity")).cast("string")})]
+    filled = record_all(rows, "text_fields", 7, {
+        "driver_at_fault": (fault != "", {"value": fault, "confidence": sure, "suggestion_only": F.when(~write, "true")}),
+        "severity": (F.lit(True), {"value": F.col("_sev.value"), "confidence": F.col("_sev.confidence"),
+                                   "suggestion_only": (~is_blank("severity")).cast("string")})})
     suggestions = rows.select(
         "incident_id", fault.alias("driver_at_fault_suggestion"), sure.alias("driver_at_fault_confidence"),
         F.col("_sev.value").alias("severity_suggestion"), F.col("_sev.confidence").alias("severity_confidence"))
     rows = rows.withColumn("driver_at_fault", F.when(write, fault).otherwise(F.col("driver_at_fault")))
-    return rows.select(*[F.col(f"`{c}`") for c in incidents.columns]), _union(filled), suggestions
+    return rows.select(*[F.col(f"`{c}`") for c in incidents.columns]), filled, suggestions
