@@ -20,6 +20,7 @@ from adjudica.functions.text import id_slug, nationality_slug
 from adjudica.operators import lookup, match, points
 from adjudica.operators.asof import asof_backward, asof_nearest, max_until
 from adjudica.operators.fill import fill_columns, fill_gap, record, record_all
+from adjudica.session import cut_lineage
 
 POSITIONS = "positions_of_involved parties"
 Enriched = tuple[DataFrame, DataFrame]
@@ -157,7 +158,7 @@ def positions(rows: DataFrame, numbers: DataFrame, on: list[str], feed: DataFram
     """(incident_id, _positions): nearest position of each listed driver, blanks kept."""
     listed = rows.select("incident_id", "car_number", *dict.fromkeys([*on, *by]), at,
                          F.posexplode(split_drop("drivers")).alias("pos", "driver"))
-    numbered = match.driver_numbers(listed, numbers, on)
+    numbered = cut_lineage(match.driver_numbers(listed, numbers, on))
     known = feed.where(F.col(position).isNotNull()).withColumnRenamed(driver, "driver_number")
     near = asof_nearest(numbered, known, [*by, "driver_number"], at, feed_time, [position], tolerance, seq)
     near = near.withColumn("_positions", F.col("match")[position].cast("string"))
@@ -165,6 +166,15 @@ def positions(rows: DataFrame, numbers: DataFrame, on: list[str], feed: DataFram
     return cells.where(F.replace("_positions", F.lit(","), F.lit("")) != "")
 
 
+def _probes(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with a number, and the few columns of them that an as-of join sorts.
+
+    The rows are materialised, so chained joins neither repeat their upstream nor carry whole rows, and numbers are stable.
+    """
+    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    return rows, rows.select("_row", *keys, "_at")
+
+
 def enrich_feed(incidents: DataFrame, meta: DataFrame, sessions: DataFrame, laps: DataFrame, messages: DataFrame,
                 position: DataFrame, numbers: DataFrame, tolerance: float = MATCH_TOLERANCE_SECONDS,
                 first_season: int = FEED_FIRST_SEASON) -> Enriched:
@@ -177,9 +187,11 @@ def enrich_feed(incidents: DataFrame, meta: DataFrame, sessions: DataFrame, laps
     rows = rows.join(keys, ["_year", "event", "session"], "left")
     rows = rows.withColumn("_at", times.add_seconds(
         F.col("date_start"), F.col("session_offset_seconds").cast("double")))
-    rows = asof_backward(rows, laps, ["session_key"], "_at", "date_start", ["lap_number"], "lap_number", out="_lap")
-    rows = asof_nearest(rows, messages, ["session_key"], "_at", "date", ["flag", "message", "sector"], tolerance,
-                        "seq", out="_rc")
+    rows, probe = _probes(rows, ["session_key"])
+    lap = asof_backward(probe, laps, ["session_key"], "_at", "date_start", ["lap_number"], "lap_number", out="_lap")
+    rc = asof_nearest(probe, messages, ["session_key"], "_at", "date", ["flag", "message", "sector"], tolerance,
+                      "seq", out="_rc")
+    rows = rows.join(lap.select("_row", "_lap"), "_row").join(rc.select("_row", "_rc"), "_row")
     rows = rows.join(max_laps(laps, ["session_key"], "lap_number"), "session_key", "left")
     cells = positions(rows, numbers, ["session_key"], position, ["session_key"], "_at", "date", "position",
                       "driver_number", tolerance, "seq")
@@ -218,8 +230,10 @@ def enrich_session_frames(incidents: DataFrame, meta: DataFrame, laps: DataFrame
         "_session": F.lower(or_empty("session"))})
     seconds = times.incident_seconds("session_offset_seconds", "time")
     rows = rows.withColumn("_at", F.when(seconds >= 0, seconds))
-    rows = max_until(rows, laps, keys, "_at", "Time", "LapNumber", out="_lap")
-    rows = asof_nearest(rows, messages, keys, "_at", "Time", ["Message", "Flag", "Sector"], tolerance, "seq", out="_rc")
+    rows, probe = _probes(rows, keys)
+    lap = max_until(probe, laps, keys, "_at", "Time", "LapNumber", out="_lap")
+    rc = asof_nearest(probe, messages, keys, "_at", "Time", ["Message", "Flag", "Sector"], tolerance, "seq", out="_rc")
+    rows = rows.join(lap.select("_row", "_lap"), "_row").join(rc.select("_row", "_rc"), "_row")
     rows = rows.join(max_laps(laps, keys, "LapNumber"), keys, "left")
     last = weather.groupBy(*keys).agg(F.max_by(F.struct("Rainfall", "TrackStatus"), "Time").alias("_weather"))
     text = F.upper(or_empty("Message"))
