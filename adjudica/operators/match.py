@@ -33,13 +33,15 @@ def local_rounds(events: DataFrame, circuits: DataFrame, calendar: DataFrame) ->
     """
     wanted = events.select("season", "event").where(or_empty("event") != "").distinct()
     names = circuits.select("event_name", "circuit", "ordinal")
-    exact = wanted.join(names, wanted.event == names.event_name).select(
-        "season", "event", F.lit(0).alias("rank"), "ordinal", "circuit")
+    # Only the first name of a key can win, so each side keeps one row per key before it is joined.
+    first = F.min(F.struct("ordinal", "circuit")).alias("first")
+    exact = wanted.join(names.groupBy(F.col("event_name").alias("event")).agg(first), "event").select(
+        "season", "event", F.lit(0).alias("rank"), "first")
     parts = names.select("circuit", "ordinal", F.explode(substrings(F.lower("event_name"))).alias("stem"))
-    loose = wanted.withColumn("stem", event_stem("event")).join(parts, "stem").select(
-        "season", "event", F.lit(1).alias("rank"), "ordinal", "circuit")
-    best = exact.unionByName(loose).groupBy("season", "event").agg(
-        F.min_by("circuit", F.struct("rank", "ordinal")).alias("circuit"))
+    loose = wanted.withColumn("stem", event_stem("event")).join(parts.groupBy("stem").agg(first), "stem").select(
+        "season", "event", F.lit(1).alias("rank"), "first")
+    best = exact.unionByName(loose).groupBy("season", "event").agg(F.min(F.struct("rank", "first")).alias("b")).select(
+        "season", "event", F.col("b.first.circuit").alias("circuit"))
     first_round = calendar.groupBy("season", "circuit").agg(F.min("round").alias("round"))
     return best.join(first_round, ["season", "circuit"], "left").select("season", "event", "circuit", "round")
 
@@ -64,28 +66,29 @@ def ranked_rounds(events: DataFrame, calendar: DataFrame) -> DataFrame:
     def found(df: DataFrame, rank: Column) -> DataFrame:
         return df.select("season", "event", rank.alias("rank"), "round")
 
-    exact = found(
-        wanted.withColumn("k", F.lower("event")).join(
-            races.withColumn("k", F.lower("race_name")), ["season", "k"]), F.lit(1))
-    equal = found(named.join(races, (named.season == races.season) & (named.target == races.name))
-                  .drop(races.season), F.lit(2) + F.col("other"))
-    spelled = races.where("name <> ''")
-    inside = found(
-        named.join(spelled.select("season", "round", F.explode(substrings(F.col("name"))).alias("target")),
-                   ["season", "target"]), F.lit(4) + F.col("other"))
+    def first(df: DataFrame, *keys: Column) -> DataFrame:
+        """The earliest and the latest round per season and key: no join below meets more than one row per key."""
+        return df.groupBy("season", *keys).agg(F.min("round").alias("round"), F.max("round").alias("last"))
+
+    exact = found(wanted.withColumn("k", F.lower("event")).join(
+        first(races, F.lower("race_name").alias("k")), ["season", "k"]), F.lit(1))
+    equal = found(named.join(first(races, F.col("name").alias("target")), ["season", "target"]), F.lit(2) + F.col("other"))
+    spelled = first(races.where("name <> ''"), F.col("name"))
+    parts = spelled.select("season", "round", F.explode(substrings(F.col("name"))).alias("target"))
+    inside = found(named.join(first(parts, F.col("target")), ["season", "target"]), F.lit(4) + F.col("other"))
     around = found(
         named.select("season", "event", "other", F.explode(substrings(F.col("target"))).alias("name"))
         .join(spelled, ["season", "name"]), F.lit(4) + F.col("other"))
     words = usable.select("season", "event", F.explode(F.array_distinct(F.split("target", " "))).alias("word"))
-    shared = words.join(
-        spelled.select("season", "round", F.explode(F.array_distinct(F.split("name", " "))).alias("word")),
-        ["season", "word"])
-    single = (shared.groupBy("season", "event").agg(F.min("round").alias("round"), F.max("round").alias("last"))
-              .where(F.col("round") == F.col("last")))
+    spoken = races.where("name <> ''").select("season", "round", F.explode(F.array_distinct(F.split("name", " "))).alias("word"))
+    single = (words.join(first(spoken, F.col("word")), ["season", "word"]).groupBy("season", "event")
+              .agg(F.min("round").alias("round"), F.max("last").alias("last")).where(F.col("round") == F.col("last")))
     candidates = exact.unionByName(equal).unionByName(inside).unionByName(around).unionByName(
         found(single, F.lit(6)))
+    # Rank and round in one number: a hash aggregate, where a struct would be sorted.
     best = candidates.groupBy("season", "event").agg(
-        F.min_by("round", F.struct("rank", "round")).alias("round"))
+        F.min(F.col("rank").cast("long") * (1 << 32) + F.col("round")).alias("b")).select(
+        "season", "event", (F.col("b") % (1 << 32)).cast(races.schema["round"].dataType).alias("round"))
     return wanted.select("season", "event").join(best, ["season", "event"], "left")
 
 
@@ -107,11 +110,13 @@ def session_keys(wanted: DataFrame, sessions: DataFrame) -> DataFrame:
     holds = places.select("season", "meeting_key", "seq", "nth", F.explode(
         F.array_union(F.array(F.lit("")), substrings(F.col("place")))).alias("want"))
     events = asked.select("season", "event", "want").distinct()
-    inside = events.join(holds, ["season", "want"]).select("season", "event", "meeting_key", "seq", "nth")
+    # One row per key on the meeting side: only its first meeting can win.
+    first = F.min(F.struct(order.alias("at"), "meeting_key")).alias("m")
+    inside = events.join(holds.groupBy("season", "want").agg(first), ["season", "want"]).select("season", "event", "m")
     around = (events.select("season", "event", F.explode(substrings(F.col("want"))).alias("place"))
-              .join(places, ["season", "place"]).select("season", "event", "meeting_key", "seq", "nth"))
-    meeting = inside.unionByName(around).groupBy("season", "event").agg(
-        F.min_by("meeting_key", order).alias("meeting_key"))
+              .join(places.groupBy("season", "place").agg(first), ["season", "place"]).select("season", "event", "m"))
+    meeting = inside.unionByName(around).groupBy("season", "event").agg(F.min("m").alias("m")).select(
+        "season", "event", F.col("m.meeting_key").alias("meeting_key"))
     lowered = F.lower(or_empty("session"))
     target = session_type("session")
     rows = (asked.drop("want").join(meeting, ["season", "event"])
