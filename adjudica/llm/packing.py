@@ -32,8 +32,8 @@ LINE_TOKENS = 2 << 20
 SENTENCE, HARD = 1.0, 16.0
 END_ID = 1
 #: Words whose ids a task remembers before it starts anew; encoding does not depend on it.
-KNOWN_WORDS = 400_000
-CODED_CHARS = 6 << 20
+KNOWN_WORDS = 250_000
+CODED_CHARS = 4 << 20
 POWERS = (128, 256, 512, 1024)
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -133,8 +133,9 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
             new = [w for w in distinct if w not in known]
             # Encodings come by the hundred thousand and hold no cycles.
             gc.disable()
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+            for k in range(0, len(new), 8192):
+                for w, e in zip(new[k:k + 8192], tokenizer.encode_batch_fast(new[k:k + 8192], add_special_tokens=False)):
+                    known[w] = np.array(e.ids, "<u4").tobytes()
             gc.enable()
             spelled = [*map(known.__getitem__, distinct), np.array([end_id], "<u4").tobytes()]
             offsets = np.cumsum([0, *map(len, spelled)]) // 4
