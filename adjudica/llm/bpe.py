@@ -153,7 +153,7 @@ def _rows(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
         for k in range(batch.num_rows):
             counts = batch.column("counts")[k].values.to_numpy()
-            coded = "".join(words := batch.column("words")[k].values.to_pylist())
+            coded = "".join(words := batch.column("words")[k].values.to_numpy(zero_copy_only=False).tolist())
             flat = (np.frombuffer(coded.encode("utf-32-le"), np.uint32).astype(np.int64) - FIRST).tolist()
             at, per_word = 0, []
             for w in words:

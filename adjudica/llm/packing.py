@@ -32,7 +32,7 @@ LINE_TOKENS = 2 << 20
 SENTENCE, HARD = 1.0, 16.0
 END_ID = 1
 #: Words whose ids a task remembers before it starts anew; encoding does not depend on it.
-KNOWN_WORDS = 250_000
+KNOWN_WORDS = 400_000
 CODED_CHARS = 4 << 20
 POWERS = (128, 256, 512, 1024)
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, end_id: int =
             slices = [cut(s, table) for s in in_slices(part)]
             counts = np.concatenate([c for _, c in slices])
             coded_words = pa.chunked_array([w for w, _ in slices], pa.binary()).dictionary_encode()
-            distinct = coded_words.chunk(coded_words.num_chunks - 1).dictionary.cast(pa.string()).to_pylist()
+            distinct = coded_words.chunk(coded_words.num_chunks - 1).dictionary.cast(pa.string()).to_numpy(zero_copy_only=False).tolist()
             index = np.concatenate([x.indices.to_numpy() for x in coded_words.chunks])
             if len(known) > KNOWN_WORDS:
                 known.clear()
