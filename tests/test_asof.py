@@ -69,3 +69,23 @@ def test_keyed_positions(spark):
     near = asof_nearest(rows, laps, ["driver_number"], "at", "Time", ["position"], 45, "position")
     cell = lookup.regroup(near.withColumn("p", F.col("match.position")), "incident_id", "p").first().p
     assert cell == "2,"
+
+
+def test_rows_without_key_or_time_match_nothing_and_stay(spark):
+    rows = [(k, None if k % 10 else "k", None if k % 3 else float(k)) for k in range(300)]
+    left = spark.createDataFrame(rows, "id int, k string, t double")
+    feed = spark.createDataFrame([("k", 5.0, 1), ("k", 100.0, 2), (None, 7.0, 3)], "k string, at double, seq int")
+    for found in (asof_backward(left, feed, ["k"], "t", "at", ["seq"], "seq"), asof_nearest(left, feed, ["k"], "t", "at", ["seq"], 1e6, "seq")):
+        got = {r.id: r.match for r in found.collect()}
+        assert len(got) == 300
+        assert all(got[i] is None for i, k, t in rows if k is None or t is None)
+        assert all(got[i] is not None for i, k, t in rows if k is not None and t is not None and t >= 5)
+
+
+def test_equal_times_take_the_lowest_sequence_in_any_order(spark):
+    import itertools
+    left = spark.createDataFrame([(1, "k", 10.0)], "id int, k string, t double")
+    feed = [("k", 12.0, 3, "c"), ("k", 12.0, 1, "a"), ("k", 12.0, 2, "b")]
+    for order in itertools.permutations(feed):
+        right = spark.createDataFrame(list(order), "k string, at double, seq int, v string")
+        assert asof_nearest(left, right, ["k"], "t", "at", ["v"], 60, "seq").first().match.v == "a"

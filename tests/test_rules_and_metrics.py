@@ -117,9 +117,8 @@ def test_exact_medians(spark):
     rng = random.Random(4)
     values = [(rng.gauss(0, 1), float(rng.randrange(5)), None) for _ in range(3001)]
     df = spark.createDataFrame(values, "a double, b double, c double")
-    for cap in (20_000, 50):
-        got = encode.exact_medians(df, ["a", "b", "c"], bracket_rows=cap)
-        assert got == {"a": statistics.median(v[0] for v in values), "b": statistics.median(v[1] for v in values), "c": None}
+    got = encode.exact_medians(df, ["a", "b", "c"])
+    assert got == {"a": statistics.median(v[0] for v in values), "b": statistics.median(v[1] for v in values), "c": None}
     even = spark.createDataFrame([(1.0,), (4.0,), (2.0,), (9.0,)], "a double")
     assert encode.exact_medians(even, ["a"]) == {"a": 3.0}
 
@@ -176,3 +175,9 @@ def test_text_files(spark, tmp_path):
     with pytest.raises(ValueError):
         (tmp_path / "processed_2019.csv").write_text("incident_id\n1\n")
         readers.read_csv(spark, [str(tmp_path / "processed_2019.csv")])
+
+
+def test_null_keys_stay_null_and_apart_from_text(spark):
+    rows = spark.createDataFrame([("<missing>", 0, 1), (None, 1, 1), (None, 0, 0)], "incident_type string, penalty_severity int, normative_penalty_severity int")
+    got = {r.key: r.n for r in compare.breakdowns(compare.add_deviation(rows), ["incident_type"]).collect()}
+    assert got == {"<missing>": 1, None: 2}
