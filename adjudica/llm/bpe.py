@@ -23,7 +23,7 @@ from adjudica.llm.common import in_rows, texts
 from adjudica.llm.pretokens import class_runs, cut, in_slices
 
 BUCKETS = 1 << 16
-BLOCK_CHARS = 12 << 20
+BLOCK_CHARS = 8 << 20
 #: Code point of id 0 when ids are written as characters; above the surrogates, so any vocabulary's ids fit.
 FIRST = 0x10000
 DONE = "!"
@@ -149,18 +149,12 @@ def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]):
-    """(doc ids, word index, edges of texts in it, ids of each word) of each block."""
+    """(doc ids, word index, edges of texts in it, symbols of each word) of each block."""
     for batch in batches:
         for k in range(batch.num_rows):
             counts = batch.column("counts")[k].values.to_numpy()
-            coded = "".join(words := batch.column("words")[k].values.to_numpy(zero_copy_only=False).tolist())
-            flat = (np.frombuffer(coded.encode("utf-32-le"), np.uint32).astype(np.int64) - FIRST).tolist()
-            at, per_word = 0, []
-            for w in words:
-                per_word.append(flat[at:at + len(w)])
-                at += len(w)
-            yield (batch.column("ids")[k].values, np.frombuffer(batch.column("which")[k].as_py(), np.int32),
-                   np.concatenate([[0], np.cumsum(counts)]).tolist(), per_word)
+            yield (batch.column("ids")[k].values, np.frombuffer(batch.column("which")[k].as_buffer(), np.int32),
+                   np.concatenate([[0], np.cumsum(counts)]).tolist(), batch.column("words")[k].values.to_numpy(zero_copy_only=False))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
@@ -168,7 +162,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, which, edges, words in _rows(batches):
             for d in range(len(ids)):
-                flat = [i for w in which[edges[d]:edges[d + 1]].tolist() for i in words[w]]
+                flat = [i - FIRST for w in which[edges[d]:edges[d + 1]].tolist() for i in map(ord, words[w])]
                 yield pa.RecordBatch.from_arrays([ids.slice(d, 1), pa.array([flat], pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return encoded_blocks(docs, ranks).mapInArrow(assembled, "doc_id long, ids array<int>")
@@ -185,13 +179,15 @@ def digest(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     Ids are those of the tiktoken library without special tokens, whose strings are ordinary text. A null text is
     empty: no ids, digests of nothing. Repeated rows and ids give a row each; an empty table gives none.
     """
-    pieces = {rank: piece for piece, rank in ranks.items()}
+    pieces = {symbol(rank): piece for piece, rank in ranks.items()}
+    names = {symbol(rank): str(rank) for rank in ranks.values()}
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, which, edges, words in _rows(batches):
-            codes = [" ".join(map(str, w)) for w in words]
-            decoded = [b"".join([pieces[i] for i in w]) for w in words]
+            codes = [" ".join([names[c] for c in w]) for w in words]
+            decoded = [b"".join([pieces[c] for c in w]) for w in words]
             many = list(map(len, words))
+            words = None
             n, a, b = [], [], []
             for d in range(len(ids)):
                 mine = which[edges[d]:edges[d + 1]].tolist()
