@@ -139,7 +139,9 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Forest:
-    """Fit on the labelled rows whose crc32(doc_id) mod 4 is not 2; at most max_rows of them, by id hash.
+    """Fit on the labelled rows whose crc32(doc_id) mod 4 is not 2; at most max_rows labels, by id hash.
+
+    An id that repeats in docs teaches once per row, up to four times max_rows rows in all; the bound is that of the fit.
 
     Labels that are null or not 0/1, and ids that are null or held out, teach nothing. Without any row the
     forest returns 0.5 for every text.
