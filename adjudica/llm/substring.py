@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from adjudica.llm.anchors import ASK, MASKS, arrow_schema, covered, gram_hashes, repeated
+from adjudica.llm.anchors import ASK, MASKS, arrow_schema, covered, gram_hashes, repeated, whole_anchors
 from adjudica.llm.common import BLANKS, texts
 
 WIDTH, GRAM = 35, 8
@@ -70,22 +70,20 @@ def window_hashes(_found: list[str], symbols: np.ndarray, edges: np.ndarray, row
 
 def known_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The index block: windows of all spans of its anchors. Answers which windows of a lone span stand elsewhere."""
-    t = pa.Table.from_batches(batches, schema=None) if (batches := list(batches)) else None
-    if t is None or not t.num_rows:
-        return
-    n = t.column("n").to_numpy().astype(np.int64)
-    kind = t.column("kind").to_numpy()
-    windows = np.frombuffer(b"".join(t.column("content").to_pylist()), np.uint64)
-    row = np.repeat(np.arange(len(n)), n)
-    # A span that recurs as a whole stands for at least two places.
-    weight = np.where(kind == ASK, 1, 2)[row]
-    _, of, = np.unique(windows, return_inverse=True)
-    known = np.bincount(of, weight)[of] > 1
-    bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    mask = np.zeros(len(n), np.int64)
-    np.bitwise_or.at(mask, row[known], np.int64(1) << bit[known])
-    keep = np.flatnonzero((kind == ASK) & (mask != 0))
-    yield pa.RecordBatch.from_pydict({**{c: t.column(c).to_numpy()[keep] for c in ("block", "doc", "pos", "n")}, "mask": mask[keep]}, schema=arrow_schema(MASKS))
+    for t in whole_anchors(batches):
+        n = t.column("n").to_numpy().astype(np.int64)
+        kind = t.column("kind").to_numpy()
+        windows = np.frombuffer(b"".join(t.column("content").to_pylist()), np.uint64)
+        row = np.repeat(np.arange(len(n)), n)
+        # A span that recurs as a whole stands for at least two places.
+        weight = np.where(kind == ASK, 1, 2)[row]
+        _, of, = np.unique(windows, return_inverse=True)
+        known = np.bincount(of, weight)[of] > 1
+        bit = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        mask = np.zeros(len(n), np.int64)
+        np.bitwise_or.at(mask, row[known], np.int64(1) << bit[known])
+        keep = np.flatnonzero((kind == ASK) & (mask != 0))
+        yield pa.RecordBatch.from_pydict({**{c: t.column(c).to_numpy()[keep] for c in ("block", "doc", "pos", "n")}, "mask": mask[keep]}, schema=arrow_schema(MASKS))
 
 
 def _digests(rows: pa.Table, found: list[str], edges: np.ndarray, starts: np.ndarray) -> pa.Table:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from adjudica.llm.anchors import MASKS, arrow_schema, covered, mixed, repeated
+from adjudica.llm.anchors import MASKS, arrow_schema, covered, mixed, repeated, whole_anchors
 from adjudica.llm.common import texts
 
 WIDTH, GRAM = 100, 40
@@ -208,9 +208,6 @@ def span_bytes(found: list[str], _symbols: np.ndarray, edges: np.ndarray, rows:
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cut the stream between anchors into shards of about SHARD_BYTES and answer each from its suffix array."""
-    waiting: list[pa.Table] = []
-    size = 0
-
     def answered(t: pa.Table) -> pa.RecordBatch:
         # Earliest place first; equal windows have one anchor, so other anchors' order does not matter.
         order = np.lexsort([t.column(c).to_numpy() for c in ("pos", "doc", "block", "doc_key")])
@@ -226,18 +223,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.flatnonzero(mask)
         return pa.RecordBatch.from_pydict({**{c: t.column(c).to_numpy()[keep] for c in ("block", "doc", "pos", "n")}, "mask": mask[keep]}, schema=arrow_schema(MASKS))
 
-    for batch in batches:
-        waiting.append(pa.Table.from_batches([batch]))
-        size += batch.column("content").nbytes
-        if size >= SHARD_BYTES:
-            t = pa.concat_tables(waiting)
-            anchor = t.column("anchor").to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1], side="left"))
-            if cut:
-                yield answered(t.slice(0, cut))
-                waiting, size = [t.slice(cut)], t.slice(cut).column("content").nbytes
-    t = pa.concat_tables(waiting) if waiting else None
-    if t is not None and t.num_rows:
+    for t in whole_anchors(batches, SHARD_BYTES):
         yield answered(t)
 
 
