@@ -1,9 +1,9 @@
 """Document fingerprints from closed syncmers.
 
 A K-mer of code points is an anchor if the least hash among its S-mers stands first or last in it. That depends on the
-K-mer alone, so an anchor is chosen wherever it occurs, whatever surrounds it. A fingerprint keeps the SIZE anchors of
-least hash, each with the place of its first occurrence; two fingerprints are matched on the anchors that both could
-hold, and a common anchor counts if it keeps its order (longest chain that ascends in both texts).
+K-mer alone, so an anchor is chosen wherever it occurs, whatever surrounds it. Two texts are matched on all their
+anchors, each at the place of its first occurrence; a common anchor counts if it keeps its order (longest chain that
+ascends in both texts). The fingerprint that is written keeps only the SIZE anchors of least hash.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +25,26 @@ SLICE_CHARS = 1 << 21
 OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
        "near_edited double, near_next double")
 
-Anchors = dict[int, int]
+
+@dataclass(eq=False)
+class Anchors:
+    """64-bit hashes of a text's anchors, each once and in ascending order, and the first place of each."""
+
+    hashes: np.ndarray
+    places: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def items(self) -> Iterator[tuple[int, int]]:
+        return zip(self.hashes.tolist(), self.places.tolist())
+
+    def get(self, h: int) -> int | None:
+        return dict(self.items()).get(h)
 
 
 def anchors(found: list[str]) -> list[Anchors]:
-    """Hash and first place of the SIZE least anchors of each text, least first.
+    """Hash and first place of all anchors of each text, least hash first.
 
     A text without an anchor is one anchor itself; an empty one has none.
     """
@@ -57,45 +73,53 @@ def _anchors_of_slice(found: list[str]) -> list[Anchors]:
         where = np.flatnonzero((small[:n] == low) | (small[width - 1:width - 1 + n] == low))
         doc = np.searchsorted(edges, where, side="right") - 1
         where = where[where + K <= edges[doc + 1]]
-        hashes = gram_hashes(symbols, K)[where] >> np.uint64(32)
+        hashes = gram_hashes(symbols, K)[where]
     bounds = np.searchsorted(where, edges)
     out = []
     for d, text in enumerate(found):
         a, b = bounds[d], bounds[d + 1]
         if a == b:
             whole = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big")
-            out.append({whole: 0} if text else {})
+            own = [whole << 32] if text else []
+            out.append(Anchors(np.array(own, np.uint64), np.zeros(len(own), np.int64)))
             continue
         kinds, first = np.unique(hashes[a:b], return_index=True)
-        out.append(dict(zip(kinds[:SIZE].tolist(), (where[a:b][first[:SIZE]] - edges[d]).tolist())))
+        out.append(Anchors(kinds, where[a:b][first] - edges[d]))
     return out
 
 
 def written_as(a: Anchors) -> str:
-    """A fingerprint as text: hash and place of each anchor in hex, least hash first."""
-    return "-".join([f"{h:08x}.{p:x}" for h, p in a.items()])
+    """A fingerprint as text: upper half of the hash, and place, of the SIZE least anchors in hex, least hash first."""
+    return "-".join([f"{h >> 32:08x}.{p:x}" for h, p in Anchors(a.hashes[:SIZE], a.places[:SIZE]).items()])
 
 
 def read_from(fingerprint: str) -> Anchors:
-    return {int(h, 16): int(p, 16) for h, p in (x.split(".") for x in fingerprint.split("-"))} if fingerprint else {}
+    pairs = [x.split(".") for x in fingerprint.split("-")] if fingerprint else []
+    return Anchors(np.array([int(h, 16) << 32 for h, _ in pairs], np.uint64), np.array([int(p, 16) for _, p in pairs], np.int64))
+
+
+def longest_ascent(places: np.ndarray) -> int:
+    """Length of the longest ascending chain of different numbers."""
+    falls = np.flatnonzero(places[1:] < places[:-1])
+    if not len(falls):
+        return len(places)
+    # What ascends from the start is a chain itself; only the rest is searched.
+    chain = places[:falls[0] + 1].tolist()
+    for p in places[falls[0] + 1:].tolist():
+        k = bisect_left(chain, p)
+        chain[k:k + 1] = [p]
+    return len(chain)
 
 
 def likeness(a: Anchors, b: Anchors) -> float:
-    """Share of the two texts' anchors that match in one order, among the hashes up to which both fingerprints are complete.
+    """Share of the two texts' anchors that match in one order; two empty texts are alike.
 
     Of two texts of one length that agree in their first two thirds and nowhere else, about two thirds match.
     """
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = min(max(x) if len(x) == SIZE else 1 << 32 for x in (a, b))
-    held = sum(h <= reach for h in a) + sum(h <= reach for h in b)
-    chain: list[int] = []
-    for _, p in sorted((a[h], b[h]) for h in a.keys() & b.keys() if h <= reach):
-        k = bisect_left(chain, p)
-        chain[k:k + 1] = [p]
-    return 2 * len(chain) / held
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    _, i, j = np.intersect1d(a.hashes, b.hashes, assume_unique=True, return_indices=True)
+    return 2 * longest_ascent(b.places[j][np.argsort(a.places[i])]) / (len(a) + len(b))
 
 
 def edited(text: str, after: str) -> str:
