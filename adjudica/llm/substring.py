@@ -1,11 +1,9 @@
-"""Substring dedup on words by relative Lempel-Ziv parsing.
-
-The reference is the whole corpus. Its index is cut into blocks by anchor (see anchors), because a passage can only be
-continued where its anchor is known: so each stretch of a document is factored against the one block that can hold a
-copy of it, and not against all blocks in turn, whose number grows with the corpus. A factor is extended greedily from
-span to span while the next span is known elsewhere as a whole. At the first unknown span the factor's boundary is
-found word by word from the windows that the index block holds. A factor of at least `width` words is a duplicate; the
-words it covers go.
+"""Substring dedup on words by the hashes of anchored windows.
+
+The reference is the whole corpus. No document is factored: a relative Lempel-Ziv parsing against blocks of the corpus in
+turn would cost documents times blocks. Instead every window of `width` words is grouped by its anchor (see anchors), under
+which all its copies meet, and is known elsewhere or not. The words of known windows go: they are those that factors
+of at least `width` words would cover.
 """
 
 from __future__ import annotations
