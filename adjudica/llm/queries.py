@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from adjudica.llm import bpe, chat, language, minhash, packing, quality, rules, substring, suffix, syncmers
+from adjudica.llm import bpe, chat, language, lexical, merkle, minhash, packing, pii, quality, rules, sql, substring, suffix, syncmers
 from adjudica.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,9 +29,9 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
 
 
-@query("op2_substring_dedup")
+@query("op2_substring_dedup", sql.SUBSTRING)
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.digest(table(spark, sf_dir, "documents"))
+    return substring.digest(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query("op3_quality_classifier")
@@ -63,7 +63,7 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.windows(turns, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
-@query("op8_minhash_near_dedup")
+@query("op8_minhash_near_dedup", sql.NEAR)
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.group(table(spark, sf_dir, "documents"))
 
@@ -73,6 +73,22 @@ def pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-@query("op10_quality_rules")
+@query("op10_quality_rules", sql.RULES)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op11_lexical_search", sql.SEARCH)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_merkle_manifest", sql.MERKLE)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proven(table(spark, sf_dir, "documents"))
+
+
+@query("op13_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.detect(docs, pii.train(docs))
