@@ -21,6 +21,11 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def quoted(name: str) -> str:
+    """A column name as Spark reads it whole, with whatever dots and backticks it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def in_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in short slices, so that a task has few texts as Python objects at a time."""
     for batch in batches:
@@ -34,10 +39,15 @@ def remainder(doc_id: Column, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors reach, as spark.checkpoint.dir names it; the warehouse where it is unset."""
+    """The folder all executors reach, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local session takes a folder of its warehouse; on a cluster that could be any machine's own disk.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)

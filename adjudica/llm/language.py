@@ -8,6 +8,7 @@ scored by a single matrix product.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,7 +58,7 @@ def _unit(bits: np.ndarray) -> np.ndarray:
 
 
 def fit(bits: np.ndarray, y: list[str], landmarks: int = 240, ridge: float = 1e-2, rows: int = 256) -> Model:
-    """bits: packed presence rows, unpacked a few at a time. Landmarks are taken evenly from the rows of each language."""
+    """bits: packed presence rows, unpacked a few at a time. Landmarks are the first rows of each language."""
     languages = sorted(set(y))
     if not languages:
         return Model([], np.zeros((DIMENSIONS, 0), np.float32))
@@ -73,18 +74,20 @@ def fit(bits: np.ndarray, y: list[str], landmarks: int = 240, ridge: float = 1e-
     return Model(languages, (marks.T @ (root @ w)).astype(np.float32))
 
 
-def train(docs: DataFrame, rows_per_language: int = 400, landmarks: int = 240) -> Model:
+def train(docs: DataFrame, rows_per_language: int = 400, landmarks: int = 240, max_rows: int = 20_000) -> Model:
     """Learn from rows outside the fold crc32(doc_id) mod 3 = 1 that have text and lang.
 
     The fit sees about rows_per_language rows of each language, chosen by a hash of the id; larger languages are thinned
-    at the scan. Collected are packed presence bits (2 KB a row).
+    at the scan. Collected are packed presence bits (2 KB a row), of max_rows rows at most, however many languages there are
+    and however often an id repeats; they and the landmarks are chosen by hash as well.
     """
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").alias("text"))
             .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), 3) != 1)))
     shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), rows_per_language / F.count("*")).alias("share"))
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     ids = rows.select("doc_id", "lang", spread.alias("at")).join(shares, "lang").where(F.col("at") < F.col("share")).select("doc_id").distinct()
-    # About rows_per_language ids a language, as many as the fit collects: the texts need not be shuffled.
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # About rows_per_language ids a language, max_rows at most, as many as the fit collects: the texts need not be shuffled.
     taught = rows.join(F.broadcast(ids), "doc_id")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +101,8 @@ def train(docs: DataFrame, rows_per_language: int = 400, landmarks: int = 240) -
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(bits, pa.binary())],
                                              names=["doc_id", "lang", "bits"]).filter(keep)
 
-    got = sorted(taught.mapInArrow(packed, "doc_id long, lang string, bits binary").collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.bits)))
+    seen = taught.mapInArrow(packed, "doc_id long, lang string, bits binary").orderBy(F.xxhash64("doc_id", "bits", "lang")).limit(max_rows)
+    got = sorted(seen.collect(), key=lambda r: (zlib.crc32(str(r.doc_id).encode()), r.doc_id, r.lang, bytes(r.bits)))
     bits = np.array([np.frombuffer(bytes(r.bits), np.uint8) for r in got], np.uint8).reshape(len(got), DIMENSIONS // 8)
     return fit(bits, [r.lang for r in got], landmarks)
 

@@ -27,7 +27,7 @@ from adjudica.llm.substring import hashes_of_words
 
 SHINGLE, ROWS, BANDS = 5, 3, 32
 SLOTS = ROWS * BANDS
-SIGNED = "doc_id long, n long, node long, bands array<long>"
+SIGNED = "doc_id long, key long, n long, node long, bands array<long>"
 
 
 def shingle_sets(found: list[str]) -> list[np.ndarray]:
@@ -86,39 +86,46 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = [k for k, s in enumerate(sets) if len(s)]
         keys = dict(zip(full, band_keys(signatures([sets[k] for k in full])).tolist()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+            [batch.column("doc_id"), batch.column("key"), pa.array([len(s) for s in sets], pa.int64()),
              pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-             pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64()))], names=["doc_id", "n", "node", "bands"])
+             pa.array([keys.get(k) for k in range(len(sets))], pa.list_(pa.int64()))], names=["doc_id", "key", "n", "node", "bands"])
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts whose full sets are 0.75 alike or more."""
+    """Pairs of classes whose full sets are 0.75 alike or more."""
     schema = arrow_schema("a long, b long")
     for batch in in_rows(batches):
         c = {name: batch.column(name).to_pylist() for name in ("a", "b", "text_a", "text_b")}
         names = {t: k for k, t in enumerate(dict.fromkeys(c["text_a"] + c["text_b"]))}
         sets = shingle_sets(list(names))
-        node = [class_of(s) for s in sets]
         a_out, b_out = [], []
         for a, b, ta, tb in zip(c["a"], c["b"], c["text_a"], c["text_b"]):
             x, y = names[ta], names[tb]
-            # Where an id repeats with other texts, only the text of the class counts.
-            if node[x] != a or node[y] != b:
-                continue
             common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             if 100 * common >= 75 * (len(sets[x]) + len(sets[y]) - common):
                 a_out.append(a), b_out.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], schema=schema)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """Rows with a hash of their text: with it the text of a class is found again, however often its id occurs."""
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+
+
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text): one text of each class in nodes, so what is joined to it later grows with the pairs only."""
+    wanted = nodes.select("node").distinct().join(classes.select("node", F.col("first").alias("id"), F.col("key").alias("of")), "node")
+    found = keyed(docs).join(wanted, (F.col("key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
+    return found.select("node", "text").dropDuplicates(["node"])
+
+
 def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) of classes that hold on the full sets of their first documents."""
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    named = (pairs.join(classes.select(F.col("node").alias("a"), F.col("first").alias("id_a"), F.col("n").alias("n_a")), "a")
-             .join(classes.select(F.col("node").alias("b"), F.col("first").alias("id_b"), F.col("n").alias("n_b")), "b")
-             .where((100 * F.col("n_a") >= 75 * F.col("n_b")) & (100 * F.col("n_b") >= 75 * F.col("n_a"))))
-    paired = (named.join(rows.withColumnRenamed("text", "text_b"), F.col("id_b").eqNullSafe(F.col("id"))).drop("id")
-              .join(rows.withColumnRenamed("text", "text_a"), F.col("id_a").eqNullSafe(F.col("id"))).select("a", "b", "text_a", "text_b"))
+    """pairs(a, b) of classes that hold on their full sets; pairs whose sizes exclude it are not read."""
+    sizes = classes.select("node", "n")
+    near = written(pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+                   .where((100 * F.col("n_a") >= 75 * F.col("n_b")) & (100 * F.col("n_b") >= 75 * F.col("n_a"))).select("a", "b"), "near")
+    said = texts_of(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))), classes, docs)
+    paired = near.join(said.toDF("b", "text_b"), "b").join(said.toDF("a", "text_a"), "a").select("a", "b", "text_a", "text_b")
     return paired.mapInArrow(_confirmed, "a long, b long")
 
 
@@ -145,9 +152,7 @@ def links_between(u: list[np.ndarray], m: list[np.ndarray], columns: int = 4096)
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in in_rows(batches):
         found = shingle_sets(batch.column("text").to_pylist())
-        nodes = batch.column("node").to_pylist()
-        mine = [k for k, s in enumerate(found) if len(s) and class_of(s) == nodes[k]]
-        yield pa.RecordBatch.from_arrays([pa.array([nodes[k] for k in mine], pa.int64()), pa.array([found[k].tobytes() for k in mine], pa.binary())], names=["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "shingles"])
 
 
 def _block_links(group: pa.Table) -> pa.Table:
@@ -176,9 +181,7 @@ def across_parts(members: DataFrame, labels: DataFrame, classes: DataFrame, docs
     left = split.where(F.col("part") != F.col("main")).select(
         "bucket", "node", "part", F.lit(0).alias("side"), F.pmod(place, F.col("blocks_u")).cast("int").alias("u"),
         F.explode(F.sequence(F.lit(0), F.col("blocks_m") - 1)).alias("m"))
-    asked = split.select("node").distinct().join(classes.select("node", "first"), "node")
-    rows = docs.select(F.col("doc_id").alias("id"), "text")
-    sets = asked.join(rows, F.col("first").eqNullSafe(F.col("id"))).select("node", "text").mapInArrow(_sets, "node long, shingles binary").dropDuplicates(["node"])
+    sets = texts_of(split, classes, docs).mapInArrow(_sets, "node long, shingles binary")
     return (left.unionByName(right).join(sets, "node").groupBy("bucket", "u", "m").applyInArrow(_block_links, "a long, b long").distinct())
 
 
@@ -203,36 +206,50 @@ def components(edges: DataFrame, classes: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
-def group(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row.
-
-    Linked are rows whose sets of 5-word shingles have 100 * intersection >= 75 * union; a text of one to four words is
-    one shingle. Null and empty texts have no shingle and are linked with nothing. Equal rows are linked; a row is kept if
-    its id is the least of its component. Rows without an id have component null only if no linked row has an id.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """The result of group() and the hash of each row's text."""
     docs = texts(docs)
-    signed = written(docs.mapInArrow(_signed, SIGNED), "signed")
-    classes = written(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n")), "classes")
-    # The bands of a class come from its first document; equal rows of one id give the same bands.
+    signed = written(keyed(docs).mapInArrow(_signed, SIGNED), "signed")
+    classes = written(signed.where("node is not null").groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.first("n").alias("n"), F.coalesce(F.min_by("key", "doc_id"), F.min("key")).alias("key")), "classes")
+    # All rows of a class have the same bands; those of its first document are taken.
     firsts = signed.join(classes.select("node", "first"), "node").where(F.col("doc_id").eqNullSafe(F.col("first")))
     member = firsts.select("node", F.explode("bands").alias("bucket")).distinct()
     stars = member.groupBy("bucket").agg(F.min("node").alias("a"), F.max("node").alias("top")).where(F.col("a") < F.col("top"))
     members = written(member.join(stars.select("bucket", "a"), "bucket"), "members")
-    proposed = written(members.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct(), "proposed")
+    proposed = members.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
     edges = written(confirm(proposed, classes, docs), "confirmed")
     labels = components(edges, classes)
 
     more = written(across_parts(members, labels, classes, docs), "confirmed")
     if more.limit(1).count():
+        drop_written(labels)
         labels = components(edges.unionByName(more), classes)
+    for used in (members, edges, more):
+        drop_written(used)
 
     component = classes.join(labels, "node", "left").select("node", F.coalesce("label", "first").alias("component"))
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node").join(component, "node", "left")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "node", "key").join(component, "node", "left")
     chosen = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", chosen.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", chosen.alias("component_id"), "key").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def group(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row.
+
+    Linked are rows whose sets of 5-word shingles have 100 * intersection >= 75 * union; a text of one to four words is
+    one shingle. Null and empty texts have no shingle and are linked with nothing. Equal rows are linked; a row is kept if
+    its id is the least of its component. Rows without an id have component null only if no linked row has an id. Where an
+    id has several texts, each row belongs to the component of its own text.
+    """
+    return grouped(docs).drop("key")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of documents that stay, with all columns: one id of each group. Rows that repeat a kept id stay together."""
-    kept = group(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The rows of documents that stay, with all columns: those of each group that have its least id.
+
+    Rows that repeat both id and text stay or go together; a row whose id is kept for another text goes.
+    """
+    kept = grouped(docs).where("kept").select("doc_id", "key").distinct()
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]) & (own == kept["key"]), "left_semi")

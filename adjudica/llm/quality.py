@@ -141,7 +141,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Forest:
     """Fit on the labelled rows whose crc32(doc_id) mod 4 is not 2; at most max_rows labels, by id hash.
 
-    An id that repeats in docs teaches once per row, up to four times max_rows rows in all; the bound is that of the fit.
+    An id that repeats in docs teaches once per row, up to four times max_rows rows in all, chosen by a hash of what they
+    show, so that both labels stay in proportion; the bound is that of the fit.
 
     Labels that are null or not 0/1, and ids that are null or held out, teach nothing. Without any row the
     forest returns 0.5 for every text.
@@ -151,7 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Forest:
            .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows))
     # At most max_rows pairs of an id and a bit: the broadcast is bounded by that parameter.
     taught = texts(docs).join(F.broadcast(ids), "doc_id").select("label", "text")
-    rows = taught.mapInArrow(_feature_rows, "label int, x array<double>").orderBy("label", "x").limit(4 * max_rows).collect()
+    rows = taught.mapInArrow(_feature_rows, "label int, x array<double>").orderBy(F.xxhash64("x", "label"), "x", "label").limit(4 * max_rows).collect()
+    rows.sort(key=lambda r: (r.label, r.x))
     x = np.array([r.x for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r.label for r in rows], float))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from adjudica.llm.anchors import ASK, MASKS, arrow_schema, covered, gram_hashes, repeated, whole_anchors
-from adjudica.llm.common import BLANKS, texts
+from adjudica.llm.common import BLANKS, quoted, texts
 
 WIDTH, GRAM = 35, 8
 OUT = "doc_id long, n_words long, n_removed long, n_factors long, kept_sha256 string"
@@ -126,10 +126,10 @@ def rewrite(docs: DataFrame) -> DataFrame:
     Every row stays; a text that is repeated in full becomes empty, and so does a null one.
     """
     others = [c for c in docs.columns if c != "text"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*others).alias("rest"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), F.struct(*(F.col(quoted(c)) for c in others)).alias("rest"))
     out = StructType([StructField("text", StringType()), rows.schema["rest"]])
     left = repeated(rows, word_hashes, window_hashes, known_windows, _texts_left, out, WIDTH, GRAM, first_stays=False)
-    columns = {c: F.col(f"rest.`{c}`").alias(c) for c in others} | {"text": F.col("text")}
+    columns = {c: F.col(f"rest.{quoted(c)}").alias(c) for c in others} | {"text": F.col("text")}
     if "n_chars" in columns:
         columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return left.select(*(columns[c] for c in docs.columns))

@@ -116,3 +116,50 @@ def test_registered_queries(spark):
     assert found(QUERIES["op2_substring_dedup"](spark, SF), *WORDS) == brute.substring(rows)
     assert found(QUERIES["op5_suffix_array_dedup"](spark, SF), *BYTES) == brute.suffix(rows)
     assert found(QUERIES["op8_minhash_near_dedup"](spark, SF), *NEAR) == sorted(brute.near(rows), key=str)
+
+
+def test_near_groups_of_rows_without_id_and_of_one_id_with_many_texts(spark):
+    """Rows are joined by class: K texts under one id, or under none, never meet each other."""
+    import random
+
+    from pyspark.sql import functions as F
+    from adjudica.llm import minhash
+
+    rnd = random.Random(9)
+    base = [f"v{k}" for k in range(400)]
+
+    def near(seed):
+        words = random.Random(seed).sample(base, 60)
+        return " ".join(words), " ".join(words[:-1] + ["other"])
+
+    rows = []
+    for k in range(120):
+        a, b = near(k)
+        rows += [(None, a), (7, b)] if k % 2 else [(7, a), (1000 + k, b)]
+    rows += [(None, "x y z")] * 3 + [(5, None), (7, "")]
+    rnd.shuffle(rows)
+    got = minhash.grouped(frame(spark, rows))
+    by = {}
+    for r in got.join(spark.createDataFrame([(i, t or "") for i, t in rows], "i long, t string").select(
+            F.col("i"), "t", F.xxhash64("t").alias("k")).distinct(), (F.col("i").eqNullSafe(F.col("doc_id"))) & (F.col("k") == F.col("key"))).collect():
+        by[(r.i, r.t)] = (r.component_id, r.kept)
+    for k in range(120):
+        a, b = near(k)
+        first, second = ((None, a), (7, b)) if k % 2 else ((7, a), (1000 + k, b))
+        assert by[first][0] == by[second][0] == 7
+        assert by[first][1] == (first[0] == 7) and by[second][1] == (second[0] == 7)
+    assert by[(None, "x y z")] == (None, True) and by[(5, "")] == (5, True) and by[(7, "")] == (7, True)
+    assert got.count() == len(rows)
+
+
+def test_stages_keep_odd_columns_and_judge_rows_by_their_own_text(spark):
+    from adjudica.llm import minhash, substring
+
+    shared = " ".join(f"s{k}" for k in range(50))
+    rows = [(3, "a b c d e f", 1, "p", 2), (5, "a b c d e f", 1, "q", 2), (5, "g h i j k", 1, "r", 2), (8, shared, 0, "s", 1), (9, shared + " tail", 0, "t", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `c``d` string, _kept_id int")
+    kept = minhash.keep_first(df)
+    assert kept.columns == df.columns and sorted((r[0], r[1]) for r in kept.collect()) == [(3, "a b c d e f"), (5, "g h i j k"), (8, shared)]
+    left = substring.rewrite(df)
+    assert left.columns == df.columns
+    assert sorted(tuple(r) for r in left.collect() if r[0] > 7) == [(8, "", 0, "s", 1), (9, "tail", 0, "t", 1)]
