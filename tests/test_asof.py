@@ -5,7 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from adjudica.operators import lookup, match
-from adjudica.operators.asof import asof_backward, asof_nearest, max_until
+from adjudica.operators import asof
+from adjudica.operators.asof import Feed, asof_backward, asof_nearest, max_until
 
 
 def frames(spark, probes, feed):
@@ -30,9 +31,9 @@ def test_random_against_brute_force(spark):
     probes = [(n, "hot" if rng.random() < 0.7 else f"k{rng.randrange(4)}", float(rng.randrange(20000))) for n in range(300)]
     feed = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(4)}", float(rng.randrange(20000)), n, f"v{n}") for n in range(300)]
     left, right = frames(spark, probes, feed)
-    back = {r.id: r.match for r in asof_backward(left, right, ["k"], "t", "at", ["v"], "seq", slice_seconds=500).collect()}
-    near = {r.id: r.match for r in asof_nearest(left, right, ["k"], "t", "at", ["v"], 300, "seq", slice_seconds=500).collect()}
-    top = {r.id: r.highest for r in max_until(left, right, ["k"], "t", "at", "seq", slice_seconds=500).collect()}
+    back = {r.id: r.match for r in asof_backward(left, right, ["k"], "t", "at", ["v"], "seq").collect()}
+    near = {r.id: r.match for r in asof_nearest(left, right, ["k"], "t", "at", ["v"], 300, "seq").collect()}
+    top = {r.id: r.highest for r in max_until(left, right, ["k"], "t", "at", "seq").collect()}
     for i, k, t in probes:
         own = [f for f in feed if f[0] == k]
         before = sorted((f for f in own if f[1] <= t), key=lambda f: (-f[1], f[2]))
@@ -89,3 +90,37 @@ def test_equal_times_take_the_lowest_sequence_in_any_order(spark):
     for order in itertools.permutations(feed):
         right = spark.createDataFrame(list(order), "k string, at double, seq int, v string")
         assert asof_nearest(left, right, ["k"], "t", "at", ["v"], 60, "seq").first().match.v == "a"
+
+
+def test_busy_hour_is_cut_into_many_cells(spark):
+    """One key and hour hold nine tenths of the feed; no cell holds more than a fiftieth of it."""
+    rng = random.Random(8)
+    rows = [("hot", 3600 * 5 + rng.random() * 3600, n, f"v{n}") for n in range(18_000)]
+    rows += [(f"k{n % 7}", rng.random() * 86_400, n, f"v{n}") for n in range(18_000, 20_000)]
+    left, right = frames(spark, [(n, "hot", 3600 * 5 + rng.random() * 3600) for n in range(50)], rows)
+    stack = asof._with_cells(asof._stack(left, [Feed("f", right, "at", ["v"], "seq")], ["k"], "t"), ["_k0"], asof.FAN)
+    sizes = [r["count"] for r in stack.groupBy("_k0", "_cell").count().collect()]
+    assert sum(sizes) == 20_050 and max(sizes) <= 400
+    got = {r.id: r.match.v for r in asof_backward(left, right, ["k"], "t", "at", ["v"], "seq").collect()}
+    hot = sorted((t, n) for k, t, n, _ in rows if k == "hot")
+    for i, _, t in [tuple(r) for r in left.collect()]:
+        before = [n for at, n in hot if round(at * 1e6) <= round(t * 1e6)]
+        assert got[i] == f"v{before[-1]}"
+
+
+def test_several_feeds_in_one_scan(spark):
+    """Every feed gives what it gives alone, at any number of cells; the plan shuffles the stack by key once."""
+    rng = random.Random(4)
+    probes = [(n, rng.choice(["a", "b", None]), float(rng.randrange(3000))) for n in range(200)]
+    one = [(rng.choice("ab"), float(rng.randrange(3000)), n, f"x{n}") for n in range(150)]
+    two = [(rng.choice("ab"), float(rng.randrange(3000)), n, f"y{n}") for n in range(20)]
+    left, first = frames(spark, probes, one)
+    _, second = frames(spark, probes, two)
+    alone = {r.id: r.match for r in asof_backward(left, first, ["k"], "t", "at", ["v"], "seq").collect()}
+    near = {r.id: r.match for r in asof_nearest(left, second, ["k"], "t", "at", ["v"], 60, "seq").collect()}
+    top = {r.id: r.highest for r in max_until(left, first, ["k"], "t", "at", "seq").collect()}
+    feeds = [Feed("x", first, "at", ["v"], "seq"), Feed("y", second, "at", ["v"], "seq", after=True), Feed("z", first, "at", ["seq"], highest=True)]
+    for fan in (1, asof.FAN):
+        found = asof.scan(left, feeds, ["k"], "t", fan).select(
+            "id", asof.last_match("x", ["v"]).alias("x"), asof.nearest_match("y", ["v"], 60).alias("y"), F.col("z_before").alias("z"))
+        assert {r.id: (r.x, r.y, r.z) for r in found.collect()} == {i: (alone[i], near[i], top[i]) for i, _, _ in probes}
