@@ -12,6 +12,7 @@ from adjudica.constants import FIELD_LABELS, INCIDENT_TYPE_KEYWORDS
 from adjudica.functions.blanks import WS, as_col, or_empty, strip
 
 ODD_SPACES = "\u00a0\ufffd"
+_ASCII_WS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f"
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
@@ -22,29 +23,84 @@ def contains_any(text: Column, terms: Sequence[str]) -> Column:
 
 
 def squeeze(value: Column) -> Column:
-    return F.regexp_replace(value, f"{WS}+", " ")
+    """Every run of white space becomes one space.
+
+    ASCII texts, nearly all, are searched for single characters only, which is several times faster than for ranges, and
+    single spaces are left where they are.
+    """
+    plain = F.regexp_replace(value, rf"[{_ASCII_WS} ]{{2,}}|[{_ASCII_WS}]", " ")
+    return F.when(F.octet_length(value) == F.length(value), plain).otherwise(F.regexp_replace(value, f"{WS}+", " "))
 
 
 def normalize_text(value: Column | str) -> Column:
-    text = F.translate(or_empty(value), ODD_SPACES, "  ")
-    return F.trim(squeeze(text))
+    return F.trim(squeeze(plain_spaces(value)))
 
 
-def extract_field(text: Column | str, label: str) -> Column:
-    """Body of a labelled field: a block under the label, else the rest of its line."""
-    text = F.translate(or_empty(text), ODD_SPACES, "  ")
+def plain_spaces(value: Column | str) -> Column:
+    """Text as the label lexer reads it. Make it a column of its own where several fields are taken from it."""
+    text = or_empty(value)
+    for odd in ODD_SPACES:
+        text = F.replace(text, F.lit(odd), F.lit(" "))
+    return text
+
+
+def lowered(text: Column | str) -> Column:
+    """Lower case in which every character keeps its place; the few that grow are left as they are."""
+    low = F.lower(text)
+    return F.when(F.length(low) == F.length(text), low).otherwise(
+        F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
+_STOPS = f"(?:{'|'.join(FIELD_LABELS)})"
+#: A block from behind its label on: at least a line, and all lines before the next label on a line of its own.
+_BLOCK = rf"(?i)\A{WS}*\n([^\n]++(?:\n(?!{_STOPS}{WS}*\n)[^\n]*+)*+)"
+
+
+def _searched(text: Column, label: str) -> Column:
+    """The field wherever its label stands: under the label, else behind it in its line."""
     name = re.escape(label).replace("\\ ", " ")
-    if label.lower() == "reason":
-        block = F.regexp_extract(text, rf"(?is){name}{WS}*\n(.+)", 1)
-        inline = F.regexp_extract(
-            text,
-            rf"(?is){name}{WS}+(.+?)(?=Competitors are reminded|Decisions of the Stewards|\z)", 1)
-        body = F.when(block != "", block).otherwise(inline)
+    block = F.regexp_extract(text, rf"(?is){name}{WS}*\n(.+?)(?=\n{_STOPS}{WS}*\n|\z)", 1)
+    inline = F.regexp_extract(text, rf"(?is){name}{WS}+(.+?)(?={WS}+{_STOPS}{WS}+|\z)", 1)
+    return F.when(block != "", block).otherwise(inline)
+
+
+def _searched_reason(text: Column) -> Column:
+    block = F.regexp_extract(text, rf"(?is)Reason{WS}*\n(.+)", 1)
+    inline = F.regexp_extract(text, rf"(?is)Reason{WS}+(.+?)(?=Competitors are reminded|Decisions of the Stewards|\z)", 1)
+    return F.when(block != "", block).otherwise(inline)
+
+
+def field_of(text: Column, low: Column, label: str) -> Column:
+    """Body of a labelled field of ``plain_spaces`` text: a block under the label, else the rest of its line.
+
+    The first place of the label is looked up in the lower-case text; where a block begins there, it is cut by one
+    anchored match of its own length, so all fields together are read about once. Only a label that stands in a line
+    before it has a block, or has none, is searched for in the whole text.
+    """
+    name = label.lower()
+    at = F.locate(name, low)
+    rest = F.substring(text, F.when(at > 0, at + len(name)).otherwise(F.length(text) + 1), F.length(text))
+    if name == "reason":
+        own = F.nullif(F.regexp_extract(rest, rf"(?s)\A{WS}*\n(.+)", 1), F.lit(""))
+        body = F.coalesce(own, F.when(at == 0, "").otherwise(_searched_reason(text)))
         return normalize_text(F.split_part(body, F.lit("Competitors are reminded"), F.lit(1)))
-    stop = "|".join(FIELD_LABELS)
-    block = F.regexp_extract(text, rf"(?is){name}{WS}*\n(.+?)(?=\n(?:{stop}){WS}*\n|\z)", 1)
-    inline = F.regexp_extract(text, rf"(?is){name}{WS}+(.+?)(?={WS}+(?:{stop}){WS}+|\z)", 1)
-    return normalize_text(F.when(block != "", block).otherwise(inline))
+    own = F.nullif(F.regexp_extract(rest, _BLOCK, 1), F.lit(""))
+    return normalize_text(F.coalesce(own, F.when(at == 0, "").otherwise(_searched(text, label))))
+
+
+def extract_field(text: Column | str, label: str) -> Column:
+    """``field_of`` for a single field of a raw text."""
+    text = plain_spaces(text)
+    return field_of(text, lowered(text), label)
+
+
+def time_of(text: Column, low: Column) -> Column:
+    """``last_time_field`` of ``plain_spaces`` text: the block behind the last ``Time`` that has a line of its own."""
+    tail = F.substring_index(low, "\ntime\n", -1)
+    last = F.right(text, F.length(tail) + 1)
+    own = F.regexp_extract(last, _BLOCK, 1)
+    plain = (own != "") & ~low.rlike(rf"\ntime{WS}*\ntime\n") & ~tail.rlike(rf"\ntime{WS}*\n") & (F.length(tail) < F.length(text))
+    return F.when(~low.contains("\ntime"), "").when(plain, normalize_text(own)).otherwise(last_time_field(text))
 
 
 def last_time_field(text: Column | str) -> Column:

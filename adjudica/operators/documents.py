@@ -13,30 +13,34 @@ _DECIDING = ("decision", "offence", "infringement")
 
 def parse_documents(raw: DataFrame) -> DataFrame:
     """``(document_id, event, season, title, raw_text)`` to typed fields and a confidence."""
-    text = F.col("raw_text")
-    lines = raw.withColumns({
-        "_driver": tx.extract_field(text, "No / Driver"),
-        "_fact": tx.extract_field(text, "Fact"),
-        "_offence": tx.extract_field(text, "Offence"),
-        "_infringement": tx.extract_field(text, "Infringement"),
-        "_decision": tx.extract_field(text, "Decision"),
-        "_reason": tx.extract_field(text, "Reason"),
-        "_session": tx.document_session(tx.extract_field(text, "Session")),
-        "_document": tx.extract_field(text, "Document"),
-        "_no": tx.extract_field(text, "No"),
-        "document_type": tx.document_type("title"),
-    })
-    offence = F.coalesce(F.nullif("_offence", F.lit("")), "_infringement")
+    text, low = F.col("_text"), F.col("_low")
+
+    def field(label: str) -> Column:
+        return tx.field_of(text, low, label)
+
+    read = raw.withColumn("_text", tx.plain_spaces("raw_text")).withColumn("_low", tx.lowered("_text"))
+    labels = {"_driver": "No / Driver", "_fact": "Fact", "_offence": "Offence", "_decision": "Decision", "_reason": "Reason", "_session": "Session",
+              "_document": "Document", "_date": "Date", "_clock": "Time", "_competitor": "Competitor"}
+    cut = read.select(*[F.col(f"`{c}`") for c in raw.columns], "_text", "_low", *[field(label).alias(name) for name, label in labels.items()],
+                      tx.time_of(text, low).alias("_own_time"))
+    # A generator stops the optimizer from repeating the cuts in the filters and keys above it.
+    blank = F.lit("")
+    lines = cut.select(*[F.col(f"`{c}`") for c in raw.columns], F.inline(F.array(F.struct(
+        *[F.col(name) for name in labels if name not in ("_offence", "_document")], "_own_time",
+        F.coalesce(F.nullif("_offence", blank), field("Infringement")).alias("_offence"),
+        F.coalesce(F.nullif("_document", blank), field("No")).alias("_document"))))).withColumns({
+            "_session": tx.document_session("_session"), "document_type": tx.document_type("title")})
+    offence = F.col("_offence")
     car = tx.car_number("_driver")
     fields = F.struct(
-        F.coalesce(F.nullif("_document", F.lit("")), "_no").alias("document_no"),
-        tx.extract_field(text, "Date").alias("date"),
-        tx.extract_field(text, "Time").alias("time"),
-        tx.last_time_field(text).alias("incident_time"),
-        tx.grand_prix(text).alias("grand_prix"),
+        F.col("_document").alias("document_no"),
+        F.col("_date").alias("date"),
+        F.col("_clock").alias("time"),
+        F.col("_own_time").alias("incident_time"),
+        tx.grand_prix("raw_text").alias("grand_prix"),
         car.alias("car_number"),
         tx.car_driver("_driver").alias("driver_name"),
-        tx.extract_field(text, "Competitor").alias("competitor"),
+        F.col("_competitor").alias("competitor"),
         F.col("_session").alias("session"),
         F.col("_fact").alias("fact"),
         offence.alias("offence"),
@@ -82,8 +86,8 @@ def primary_documents(docs: DataFrame, seq: str = "seq", include_event: bool = F
                       by_season: bool = True) -> DataFrame:
     """One document per (season, car, session, fact): corrections, then decisions, then input order.
 
-    A best-of aggregate that carries the whole row: partial results mean a cluster with very
-    many copies ships one row per task, and the documents are parsed only once.
+    Rank and ``seq`` make one number, so a hash aggregate finds the best of a group with one number per task, and the
+    rows are fetched by it. ``seq`` is unique and from 0 to 2^60 - 1.
     """
     f = F.col("parsed_fields")
     keys = {"_car": or_empty(f["car_number"]), "_session": or_empty(f["session"]),
@@ -93,10 +97,10 @@ def primary_documents(docs: DataFrame, seq: str = "seq", include_event: bool = F
     if include_event:
         keys["_event"] = or_empty("event")
     good = docs.where(is_eligible(F.col("document_type"), f["fact"], f["decision"]))
-    rank = F.struct(document_rank("title", F.col("document_type")).alias("r"), F.col(seq).alias("s"))
-    best = good.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(
-        F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), rank).alias("_best"))
-    return best.select("_best.*")
+    rank = document_rank("title", F.col("document_type"))
+    packed = (rank["c"] * 4 + rank["k"]).cast("long") * (1 << 60) + F.col(seq).cast("long")
+    best = good.groupBy(*[c.alias(n) for n, c in keys.items()]).agg((F.min(packed) % (1 << 60)).alias("_best"))
+    return docs.join(best.select("_best"), F.col(seq).cast("long") == F.col("_best"), "left_semi")
 
 
 def incident_rows(docs: DataFrame, circuits: DataFrame, include_event: bool = False) -> DataFrame:

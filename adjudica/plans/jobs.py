@@ -19,7 +19,8 @@ from adjudica.session import cut_lineage
 
 def build_incidents(raw: DataFrame, circuits: DataFrame, seq: str = "seq", include_event: bool = False) -> DataFrame:
     """Raw document texts to incident rows: parse, pick primaries, map."""
-    parsed = parse_documents(raw).drop("raw_text")
+    # The parsed documents are read twice: to choose, and to take what was chosen.
+    parsed = cut_lineage(parse_documents(raw).drop("raw_text"))
     return incident_rows(primary_documents(parsed, seq, include_event), circuits, include_event)
 
 

@@ -52,12 +52,13 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(body).alias("n"), F.md5(body).alias("digest"))
 
 
-_on_texts("F02_extract_field", lambda: {
-    "fact": tx.extract_field("raw_text", "Fact"), "offence": tx.extract_field("raw_text", "Offence"),
-    "decision": tx.extract_field("raw_text", "Decision"), "reason": tx.extract_field("raw_text", "Reason"),
-    "document_no": tx.extract_field("raw_text", "Document"), "date": tx.extract_field("raw_text", "Date"),
-    "incident_time": tx.last_time_field("raw_text"),
-}, "fact, offence, decision, reason, document_no, date, incident_time")
+@query("F02_extract_field", f"WITH f AS ({FIELDS_SQL}) SELECT document_id, fact, offence, decision, reason, document_no, date, incident_time FROM f")
+def _(spark, sf):
+    text, low = F.col("text"), F.col("low")
+    rows = roles.documents(spark, sf).select("document_id", tx.plain_spaces("raw_text").alias("text")).withColumn("low", tx.lowered("text"))
+    labels = {"fact": "Fact", "offence": "Offence", "decision": "Decision", "reason": "Reason", "document_no": "Document", "date": "Date"}
+    return rows.select("document_id", *[tx.field_of(text, low, label).alias(name) for name, label in labels.items()],
+                       tx.time_of(text, low).alias("incident_time"))
 _on_fields("F03_document_type", lambda: {"document_type": tx.document_type("title")}, f"{roles.KIND_SQL} AS document_type")
 _on_fields("F04_document_session", lambda: {"session": tx.document_session("session_text")}, f"{roles.DOC_SESSION_SQL} AS session")
 _on_fields("F05_rule_session", lambda: {"session": tx.rule_session("session_text")},
