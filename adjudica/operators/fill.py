@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from adjudica.functions.blanks import is_blank, or_empty
 
+RECORDS = "array<struct<field:string,source:string,stage:int,details:map<string,string>>>"
+
 
 def fill_gap(old: Column, new: Column, always: bool = False, keep_blank: bool = True) -> Column:
     """``new`` where ``old`` is blank, or everywhere with ``always``.
@@ -29,24 +31,33 @@ def first_filled(*sources: Column) -> Column:
     return F.coalesce(*[F.when(~is_blank(s), s) for s in sources])
 
 
-def record(df: DataFrame, field: str, source: str, stage: int, when: Column,
-           details: Mapping[str, Column]) -> DataFrame:
-    """Provenance rows (incident_id, field, source, stage, details); empty details are left out."""
-    entries = F.array_compact(F.array(*[
-        F.when(or_empty(value) != "", F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))
-        for key, value in details.items()]))
-    return df.where(when & (or_empty("incident_id") != "")).select(
-        "incident_id", F.lit(field).alias("field"), F.lit(source).alias("source"),
-        F.lit(stage).alias("stage"), F.map_from_entries(entries).alias("details"))
+def records(source: str, stage: int, fields: Mapping[str, tuple[Column, Mapping[str, Column]]]) -> Column:
+    """What a stage writes, as an array that travels with its row: ``fields`` maps a name to (when, details).
+
+    Empty details are left out, and so are fields whose condition does not hold.
+    """
+    entries = [F.when(when, F.struct(
+        F.lit(name).alias("field"), F.lit(source).alias("source"), F.lit(stage).alias("stage"),
+        F.map_from_entries(F.array_compact(F.array(*[
+            F.when(or_empty(value) != "", F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))
+            for key, value in details.items()])).cast("array<struct<key:string,value:string>>")).alias("details"))) for name, (when, details) in fields.items()]
+    return F.array_compact(F.array(*entries)).cast(RECORDS)
+
+
+def unfolded(df: DataFrame, column: str) -> DataFrame:
+    """The records of all rows, one each: (incident_id, field, source, stage, details)."""
+    rows = df.where(or_empty("incident_id") != "").select("incident_id", F.explode(column).alias("e"))
+    return rows.select("incident_id", "e.field", "e.source", "e.stage", "e.details")
 
 
 def record_all(df: DataFrame, source: str, stage: int, fields: Mapping[str, tuple[Column, Mapping[str, Column]]]) -> DataFrame:
-    """Provenance of several fields of one source in one pass: ``fields`` maps a name to (when, details)."""
-    entries = [F.when(when, F.struct(F.lit(name).alias("field"), F.map_from_entries(F.array_compact(F.array(*[
-        F.when(or_empty(value) != "", F.struct(F.lit(key).alias("key"), value.cast("string").alias("value")))
-        for key, value in details.items()]))).alias("details"))) for name, (when, details) in fields.items()]
-    rows = df.where(or_empty("incident_id") != "").select("incident_id", F.explode(F.array_compact(F.array(*entries))).alias("e"))
-    return rows.select("incident_id", "e.field", F.lit(source).alias("source"), F.lit(stage).alias("stage"), "e.details")
+    """Provenance rows of several fields of one source, in one pass."""
+    return unfolded(df.select("incident_id", records(source, stage, fields).alias("_new")), "_new")
+
+
+def record(df: DataFrame, field: str, source: str, stage: int, when: Column, details: Mapping[str, Column]) -> DataFrame:
+    """Provenance rows of one field; incidents without an id leave none."""
+    return record_all(df, source, stage, {field: (when, details)})
 
 
 def latest_provenance(records: DataFrame) -> DataFrame:
@@ -69,13 +80,13 @@ def provenance_summary(provenance: DataFrame) -> DataFrame:
 
 
 def provenance_rate(incidents: DataFrame, provenance: DataFrame, field: str, source: str,
-                    detail: str) -> DataFrame:
-    """Share of incidents with a round whose field came from ``source`` with ``detail`` set."""
+                    detail: str, by: Sequence[str] = ()) -> DataFrame:
+    """Share of incidents with a round whose field came from ``source`` with ``detail`` set, in all or by some columns."""
     hits = provenance.where((F.col("field") == field) & (F.col("source") == source)
                             & F.col("details")[detail].isNotNull()).select(
         "incident_id", F.lit(1.0).alias("_hit"))
-    rows = incidents.where(~is_blank("round")).select("incident_id").join(hits, "incident_id", "left")
-    return rows.agg(F.round(F.coalesce(F.avg(F.coalesce("_hit", F.lit(0.0))), F.lit(0.0)), 4).alias("rate"))
+    rows = incidents.where(~is_blank("round")).select("incident_id", *by).join(hits, "incident_id", "left")
+    return rows.groupBy(*by).agg(F.round(F.coalesce(F.avg(F.coalesce("_hit", F.lit(0.0))), F.lit(0.0)), 4).alias("rate"))
 
 
 def upsert(current: DataFrame, updates: DataFrame, key: str) -> DataFrame:

@@ -112,9 +112,9 @@ def gate_metrics(df: DataFrame, prior: DataFrame, provenance_rate: DataFrame, by
     return metrics.withColumn("standings_provenance_rate", provenance_rate.select("rate").scalar())
 
 
-def evaluate_gates(metrics: DataFrame, season: Column | None = None,
-                   targets: Mapping[str, float] | None = None) -> DataFrame:
-    """One row per gate: actual, target, passed. The prior-points gate needs such rows."""
+def evaluate_gates(metrics: DataFrame, season: Column | None = None, targets: Mapping[str, float] | None = None,
+                   sector_targets: Mapping[str, float] = SECTOR_TARGETS) -> DataFrame:
+    """One row per gate: actual, target, passed. The prior-points gate needs such rows; some seasons have a sector target of their own."""
     targets = targets or {}
     keep = [c for c in ("season",) if c in metrics.columns]
     year = season if season is not None else F.lit(None)
@@ -122,7 +122,7 @@ def evaluate_gates(metrics: DataFrame, season: Column | None = None,
     for gate, metric, default, strict in QUALITY_GATES:
         target = F.lit(float(targets.get(gate, default)))
         if gate == "sector":
-            for text, value in SECTOR_TARGETS.items():
+            for text, value in sector_targets.items():
                 target = F.when(year.cast("string") == text, value).otherwise(target)
         actual = F.col(metric)
         entry = F.struct(F.lit(gate).alias("gate"), actual.alias("actual"), target.alias("target"),

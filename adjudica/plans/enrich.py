@@ -1,14 +1,15 @@
-"""Enrichment jobs. Each takes and returns incident rows plus long provenance records.
+"""Enrichment jobs. Each takes incident rows and returns them with what it wrote, as provenance records.
 
-Stages run in this order: reference, standings, timestamps, race feed, session frames,
-license points, text fields.
+Stages run in this order: reference, standings, timestamps, race feed, session frames, license points, text fields.
+``enrich_all`` runs them as one job: the records of a row travel with it in an array and are unfolded once, at the end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from adjudica.constants import FAULT_MIN_CONFIDENCE, FEED_FIRST_SEASON, MATCH_TOLERANCE_SECONDS, STANDINGS_COLUMNS
 from adjudica.functions import times
@@ -17,20 +18,25 @@ from adjudica.functions.feeds import flag_state, safety_car_state, track_conditi
 from adjudica.functions.multi import split_drop
 from adjudica.functions.scoring import infer_fault, suggest_severity
 from adjudica.functions.text import id_slug, nationality_slug
-from adjudica.operators import lookup, match, points
-from adjudica.operators.asof import asof_backward, asof_nearest, max_until
-from adjudica.operators.fill import fill_columns, fill_gap, record, record_all
+from adjudica.operators import lookup, match, points, quality
+from adjudica.operators.asof import Feed, last_match, nearest_match, scan
+from adjudica.operators.fill import RECORDS, fill_columns, fill_gap, latest_provenance, record_all, records, unfolded
 from adjudica.session import cut_lineage
 
 POSITIONS = "positions_of_involved parties"
+SUGGESTIONS = ("driver_at_fault_suggestion", "driver_at_fault_confidence", "severity_suggestion", "severity_confidence")
+#: The records of one stage, on their way out of it.
+NEW = "_new"
 Enriched = tuple[DataFrame, DataFrame]
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+def _noted(rows: DataFrame, incidents: DataFrame, new: Column) -> DataFrame:
+    """The columns that came in, and what the stage wrote."""
+    return rows.select(*[F.col(f"`{c}`") for c in incidents.columns], new.alias(NEW))
+
+
+def _apart(noted: DataFrame) -> Enriched:
+    return noted.drop(NEW), unfolded(noted, NEW)
 
 
 def enrich_reference(incidents: DataFrame, meta: DataFrame, circuits: DataFrame, drivers: DataFrame,
@@ -88,6 +94,12 @@ def enrich_standings(incidents: DataFrame, meta: DataFrame, calendar: DataFrame,
                      team_standings: DataFrame, results: DataFrame, teams: DataFrame,
                      overwrite: bool = True, write_blanks: bool = False) -> Enriched:
     """Round, circuit and country from the fetched calendar, standings from round N-1."""
+    return _apart(note_standings(incidents, meta, calendar, standings, team_standings, results, teams, overwrite, write_blanks))
+
+
+def note_standings(incidents: DataFrame, meta: DataFrame, calendar: DataFrame, standings: DataFrame,
+                   team_standings: DataFrame, results: DataFrame, teams: DataFrame,
+                   overwrite: bool = True, write_blanks: bool = False) -> DataFrame:
     rows = lookup.with_meta(incidents, meta.select("incident_id", "event", "car_number"))
     found = match.ranked_rounds(rows, calendar).withColumnRenamed("round", "_round")
     races = calendar.select("season", F.col("round").alias("_round"), F.col("circuit_id").alias("_circuit"),
@@ -97,7 +109,7 @@ def enrich_standings(incidents: DataFrame, meta: DataFrame, calendar: DataFrame,
     size = team_standings.groupBy("season").agg(F.countDistinct("constructor_id").alias("_teams"))
     rows = rows.join(count, "season", "left").join(size, "season", "left")
     basics = {"round": F.col("_round"), "circuit": F.col("_circuit"), "country": F.col("_country")}
-    filled = [record(rows, c, "standings_feed", 2, is_blank(c) & ~is_blank(v), {"value": v}) for c, v in basics.items()]
+    rows = rows.withColumn("_basics", records("standings_feed", 2, {c: (is_blank(c) & ~is_blank(v), {"value": v}) for c, v in basics.items()}))
     rows = fill_columns(rows, {**basics, "rounds": F.col("_rounds"), "num_teams": F.col("_teams")})
     rows = lookup.drivers_from_car(rows.withColumn("_r", F.col("round")).withColumn("round", F.col("_round")), results)
     rows = rows.withColumn("round", F.col("_r")).drop("_r")
@@ -113,13 +125,12 @@ def enrich_standings(incidents: DataFrame, meta: DataFrame, calendar: DataFrame,
     used = F.greatest(F.col("_round") - 1, F.lit(0))
     # A cell of commas only holds no value.
     value = {c: F.when(F.replace(or_empty(f"_f_{c}"), F.lit(","), F.lit("")) != "", F.col(f"_f_{c}")) for c in names}
-    if overwrite:
-        filled.append(record_all(rows, "standings_feed", 2, {
-            c: (value[c].isNotNull(), {"value": value[c], "round_used": used}) for c in names}))
-    rows = rows.withColumns({c: fill_gap(
+    new = records("standings_feed", 2, {
+        c: (value[c].isNotNull(), {"value": value[c], "round_used": used}) for c in names}) if overwrite else F.array().cast(RECORDS)
+    rows = rows.withColumn(NEW, F.concat("_basics", new)).withColumns({c: fill_gap(
         F.col(c), F.coalesce(F.col(f"_f_{c}"), F.lit("")) if write_blanks else value[c],
         overwrite and c in STANDINGS_COLUMNS, not write_blanks) for c in names})
-    return rows.select(*incidents.columns), _union(filled)
+    return _noted(rows, incidents, F.col(NEW))
 
 
 def enrich_timestamps(incidents: DataFrame, meta: DataFrame, schedule: DataFrame, local_rounds: DataFrame,
@@ -153,32 +164,41 @@ def max_laps(laps: DataFrame, keys: list[str], lap: str) -> DataFrame:
     return laps.groupBy(*keys).agg(F.max(lap).cast("string").alias("_max_lap"))
 
 
-def positions(rows: DataFrame, numbers: DataFrame, on: list[str], feed: DataFrame, by: list[str], at: str,
-              feed_time: str, position: str, driver: str, tolerance: float, seq: str) -> DataFrame:
-    """(incident_id, _positions): nearest position of each listed driver, blanks kept."""
-    listed = rows.select("incident_id", "car_number", *dict.fromkeys([*on, *by]), at,
-                         F.posexplode(split_drop("drivers")).alias("pos", "driver"))
-    numbered = cut_lineage(match.driver_numbers(listed, numbers, on))
-    known = feed.where(F.col(position).isNotNull()).withColumnRenamed(driver, "driver_number")
-    near = asof_nearest(numbered, known, [*by, "driver_number"], at, feed_time, [position], tolerance, seq)
-    near = near.withColumn("_positions", F.col("match")[position].cast("string"))
-    cells = lookup.regroup(near, "incident_id", "_positions")
-    return cells.where(F.replace("_positions", F.lit(","), F.lit("")) != "")
+def _looked_up(rows: DataFrame, keys: list[str], numbers: DataFrame, on: list[str], feeds: list[Feed], drivers: Feed, position: str,
+               found: dict[str, Column], tolerance: float) -> DataFrame:
+    """rows with the matches of ``found``, and in ``_positions`` the nearest position of each listed driver, blanks kept.
 
-
-def _probes(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows with a number, and the few columns of them that an as-of join sorts.
-
-    The rows are materialised, so chained joins neither repeat their upstream nor carry whole rows, and numbers are stable.
+    One stack holds the feeds of the session and the positions of its drivers, which differ in the last key: blank, or the
+    driver's number. So all of them are shuffled once and scanned once per direction. The rows are cut first: the stack
+    takes what it sorts from the same rows that its matches are joined to.
     """
-    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
-    return rows, rows.select("_row", *keys, "_at")
+    rows = cut_lineage(rows.withColumn("_id", F.monotonically_increasing_id()))
+    listed = rows.select("_id", "_at", "car_number", *dict.fromkeys([*on, *keys]), F.posexplode(split_drop("drivers")).alias("pos", "driver"))
+    numbered = match.driver_numbers(listed, numbers, on)
+    probes = rows.select("_id", F.lit(-1).alias("pos"), *keys, F.lit("").alias("_who"), "_at").unionByName(
+        numbered.select("_id", "pos", *keys, F.col("driver_number").cast("string").alias("_who"), "_at"))
+    known = drivers.rows.where(F.col(position).isNotNull())
+    stacked = [Feed(f.name, f.rows.withColumn("_who", F.lit("")), f.time, f.take, f.seq, f.after, f.highest) for f in feeds]
+    stacked.append(Feed("place", known.withColumn("_who", F.col(drivers.name).cast("string")), drivers.time, [position], drivers.seq, after=True))
+    near = nearest_match("place", [position], tolerance)[position].cast("string")
+    seen = scan(probes, stacked, [*keys, "_who"], "_at").select(
+        "_id", "pos", F.when(F.col("pos") < 0, F.struct(*[c.alias(n) for n, c in found.items()])).alias("found"), F.coalesce(near, F.lit("")).alias("place"))
+    cells = F.transform(F.array_sort(F.collect_list(F.when(F.col("pos") >= 0, F.struct("pos", "place")))), lambda c: c["place"])
+    by_row = seen.groupBy("_id").agg(F.first("found", ignorenulls=True).alias("_found"), F.array_join(cells, ",").alias("_cells"))
+    joined = rows.join(by_row, "_id").withColumn("_positions", F.when(F.replace("_cells", F.lit(","), F.lit("")) != "", F.col("_cells")))
+    return joined.withColumns({n: F.col(f"_found.{n}") for n in found})
 
 
 def enrich_feed(incidents: DataFrame, meta: DataFrame, sessions: DataFrame, laps: DataFrame, messages: DataFrame,
                 position: DataFrame, numbers: DataFrame, tolerance: float = MATCH_TOLERANCE_SECONDS,
                 first_season: int = FEED_FIRST_SEASON) -> Enriched:
     """Lap, full laps, flag, sector and positions from time-stamped feeds of the session."""
+    return _apart(note_feed(incidents, meta, sessions, laps, messages, position, numbers, tolerance, first_season))
+
+
+def note_feed(incidents: DataFrame, meta: DataFrame, sessions: DataFrame, laps: DataFrame, messages: DataFrame,
+              position: DataFrame, numbers: DataFrame, tolerance: float = MATCH_TOLERANCE_SECONDS,
+              first_season: int = FEED_FIRST_SEASON) -> DataFrame:
     side = meta.select("incident_id", "event", "car_number", "session_offset_seconds", "lap_hint")
     rows = lookup.with_meta(incidents, side).withColumn("_year", number("season").cast("int"))
     wanted = rows.where(F.col("_year") >= first_season).select(F.col("_year").alias("season"), "event", "session")
@@ -187,15 +207,13 @@ def enrich_feed(incidents: DataFrame, meta: DataFrame, sessions: DataFrame, laps
     rows = rows.join(keys, ["_year", "event", "session"], "left")
     rows = rows.withColumn("_at", times.add_seconds(
         F.col("date_start"), F.col("session_offset_seconds").cast("double")))
-    rows, probe = _probes(rows, ["session_key"])
-    lap = asof_backward(probe, laps, ["session_key"], "_at", "date_start", ["lap_number"], "lap_number", out="_lap")
-    rc = asof_nearest(probe, messages, ["session_key"], "_at", "date", ["flag", "message", "sector"], tolerance,
-                      "seq", out="_rc")
-    rows = rows.join(lap.select("_row", "_lap"), "_row").join(rc.select("_row", "_rc"), "_row")
+    said = ["flag", "message", "sector"]
+    rows = _looked_up(
+        rows, ["session_key"], numbers, ["session_key"],
+        [Feed("lap", laps, "date_start", ["lap_number"], "lap_number"), Feed("rc", messages, "date", said, "seq", after=True)],
+        Feed("driver_number", position, "date", [], "seq"), "position",
+        {"_lap": last_match("lap", ["lap_number"]), "_rc": nearest_match("rc", said, tolerance)}, tolerance)
     rows = rows.join(max_laps(laps, ["session_key"], "lap_number"), "session_key", "left")
-    cells = positions(rows, numbers, ["session_key"], position, ["session_key"], "_at", "date", "position",
-                      "driver_number", tolerance, "seq")
-    rows = rows.join(cells, "incident_id", "left")
     known = F.col("session_key").isNotNull()
     hint = F.when(known & (F.coalesce("lap_hint", F.lit(0)) > 0), F.col("lap_hint").cast("string"))
     lap = F.coalesce(hint, F.col("_lap.lap_number").cast("string"))
@@ -209,14 +227,18 @@ def enrich_feed(incidents: DataFrame, meta: DataFrame, sessions: DataFrame, laps
                 "match_error_seconds": F.when(hint.isNull(), F.col("_lap.error_seconds"))},
         "full_laps": {"session_key": F.col("session_key")}, "flag": rc, "sector": rc,
         POSITIONS: {"session_key": F.col("session_key")}}
-    filled = record_all(rows, "race_feed", 4, {
-        c: (is_blank(F.col(f"`{c}`")) & v.isNotNull(), {"value": v, **details[c]}) for c, v in updates.items()})
-    return fill_columns(rows, updates).select(*[F.col(f"`{c}`") for c in incidents.columns]), filled
+    new = records("race_feed", 4, {c: (is_blank(F.col(f"`{c}`")) & v.isNotNull(), {"value": v, **details[c]}) for c, v in updates.items()})
+    return _noted(fill_columns(rows.withColumn(NEW, new), updates), incidents, F.col(NEW))
 
 
 def enrich_session_frames(incidents: DataFrame, meta: DataFrame, laps: DataFrame, messages: DataFrame,
                           weather: DataFrame, numbers: DataFrame, tolerance: float = MATCH_TOLERANCE_SECONDS) -> Enriched:
     """Laps, weather, flag, sector, safety car and positions on session time."""
+    return _apart(note_session_frames(incidents, meta, laps, messages, weather, numbers, tolerance))
+
+
+def note_session_frames(incidents: DataFrame, meta: DataFrame, laps: DataFrame, messages: DataFrame,
+                        weather: DataFrame, numbers: DataFrame, tolerance: float = MATCH_TOLERANCE_SECONDS) -> DataFrame:
     keys = ["_year", "_round", "_session"]
 
     def keyed(df: DataFrame) -> DataFrame:
@@ -230,10 +252,12 @@ def enrich_session_frames(incidents: DataFrame, meta: DataFrame, laps: DataFrame
         "_session": F.lower(or_empty("session"))})
     seconds = times.incident_seconds("session_offset_seconds", "time")
     rows = rows.withColumn("_at", F.when(seconds >= 0, seconds))
-    rows, probe = _probes(rows, keys)
-    lap = max_until(probe, laps, keys, "_at", "Time", "LapNumber", out="_lap")
-    rc = asof_nearest(probe, messages, keys, "_at", "Time", ["Message", "Flag", "Sector"], tolerance, "seq", out="_rc")
-    rows = rows.join(lap.select("_row", "_lap"), "_row").join(rc.select("_row", "_rc"), "_row")
+    said = ["Message", "Flag", "Sector"]
+    rows = _looked_up(
+        rows, keys, numbers, ["_year", "_round"],
+        [Feed("lap", laps, "Time", ["LapNumber"], highest=True), Feed("rc", messages, "Time", said, "seq", after=True)],
+        Feed("DriverNumber", laps, "Time", [], "LapNumber"), "Position",
+        {"_lap": F.col("lap_before"), "_rc": nearest_match("rc", said, tolerance)}, tolerance)
     rows = rows.join(max_laps(laps, keys, "LapNumber"), keys, "left")
     last = weather.groupBy(*keys).agg(F.max_by(F.struct("Rainfall", "TrackStatus"), "Time").alias("_weather"))
     text = F.upper(or_empty("Message"))
@@ -241,9 +265,6 @@ def enrich_session_frames(incidents: DataFrame, meta: DataFrame, laps: DataFrame
         F.bool_or(text.contains("VIRTUAL SAFETY CAR")).alias("_vsc"),
         F.bool_or(text.contains("SAFETY CAR") & ~text.contains("VIRTUAL SAFETY CAR")).alias("_sc"))
     rows = rows.join(last, keys, "left").join(states, keys, "left")
-    cells = positions(rows, numbers, ["_year", "_round"], laps, keys, "_at", "Time", "Position", "DriverNumber",
-                      tolerance, "LapNumber")
-    rows = rows.join(cells, "incident_id", "left")
     hint = F.when(F.coalesce("lap_hint", F.lit(0)) > 0, F.col("lap_hint").cast("string"))
     near = F.col("_rc").isNotNull()
     w = F.col("_weather")
@@ -258,21 +279,25 @@ def enrich_session_frames(incidents: DataFrame, meta: DataFrame, laps: DataFrame
         POSITIONS: F.col("_positions"),
         "safety_car": F.when(F.col("_at").isNull(), overall).when(near, safety_car_state("_rc.Message")),
     }
-    filled = record_all(rows, "session_frames", 5, {
+    new = records("session_frames", 5, {
         c: (is_blank(F.col(f"`{c}`")) & v.isNotNull(), {"value": v, "round": F.col("_round")}) for c, v in updates.items()})
-    return fill_columns(rows, updates).select(*[F.col(f"`{c}`") for c in incidents.columns]), filled
+    return _noted(fill_columns(rows.withColumn(NEW, new), updates), incidents, F.col(NEW))
 
 
 def enrich_points(incidents: DataFrame, dates: DataFrame) -> Enriched:
     """License points held before each incident; ``dates(incident_id, date)``."""
+    return _apart(note_points(incidents, dates))
+
+
+def note_points(incidents: DataFrame, dates: DataFrame) -> DataFrame:
     rows = incidents.join(dates.select("incident_id", "date"), "incident_id", "left")
     before = points.points_before(rows).withColumnRenamed("superlicense_points_before_incident", "_before")
     rows = incidents.join(before, "incident_id", "left")
-    filled = record(rows, "superlicense_points_before_incident", "corpus_rolling", 6, or_empty("_before") != "",
-                    {"value": F.col("_before"), "season": F.col("season")})
-    rows = rows.withColumn("superlicense_points_before_incident",
-                           F.coalesce("_before", "superlicense_points_before_incident"))
-    return rows.select(*[F.col(f"`{c}`") for c in incidents.columns]), filled
+    new = records("corpus_rolling", 6, {"superlicense_points_before_incident": (
+        or_empty("_before") != "", {"value": F.col("_before"), "season": F.col("season")})})
+    rows = rows.withColumn(NEW, new).withColumn(
+        "superlicense_points_before_incident", F.coalesce("_before", "superlicense_points_before_incident"))
+    return _noted(rows, incidents, F.col(NEW))
 
 
 def enrich_text(incidents: DataFrame, meta: DataFrame, docs: DataFrame,
@@ -281,6 +306,12 @@ def enrich_text(incidents: DataFrame, meta: DataFrame, docs: DataFrame,
 
     Returns incidents, provenance and the suggestion columns for the meta table.
     """
+    rows = note_text(incidents, meta, docs, min_confidence)
+    return (*_apart(rows.drop(*SUGGESTIONS)), rows.select("incident_id", *SUGGESTIONS))
+
+
+def note_text(incidents: DataFrame, meta: DataFrame, docs: DataFrame, min_confidence: float = FAULT_MIN_CONFIDENCE) -> DataFrame:
+    """The rows, what was written, and the suggestions for the meta table."""
     body = docs.select("document_id", *[F.col(f"parsed_fields.{c}").alias(f"_{c}") for c in ("fact", "reason", "decision")])
     rows = lookup.with_meta(incidents, meta.select("incident_id", "document_id")).join(body, "document_id", "left")
     rows = rows.withColumns({
@@ -288,12 +319,68 @@ def enrich_text(incidents: DataFrame, meta: DataFrame, docs: DataFrame,
         "_sev": suggest_severity("_fact", "_reason", "_decision", "penalty")})
     fault, sure = F.col("_fault.value"), F.col("_fault.confidence")
     write = (fault != "") & (sure >= min_confidence) & is_blank("driver_at_fault")
-    filled = record_all(rows, "text_fields", 7, {
+    new = records("text_fields", 7, {
         "driver_at_fault": (fault != "", {"value": fault, "confidence": sure, "suggestion_only": F.when(~write, "true")}),
         "severity": (F.lit(True), {"value": F.col("_sev.value"), "confidence": F.col("_sev.confidence"),
                                    "suggestion_only": (~is_blank("severity")).cast("string")})})
-    suggestions = rows.select(
-        "incident_id", fault.alias("driver_at_fault_suggestion"), sure.alias("driver_at_fault_confidence"),
-        F.col("_sev.value").alias("severity_suggestion"), F.col("_sev.confidence").alias("severity_confidence"))
+    rows = rows.withColumns({
+        NEW: new, "driver_at_fault_suggestion": fault, "driver_at_fault_confidence": sure,
+        "severity_suggestion": F.col("_sev.value"), "severity_confidence": F.col("_sev.confidence")})
     rows = rows.withColumn("driver_at_fault", F.when(write, fault).otherwise(F.col("driver_at_fault")))
-    return rows.select(*[F.col(f"`{c}`") for c in incidents.columns]), filled, suggestions
+    return rows.select(*[F.col(f"`{c}`") for c in incidents.columns], NEW, *SUGGESTIONS)
+
+
+@dataclass(frozen=True)
+class Sources:
+    """Everything the stages look things up in; the columns are those of the single jobs."""
+
+    circuits: DataFrame
+    drivers: DataFrame
+    teams: DataFrame
+    seasons: Mapping[str, DataFrame]
+    calendar: DataFrame
+    standings: DataFrame
+    team_standings: DataFrame
+    results: DataFrame
+    schedule: DataFrame
+    local_rounds: DataFrame
+    sessions: DataFrame
+    feed: Mapping[str, DataFrame]
+    frames: Mapping[str, DataFrame]
+    feed_numbers: DataFrame
+    frame_numbers: DataFrame
+    documents: DataFrame
+
+
+@dataclass(frozen=True)
+class EnrichedCorpus:
+    incidents: DataFrame
+    meta: DataFrame
+    provenance: DataFrame
+
+
+def enrich_all(incidents: DataFrame, meta: DataFrame, sources: Sources, tolerance: float = MATCH_TOLERANCE_SECONDS,
+               first_season: int = FEED_FIRST_SEASON) -> EnrichedCorpus:
+    """All stages as one job over incident rows and their meta rows, one of each per incident id.
+
+    A row carries its records through the stages; each stage ends with one reliable cut, so a lost executor repeats one
+    stage at most. Timestamps add to the meta rows on the way, text fields at the end. The provenance has the last write of
+    each field; what the timestamps say is recorded last.
+    """
+    def next_stage(noted: DataFrame) -> DataFrame:
+        return cut_lineage(noted.withColumn("_records", F.concat("_records", NEW)).drop(NEW))
+
+    rows = quality.conform(incidents).withColumn("season", F.col("season").cast("int")).withColumn("_records", F.array().cast(RECORDS))
+    rows = cut_lineage(enrich_reference(rows, meta, sources.circuits, sources.drivers, sources.teams, sources.seasons))
+    rows = next_stage(note_standings(rows, meta, sources.calendar, sources.standings, sources.team_standings, sources.results, sources.teams))
+    fetched = match.ranked_rounds(lookup.with_meta(rows, meta.select("incident_id", "event")), sources.calendar)
+    side = cut_lineage(enrich_timestamps(rows, meta, sources.schedule, sources.local_rounds, fetched))
+    rows = next_stage(note_feed(rows, side, sources.sessions, sources.feed["laps"], sources.feed["messages"], sources.feed["positions"],
+                                sources.feed_numbers, tolerance, first_season))
+    rows = next_stage(note_session_frames(rows, side, sources.frames["laps"], sources.frames["messages"], sources.frames["weather"],
+                                          sources.frame_numbers, tolerance))
+    rows = next_stage(note_points(rows, side.select("incident_id", times.parse_date("date").alias("date"))))
+    rows = next_stage(note_text(rows, side, sources.documents))
+    side = side.join(rows.select("incident_id", *SUGGESTIONS), "incident_id", "left")
+    written = unfolded(rows, "_records").unionByName(timestamp_provenance(side))
+    return EnrichedCorpus(rows.drop("_records", *SUGGESTIONS), side, latest_provenance(written))

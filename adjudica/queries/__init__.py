@@ -11,7 +11,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-_MODULES = ("scalars", "projections", "windows", "joins", "aggregates", "tables", "studies", "payloads")
+_MODULES = ("scalars", "projections", "windows", "joins", "aggregates", "tables", "studies", "payloads", "cascade")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
