@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
@@ -126,6 +127,46 @@ def fuse_mean(merged: DataFrame) -> DataFrame:
         "pred_fused": argmax(mean)})
 
 
+def fold_of(key: str, folds: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(key)), F.lit(folds)).cast("int")
+
+
+def out_of_fold(train: DataFrame, fit: Callable[[DataFrame], PipelineModel], out: str, folds: int = 3, key: str = "row_id") -> DataFrame:
+    """Predictions for every training row by a model that has not seen it: one fit per hash fold of the key.
+
+    Rows of one key share a fold, so no copy of a row teaches the model that scores it.
+    """
+    rows = cut_lineage(train.withColumn("_fold", fold_of(key, folds)))
+    parts = []
+    for k in range(folds):
+        held = rows.where(F.col("_fold") == k)
+        parts.append(score(fit(rows.where(F.col("_fold") != k).drop("_fold")), held.drop("_fold"), out))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def cross_fitted_stack(train: DataFrame, validation: DataFrame, fit_left: Callable[[DataFrame], PipelineModel],
+                       fit_right: Callable[[DataFrame], PipelineModel], folds: int = 3) -> DataFrame:
+    """Validation rows scored by a stack that learned from out-of-fold probabilities of both modalities."""
+    inner = merge_modalities(out_of_fold(train, fit_left, "p", folds), out_of_fold(train, fit_right, "p", folds))
+    stack = fit_stack(cut_lineage(inner))
+    outer = merge_modalities(score(fit_left(train), validation, "p"), score(fit_right(train), validation, "p"))
+    return score(stack, outer, "pred_stacked")
+
+
+def paired(left: DataFrame, right: DataFrame, left_pred: str, right_pred: str, label: str = LABEL) -> DataFrame:
+    """How two models do on the rows both have scored, per class and in total: both right, either alone, none.
+
+    One aggregate; ``discordant`` rows are those that tell the models apart.
+    """
+    rows = left.select("row_id", label, left_pred).join(right.select("row_id", right_pred), "row_id")
+    a, b = F.col(label) == F.col(left_pred), F.col(label) == F.col(right_pred)
+    return rows.rollup(label).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(a & b).alias("both"), F.count_if(a & ~b).alias("left_only"), F.count_if(~a & b).alias("right_only"),
+        F.count_if(~a & ~b).alias("neither")).select(
+        F.coalesce(F.col(label).cast("string"), F.lit("all")).alias("label"), "n", "both", "left_only", "right_only", "neither",
+        (F.col("left_only") + F.col("right_only")).alias("discordant"))
+
+
 def fit_stack(merged_train: DataFrame, iterations: int = 30) -> PipelineModel:
     """Stacked fusion: a classifier on the six probabilities."""
     inputs = [f"{side}_{p}" for side in ("nlp", "tab") for p in PROBABILITIES]

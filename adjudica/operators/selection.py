@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,22 +23,26 @@ def drop_sparse(df: DataFrame, columns: Sequence[str],
     return [c for c in present if rates[c] <= max_rate], [c for c in present if rates[c] > max_rate]
 
 
-def correlations(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+def correlations(df: DataFrame, columns: dict[str, Column], block: int = 48) -> DataFrame:
     """(left, right, corr): Pearson over rows with both values; NULL for a constant side.
 
-    Each row is spread over its complete pairs and aggregated on the map side, so one scan
-    serves all pairs and k*k/2 rows per task are shuffled.
+    The pairs are taken in blocks, each one aggregate over a scan of its own columns, so a task sends one row per block
+    and no row is multiplied.
     """
     names = list(columns)
-    k = len(names)
-    values = df.select(F.array(*[e.cast("double") for e in columns.values()]).alias("v"))
-    left = values.select("v", F.posexplode("v").alias("i", "x")).where("x is not null")
-    both = left.select("i", "x", F.posexplode(F.slice("v", F.col("i") + 2, F.lit(k))).alias("d", "y")).where("y is not null")
-    stats = both.groupBy("i", (F.col("i") + F.col("d") + 1).alias("j")).agg(F.try_divide(
-        F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("corr"))
-    pairs = df.sparkSession.createDataFrame(
-        [(i, j, names[i], names[j]) for i, j in combinations(range(k), 2)], "i int, j int, left string, right string")
-    return F.broadcast(pairs).join(stats, ["i", "j"], "left").select("left", "right", "corr")
+    values = df.select(*[e.cast("double").alias(f"c{i}") for i, e in enumerate(columns.values())])
+    pairs = list(combinations(range(len(names)), 2))
+
+    def correlation(i: int, j: int) -> Column:
+        x, y = F.col(f"c{i}"), F.col(f"c{j}")
+        alike = F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
+        return F.struct(F.lit(names[i]).alias("left"), F.lit(names[j]).alias("right"), alike.alias("corr"))
+
+    parts = [values.agg(F.array(*[correlation(i, j) for i, j in pairs[at:at + block]]).alias("pairs")).select(F.inline("pairs"))
+             for at in range(0, len(pairs), block)]
+    if not parts:
+        return df.sparkSession.createDataFrame([], "left string, right string, corr double")
+    return reduce(DataFrame.unionAll, parts)
 
 
 def _edges_below(value: Column, edges: Sequence[float]) -> Column:

@@ -12,7 +12,7 @@ from adjudica.operators.documents import missing_fields
 from adjudica.operators.flatten import flatten_incidents, misaligned_incidents
 from adjudica.plans.enrich import max_laps
 from adjudica.queries import query, roles
-from adjudica.queries.joins import TEXT_ROWS_SQL, document_table, predictions, PRED_SQL, provenance as _prov, standings, STANDING_SQL, team_standings
+from adjudica.queries.joins import TEXT_ROWS_SQL, ALL_PRED_SQL, all_predictions, document_table, predictions, PRED_SQL, provenance as _prov, standings, STANDING_SQL, team_standings
 from adjudica.queries.projections import META_SQL, PROVENANCE_SQL, meta
 from adjudica.queries.roles import CENTS, FEED_SQL, FIELDS_SQL, INCIDENT_SQL, LAPS, MESSAGES, MULTI_SQL, table
 from adjudica.queries.windows import HISTORY_SQL, POINTS_SQL, rule_severity, ruled_sql
@@ -115,18 +115,18 @@ def summary_sql(a: str = "a", p: str = "p") -> str:
 
 
 @query("A08_classification_metrics", f"""WITH s AS (SELECT penalty_severity AS a, pred AS p,
-        CASE penalty_severity WHEN 0 THEN proba_no_penalty WHEN 1 THEN proba_minor ELSE proba_major END AS pr FROM ({PRED_SQL}))
+        CASE penalty_severity WHEN 0 THEN proba_no_penalty WHEN 1 THEN proba_minor ELSE proba_major END AS pr FROM ({ALL_PRED_SQL}))
     SELECT {summary_sql()}, round(avg(-ln(least(greatest(pr, 2.220446049250313e-16), 1 - 2.220446049250313e-16))), 6) AS log_loss FROM s""")
 def _(spark, sf):
-    return rounded(metrics.summary(predictions(spark, sf), "penalty_severity", "pred", probabilities=learning.PROBABILITIES))
+    return rounded(metrics.summary(all_predictions(spark, sf), "penalty_severity", "pred", probabilities=learning.PROBABILITIES))
 
 
-@query("A08_per_class_metrics", f"WITH s AS (SELECT penalty_severity AS a, pred AS p FROM ({PRED_SQL})) " + " UNION ALL ".join(
+@query("A08_per_class_metrics", f"WITH s AS (SELECT penalty_severity AS a, pred AS p FROM ({ALL_PRED_SQL})) " + " UNION ALL ".join(
     f"""SELECT {v} AS label, round(coalesce(count(*) FILTER (a = {v} AND p = {v}) / nullif(count(*) FILTER (p = {v}), 0), 0), 6) AS precision,
     round(coalesce(count(*) FILTER (a = {v} AND p = {v}) / nullif(count(*) FILTER (a = {v}), 0), 0), 6) AS recall,
     round(CAST({f1_sql(v)} AS DOUBLE), 6) AS f1, count(*) FILTER (a = {v}) AS support FROM s""" for v in (0, 1, 2)))
 def _(spark, sf):
-    return rounded(metrics.per_class(predictions(spark, sf), "penalty_severity", "pred"))
+    return rounded(metrics.per_class(all_predictions(spark, sf), "penalty_severity", "pred"))
 
 
 @query("A09_class_weights", f"""WITH i AS ({INCIDENT_SQL}), c AS (SELECT incident_type AS label, count(*) AS n FROM i GROUP BY ALL), t AS (SELECT sum(n) AS n, count(*) AS k FROM c)
@@ -192,6 +192,29 @@ def _(spark, sf):
     return quality.evaluate_gates(quality.gate_metrics(rows, points.incidents_with_prior_points(rows), rate))
 
 
+def _by_season(gates: str) -> str:
+    """The gate metrics of GATE_SQL, grouped."""
+    return (gates.replace("FROM m),", "FROM m GROUP BY season),").replace("g AS (SELECT ", "g AS (SELECT season, ")
+            .replace("p AS (SELECT ", "p AS (SELECT season, ").replace("WHERE round <> '')", "WHERE round <> '' GROUP BY season)"))
+
+
+_SEASON_TARGETS = {"1996": 0.9, "1999": 0.2}
+
+
+@query("A13_quality_gates_by_season", f"{_by_season(GATE_SQL)}, joined AS (SELECT g.*, g4, (SELECT count(*) FROM pr JOIN m USING (incident_id) WHERE m.season = g.season) AS priors "
+       "FROM g LEFT JOIN p ON g.season = p.season), t AS (" + " UNION ALL ".join(
+    f"SELECT season, '{gate}' AS gate, CAST(g{i} AS DOUBLE) AS actual, CAST("
+    + (f"CASE season WHEN 1996 THEN 0.9 WHEN 1999 THEN 0.2 ELSE {target} END" if gate == "sector" else f"{target}")
+    + f" AS DOUBLE) AS target, {strict} AS strict FROM joined" + (" WHERE priors > 0" if i == 5 else "")
+    for i, (gate, _, target, strict) in enumerate(QUALITY_GATES))
+       + ") SELECT season, gate, actual, target, CASE WHEN strict THEN actual > target ELSE actual >= target END AS passed FROM t")
+def _(spark, sf):
+    rows = roles.multi_incidents(spark, sf)
+    rate = fill.provenance_rate(rows, fill.latest_provenance(_prov(spark, sf)), "lap", "timestamp", "round_used", by=["season"])
+    found = quality.gate_metrics(rows, points.incidents_with_prior_points(rows), rate, by=["season"])
+    return quality.evaluate_gates(found, F.col("season"), sector_targets=_SEASON_TARGETS)
+
+
 @query("A14_max_lap", f"WITH e AS ({FEED_SQL}) SELECT session_key, CAST(max(lap_number) AS STRING) AS max_lap FROM e WHERE event_type = '{LAPS}' GROUP BY 1")
 def _(spark, sf):
     return max_laps(roles.feed(spark, sf, LAPS), ["session_key"], "lap_number").withColumnRenamed("_max_lap", "max_lap")

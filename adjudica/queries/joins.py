@@ -327,16 +327,21 @@ def _(spark, sf):
     return rows.join(features.leader_points(rows), ["season", "round"], "left").select("row_id", "leader_points")
 
 
-# Model predictions exist for orders of some value only.
+# Two models have scored two overlapping sets of orders; where one is judged alone, it has scored all of them.
 _PRED = {"row_id": "CAST(o_orderkey AS STRING)", "penalty_severity": roles.INCIDENT["penalty_severity"], "pred": f"CAST({CENTS} % 11 % 3 AS INT)",
          "proba_no_penalty": f"CAST({CENTS} % 10 AS DOUBLE) / 20", "proba_minor": f"CAST({CENTS} % 7 AS DOUBLE) / 20",
          "proba_major": f"CAST({CENTS} % 4 AS DOUBLE) / 20"}
 _PRED2 = {**_PRED, "proba_no_penalty": _PRED["proba_major"], "proba_major": _PRED["proba_no_penalty"]}
+ALL_PRED_SQL = roles.select_sql(_PRED, "orders")
 PRED_SQL = roles.select_sql(_PRED, "orders WHERE o_totalprice >= 100000")
 PRED2_SQL = roles.select_sql(_PRED2, "orders WHERE o_totalprice < 300000")
 _PROBA = tuple(f"proba_{n}" for n in SEVERITY_NAMES.values())
 
 
+def all_predictions(spark, sf):
+    return roles.select(table(spark, sf, "orders"), _PRED)
+
+
 def predictions(spark, sf):
     return roles.select(table(spark, sf, "orders").where("o_totalprice >= 100000"), _PRED)
 

@@ -22,7 +22,7 @@ from adjudica.queries.joins import (
     results, roster, season_tables, sessions, standings, tabular_predictions, team_standings, teams,
 )
 from adjudica.queries.projections import (
-    CIRCUIT_SQL, FLAT_SQL, INCIDENT_OUT, INCIDENT_OUT_SQL, INCIDENT_ROW_SQL, META_SQL, REVIEW_SQL, SPLITS, SPLIT_SQL,
+    CIRCUIT_SQL, FLAT_SQL, META, META_FROM, INCIDENT_OUT, INCIDENT_OUT_SQL, INCIDENT_ROW_SQL, META_SQL, REVIEW_SQL, SPLITS, SPLIT_SQL,
     circuits, meta, provenance,
 )
 from adjudica.queries.roles import CENTS, FEED_SQL, FIELDS_SQL, INCIDENT_SQL, LAPS, MESSAGES, MULTI_SQL, POSITIONS, PROBE, choose, table
@@ -60,25 +60,42 @@ def _(spark, sf):
     return rows.select("incident_id", "round", "country", "rounds", "full_laps")
 
 
-@query("E02_standings_enrichment", f"""WITH {LISTED_SQL}, t AS ({META_SQL}), {STANDING_SQL}, ev AS (SELECT incident_id, CAST(regexp_extract(event, '([0-9]+)', 1) AS INT) + 1 AS r FROM t),
+# A car's driver of the round, by number: incidents without a party are those of their document's car.
+_WITH_CAR = {**META, "car_number": "CAST(o_custkey % 99 + 1 AS STRING)"}
+_RACED = {"season": "CAST(year(o_orderdate) AS INT)", "round": "CAST(o_custkey % 25 + 1 AS INT)", "number": "CAST(o_custkey % 99 + 1 AS STRING)",
+          "driver_id": "'Nation-' || CAST(o_custkey % 7 AS STRING)", "seq": "o_orderkey"}
+
+
+@query("E02_standings_enrichment", f"""WITH m0 AS ({MULTI_SQL}), t AS ({roles.select_sql(_WITH_CAR, META_FROM)}), {STANDING_SQL},
+    ra AS (SELECT season, round, number, arg_max(replace(lower(driver_id), '-', '_'), seq) AS driver FROM ({roles.select_sql(_RACED, 'orders')}) GROUP BY ALL),
+    ev AS (SELECT incident_id, car_number, CASE WHEN event <> '' THEN CAST(regexp_extract(event, '([0-9]+)', 1) AS INT) + 1 END AS r FROM t),
+    m AS (SELECT m0.* REPLACE (CASE WHEN trim(m0.drivers) = '' AND ra.driver IS NOT NULL THEN ra.driver ELSE m0.drivers END AS drivers), ev.r FROM m0 LEFT JOIN ev ON m0.incident_id = ev.incident_id
+        LEFT JOIN ra ON m0.season = ra.season AND ev.r = ra.round AND ev.car_number = ra.number),
+    l AS (SELECT *, list_transform(string_split(drivers, ','), lambda v: trim(v)) AS ds FROM m WHERE drivers <> ''),
+    x AS (SELECT incident_id, season, r, unnest(ds) AS driver, unnest(range(len(ds))) AS pos FROM l),
+    d AS (SELECT *, CASE WHEN starts_with(driver, 'nation_') THEN CAST(split_part(driver, '_', 2) AS INT) END AS k FROM x),
     q AS (SELECT d.incident_id, d.pos, st.position, st.points, CASE WHEN st.k IS NULL THEN NULL ELSE {TEAM_SQL.format('st.k')} END AS team, tst.position AS tp
-        FROM d JOIN ev ON d.incident_id = ev.incident_id LEFT JOIN st ON d.season = st.season AND ev.r = st.round + 1 AND d.k = st.k
+        FROM d LEFT JOIN st ON d.season = st.season AND d.r = st.round + 1 AND d.k = st.k
         LEFT JOIN tst ON st.season = tst.season AND st.round = tst.round AND st.k % 5 = tst.t),
     cells AS (SELECT incident_id, string_agg(coalesce(CAST(position AS STRING), ''), ',' ORDER BY pos) AS ds, string_agg(coalesce(CAST(points AS STRING), ''), ',' ORDER BY pos) AS pt,
         string_agg(coalesce(team, ''), ',' ORDER BY pos) AS tm, string_agg(coalesce(CAST(tp AS STRING), ''), ',' ORDER BY pos) AS cs, count(position) AS hits FROM q GROUP BY 1)
-    SELECT m.incident_id, CASE WHEN hits > 0 THEN ds ELSE m.driver_standings END AS driver_standings, CASE WHEN hits > 0 THEN pt ELSE m.driver_points END AS driver_points,
-        CASE WHEN hits > 0 THEN tm ELSE m.respective_teams END AS respective_teams, CASE WHEN hits > 0 THEN cs ELSE '' END AS construct_standings
+    SELECT m.incident_id, m.drivers, CASE WHEN hits > 0 THEN ds ELSE m.driver_standings END AS driver_standings, CASE WHEN hits > 0 THEN pt ELSE m.driver_points END AS driver_points,
+        CASE WHEN hits > 0 THEN tm ELSE m.respective_teams END AS respective_teams, CASE WHEN hits > 0 THEN cs ELSE '' END AS construct_standings,
+        CAST(CASE WHEN hits > 0 THEN 5 ELSE 0 END AS BIGINT) AS recorded
     FROM m LEFT JOIN cells ON m.incident_id = cells.incident_id""")
 def _(spark, sf):
-    empty = table(spark, sf, "orders").where("o_totalprice < 0").selectExpr("1 AS season", "1 AS round", "'' AS number", "'' AS driver_id", "1 AS seq")
-    side = meta(spark, sf).withColumn("car_number", F.lit(""))
-    rows, _ = enrich.enrich_standings(processed(spark, sf), side, calendar(spark, sf), standings(spark, sf), team_standings(spark, sf), empty, teams(spark, sf))
-    return rows.select("incident_id", "driver_standings", "driver_points", "respective_teams", "construct_standings")
+    raced = roles.select(table(spark, sf, "orders"), _RACED)
+    side = roles.select(table(spark, sf, "orders").where("o_totalprice >= 30000"), _WITH_CAR)
+    noted = enrich.note_standings(processed(spark, sf), side, calendar(spark, sf), standings(spark, sf), team_standings(spark, sf), raced, teams(spark, sf))
+    fields = ("driver_standings", "driver_points", "respective_teams", "construct_standings", "construct_points")
+    recorded = F.size(F.filter(enrich.NEW, lambda r: r["field"].isin(*fields))).cast("long").alias("recorded")
+    return noted.select("incident_id", "drivers", "driver_standings", "driver_points", "respective_teams", "construct_standings", recorded)
 
 
-_STAMP = {"incident_id": "CAST(o_orderkey AS STRING)", "event": "''",
+# A fifth of the rows have no round: the local calendar knows the first half of the year, the fetched one the next three months.
+_STAMP = {"incident_id": "CAST(o_orderkey AS STRING)", "event": "'Round ' || CAST(month(o_orderdate) AS STRING)", "month": "CAST(month(o_orderdate) AS INT)",
           "season": "CAST(year(o_orderdate) AS INT)", "session": choose(CENTS, 3, "'race'", "'Race'", "'practice'"),
-          "round": "CAST(month(o_orderdate) AS STRING)", "cents": CENTS,
+          "round": choose(CENTS, 5, "''", *["CAST(month(o_orderdate) AS STRING)"] * 4), "cents": CENTS,
           "time": choose(CENTS, 4, "'14:00 local'", "'0:45:10'", "'lap 7'", "''"),
           "date": ("date_format(o_orderdate, 'd MMMM yyyy')", "''"), "day": "CAST(o_orderdate AS DATE)"}
 _START = {"season": _STAMP["season"], "round": "CAST(month(o_orderdate) AS INT)", "session": "'race'",
@@ -86,7 +103,7 @@ _START = {"season": _STAMP["season"], "round": "CAST(month(o_orderdate) AS INT)"
 
 
 @query("E03_timestamp_enrichment", f"""WITH i AS ({roles.select_sql(_STAMP, 'orders')}), s AS (SELECT season, round, max(start_ts) AS st FROM ({roles.select_sql(_START, 'orders')}) GROUP BY ALL),
-    j AS (SELECT i.*, CASE WHEN lower(session) = 'race' THEN epoch(day) + 50400 - epoch(st) END AS off FROM i JOIN s ON i.season = s.season AND i.round = CAST(s.round AS STRING))
+    j AS (SELECT i.*, CASE WHEN lower(session) = 'race' THEN epoch(day) + 50400 - epoch(st) END AS off FROM i LEFT JOIN s ON i.season = s.season AND (i.round <> '' OR i.month <= 9) AND i.month = s.round)
     SELECT incident_id, CASE cents % 4 WHEN 0 THEN 'document_clock' WHEN 1 THEN 'session_elapsed' WHEN 2 THEN 'lap_hint' ELSE 'unparsed' END AS time_parse_method,
         CAST(CASE cents % 4 WHEN 0 THEN CASE WHEN off BETWEEN 0 AND 5400 THEN off END WHEN 1 THEN 2710 END AS DOUBLE) AS session_offset_seconds,
         round(CAST(CASE cents % 4 WHEN 0 THEN 0.55 * CASE WHEN off IS NULL THEN 0.25 WHEN off BETWEEN 0 AND 5400 THEN 1 ELSE 0.35 END WHEN 1 THEN 0.9 WHEN 2 THEN 0.85 * 0.25 ELSE 0 END AS DOUBLE), 6) AS confidence,
@@ -96,9 +113,9 @@ def _(spark, sf):
     orders = table(spark, sf, "orders")
     rows = roles.select(orders, _STAMP)
     schedule = roles.select(orders, _START).groupBy("season", "round", "session").agg(F.max("start_ts").alias("start_ts"))
-    none = rows.where("season < 0").select("season", "event", F.lit(1).alias("round"))
+    rounds = rows.select("season", "event", F.col("month").alias("round")).distinct()
     out = enrich.enrich_timestamps(rows.select("incident_id", "season", "session", "round"), rows.select("incident_id", "event", "time", "date"),
-                                   schedule, none, none)
+                                   schedule, rounds.where("round <= 6"), rounds.where("round BETWEEN 4 AND 9"))
     return out.select("incident_id", "time_parse_method", "session_offset_seconds", F.round("time_parse_confidence", 6).alias("confidence"),
                       "lap_hint", "incident_time_local")
 
@@ -354,10 +371,13 @@ def _(spark, sf):
     return spark.createDataFrame(dropped, "dropped string, kept string")
 
 
-@query("M07_importance_prune")
+@query("M07_importance_prune", "SELECT * FROM (VALUES ('cat__0_flat', 0e0), ('cat__0_level', 0e0)) AS t(feature, gain)")
 def _(spark, sf):
-    train, _ = _parts(coded(spark, sf))
-    return learning.prune_by_importance(train)[1]
+    """Two of ten columns never change: they are what the bottom fifth must be."""
+    train, _ = _parts(taught(spark, sf))
+    rows = train.withColumns({"cat__0_flat": F.lit(1.0), "cat__0_level": F.lit(7.0), "num__kind": F.col("penalty_severity").cast("double"),
+                              "num__twice": 2.0 * F.col("penalty_severity")})
+    return learning.prune_by_importance(rows)[1]
 
 
 @query("M08_ablation")
@@ -388,6 +408,13 @@ def labelled_texts(spark, sf):
         F.when(F.floor(F.col("cents") / 9) % 4 == 0, "validation").otherwise("train").alias("split"))
 
 
+def two_views(spark, sf):
+    """The same documents as words and as numbers, one of which says nothing."""
+    nine = F.col("cents") % 9
+    numbers = roles.fields(spark, sf).select(F.col("document_id").alias("row_id"), nine.cast("double").alias("num__kind"), (F.col("custkey") % 7).cast("double").alias("num__noise"))
+    return labelled_texts(spark, sf).join(numbers, "row_id")
+
+
 @query("M10_text_classifier", f"WITH {_PHRASE_SQL} SELECT row_id, label AS penalty_severity, label AS pred_nlp, true AS is_argmax, 1e0 AS total FROM phrases WHERE split = 'validation'")
 def _(spark, sf):
     train, validation = _parts(labelled_texts(spark, sf))
@@ -408,11 +435,11 @@ def _(spark, sf):
     return fused(spark, sf).select("row_id", "penalty_severity", "pred_nlp", "pred_tabular", "pred_fused")
 
 
-@query("M12_stacked_fusion")
+@query("M12_stacked_fusion", f"WITH {_PHRASE_SQL} SELECT row_id, label AS penalty_severity, label AS pred_stacked FROM phrases WHERE split = 'validation'")
 def _(spark, sf):
-    merged = learning.merge_modalities(predictions(spark, sf), tabular_predictions(spark, sf))
-    model = learning.fit_stack(merged)
-    return learning.score(model, merged, "pred_stacked")
+    train, validation = _parts(two_views(spark, sf))
+    stacked = learning.cross_fitted_stack(train, validation, learning.fit_text, learning.fit_tabular, folds=2)
+    return stacked.select("row_id", "penalty_severity", "pred_stacked")
 
 
 @query("M13_modality_comparison", f"""WITH {_FUSED_SQL}, s AS (SELECT 'nlp_only' AS modality, {summary_sql('penalty_severity', 'pred_nlp')} FROM fu
@@ -452,6 +479,14 @@ def _(spark, sf):
 _SELECT = ("session", "lap", "full_laps", "completion_percentage", "driver_standing", "opponent_points", "opponent", "rounds")
 
 
+@query("M16_paired_modalities", f"""WITH {_FUSED_SQL}, g AS (SELECT penalty_severity AS l, pred_nlp = penalty_severity AS a, pred_tabular = penalty_severity AS b FROM fu)
+    SELECT coalesce(CAST(l AS STRING), 'all') AS label, count(*) AS n, count(*) FILTER (a AND b) AS both, count(*) FILTER (a AND NOT b) AS left_only,
+        count(*) FILTER (b AND NOT a) AS right_only, count(*) FILTER (NOT a AND NOT b) AS neither, count(*) FILTER (a <> b) AS discordant FROM g GROUP BY ROLLUP (l)""")
+def _(spark, sf):
+    rows = fused(spark, sf)
+    return learning.paired(rows, rows, "pred_nlp", "pred_tabular")
+
+
 @query("M17_raw_selection", f"WITH i AS ({INCIDENT_SQL}) " + " UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", CASE WHEN avg(CASE WHEN trim(coalesce(CAST({c} AS STRING), '')) = '' THEN 1.0 ELSE 0 END) > 0.4 THEN 'missing' ELSE 'kept' END AS status FROM i"
     for c in _SELECT))

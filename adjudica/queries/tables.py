@@ -12,7 +12,7 @@ from adjudica.operators.documents import parse_documents
 from adjudica.operators.splits import present_seasons
 from adjudica.queries import query, roles
 from adjudica.queries.aggregates import ruled, rounded, RULED_SQL
-from adjudica.queries.joins import DOC_TABLE_SQL, STANDING_SQL, TEXT_ROWS_SQL, document_table, predictions, PRED_SQL, standings
+from adjudica.queries.joins import DOC_TABLE_SQL, STANDING_SQL, TEXT_ROWS_SQL, ALL_PRED_SQL, all_predictions, document_table, standings
 from adjudica.queries.projections import META_SQL, REVIEW_SQL, circuits, meta
 from adjudica.queries.roles import FEED_SQL, FIELDS_SQL, LAPS, MESSAGES, MULTI_SQL, table
 from adjudica.session import new_path
@@ -191,9 +191,9 @@ def _(spark, sf):
     return spark.read.schema("row_id string, normative_penalty_detail string, normative_penalty_severity int").json(path)
 
 
-@query("S17_prediction_column", f"SELECT row_id, pred FROM ({PRED_SQL})")
+@query("S17_prediction_column", f"SELECT row_id, pred FROM ({ALL_PRED_SQL})")
 def _(spark, sf):
-    path = writers.write_json(predictions(spark, sf), new_path(spark, "predictions"))
+    path = writers.write_json(all_predictions(spark, sf), new_path(spark, "predictions"))
     stored = spark.read.schema("row_id string, pred int, proba_minor double").json(path)
     return stored.select("row_id", F.col(compare.prediction_column(stored)).alias("pred"))
 

@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only where spark.checkpoint.dir is unset is it a folder of the warehouse, which lies on the session's default file system.
+    Where spark.checkpoint.dir is unset, a local session takes a folder of its warehouse; on a cluster that could be any
+    machine's own disk, so it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder is None:
+        if not current.isDefined() and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
     if not current.isDefined():
         spark.sparkContext.setCheckpointDir(folder)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -40,21 +41,40 @@ def is_legend(incident_id: Column | str = "incident_id", drivers: Column | str =
     return strip(or_empty(incident_id)).startswith("*") | (strip(or_empty(drivers)) == "**")
 
 
+def csv_headers(spark: SparkSession, paths: Sequence[str]) -> dict[str, list[str]]:
+    """The column names of every file, read in one distributed scan; one row per file comes back."""
+    lines = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("source_file"), F.monotonically_increasing_id().alias("at"), "value").where("_metadata.file_block_start = 0")
+    first = lines.groupBy("source_file").agg(F.min_by("value", "at").alias("header"))
+    return {r.source_file: next(csv.reader([r.header]), []) for r in first.collect()}
+
+
 def read_csv(spark: SparkSession, paths: Sequence[str], columns: Sequence[str] = INCIDENT_COLUMNS) -> DataFrame:
-    """All-string CSV scan; a file without one of the columns is an error."""
-    for path in paths:
-        # Header row only: one line of one file.
-        header = spark.read.option("header", True).csv(path).columns
+    """All-string CSV scan of any number of files, whose columns may stand in any order; one without them is an error.
+
+    All files are one scan. Where their headers differ, each row finds its columns by the places of its file.
+    """
+    headers = csv_headers(spark, paths)
+    if not headers:
+        raise ValueError(f"no header in {list(paths)[:3]}")
+    for path, header in headers.items():
         missing = [c for c in columns if c not in header]
         if missing:
             raise ValueError(f"{path} misses columns {missing}")
-    parts = [spark.read.option("header", True).option("escape", '"').csv(p).select(
-        *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns],
-        F.col("_metadata.file_path").alias("source_file")) for p in paths]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    width = max(map(len, headers.values()))
+    schema = ", ".join(f"_c{k} string" for k in range(width))
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"').csv(list(paths)).withColumn(
+        "source_file", F.col("_metadata.file_path"))
+    places = {path: [header.index(c) for c in columns] for path, header in headers.items()}
+    shared = next(iter(places.values()))
+    if all(own == shared for own in places.values()):
+        found = [F.col(f"_c{k}") for k in shared]
+    else:
+        of_file = spark.createDataFrame(list(places.items()), "source_file string, _places array<int>")
+        rows = rows.join(of_file, "source_file")
+        cells = F.array(*[F.col(f"_c{k}") for k in range(width)])
+        found = [F.get(cells, F.col("_places")[i]) for i in range(len(columns))]
+    return rows.select(*[F.coalesce(value, F.lit("")).alias(c) for c, value in zip(columns, found)], "source_file")
 
 
 def read_processed(spark: SparkSession, paths: Sequence[str], ordered: bool = True) -> DataFrame:

@@ -10,7 +10,8 @@ NAMES = ("F02_extract_field", "F28_infer_fault", "F31_lap_progress", "W02_career
          "W06_precedent_rates", "W08_rolling_license_points", "W10_rule_outcome_escalation", "J04_ranked_event_match", "J07_prior_round_standings",
          "J10_session_match", "J12_asof_backward", "J13_asof_nearest", "J14_keyed_asof_nearest", "A04_deviation_breakdowns", "A05_overall_agreement",
          "R02_opponent_pairing", "R09_review_queue", "P16_race_and_championship", "E03_timestamp_enrichment", "E07_text_field_enrichment",
-         "N01_condition_leaves", "N07_rule_comparison", "M01_encode_splits")
+         "N01_condition_leaves", "N07_rule_comparison", "M01_encode_splits", "E01_E07_enrichment_cascade", "E01_E07_cascade_provenance",
+         "A13_quality_gates_by_season", "E02_standings_enrichment", "M16_paired_modalities")
 
 
 @pytest.fixture(scope="module")
