@@ -1,13 +1,14 @@
 """Document fingerprints from closed syncmers.
 
 A K-mer of code points is an anchor if the least hash among its S-mers stands first or last in it. That depends on the
-K-mer alone, so an anchor is chosen wherever it occurs, whatever surrounds it. Two texts are matched on all their
-anchors, each at the place of its first occurrence; a common anchor counts if it keeps its order (longest chain that
-ascends in both texts). The fingerprint that is written keeps only the SIZE anchors of least hash.
+K-mer alone, so an anchor is chosen wherever it occurs, whatever surrounds it. A fingerprint is all anchors of a text, 32
+bits each, once and in the order of their first occurrence. Two fingerprints are matched by position: a common anchor
+counts if it keeps its order (longest chain that ascends in both).
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from adjudica.llm.anchors import gram_hashes, least_in_windows, mixed
 from adjudica.llm.common import texts
 
-K, S, SIZE = 16, 6, 64
+K, S = 16, 6
 SLICE_CHARS = 1 << 21
 OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
        "near_edited double, near_next double")
@@ -28,7 +29,7 @@ OUT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edi
 
 @dataclass(eq=False)
 class Anchors:
-    """64-bit hashes of a text's anchors, each once and in ascending order, and the first place of each."""
+    """32-bit hashes of a text's anchors, each once and in ascending order, and the first place of each."""
 
     hashes: np.ndarray
     places: np.ndarray
@@ -80,22 +81,24 @@ def _anchors_of_slice(found: list[str]) -> list[Anchors]:
         a, b = bounds[d], bounds[d + 1]
         if a == b:
             whole = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "big")
-            own = [whole << 32] if text else []
-            out.append(Anchors(np.array(own, np.uint64), np.zeros(len(own), np.int64)))
+            own = [whole] if text else []
+            out.append(Anchors(np.array(own, np.uint32), np.zeros(len(own), np.int64)))
             continue
-        kinds, first = np.unique(hashes[a:b], return_index=True)
+        kinds, first = np.unique((hashes[a:b] >> np.uint64(32)).astype(np.uint32), return_index=True)
         out.append(Anchors(kinds, where[a:b][first] - edges[d]))
     return out
 
 
 def written_as(a: Anchors) -> str:
-    """A fingerprint as text: upper half of the hash, and place, of the SIZE least anchors in hex, least hash first."""
-    return "-".join([f"{h >> 32:08x}.{p:x}" for h, p in Anchors(a.hashes[:SIZE], a.places[:SIZE]).items()])
+    """A fingerprint as text: its hashes in order of place, four little-endian bytes each, in base64."""
+    return base64.b64encode(a.hashes[np.argsort(a.places, kind="stable")].astype("<u4").tobytes()).decode("ascii")
 
 
 def read_from(fingerprint: str) -> Anchors:
-    pairs = [x.split(".") for x in fingerprint.split("-")] if fingerprint else []
-    return Anchors(np.array([int(h, 16) << 32 for h, _ in pairs], np.uint64), np.array([int(p, 16) for _, p in pairs], np.int64))
+    """Anchors of a written fingerprint; an anchor's place is its rank, which is all that matching needs."""
+    hashes = np.frombuffer(base64.b64decode(fingerprint), "<u4")
+    order = np.argsort(hashes)
+    return Anchors(hashes[order], order)
 
 
 def longest_ascent(places: np.ndarray) -> int:
@@ -112,7 +115,7 @@ def longest_ascent(places: np.ndarray) -> int:
 
 
 def likeness(a: Anchors, b: Anchors) -> float:
-    """Share of the two texts' anchors that match in one order; two empty texts are alike.
+    """Share of the anchors of two fingerprints that match in one order; two empty ones are alike.
 
     Of two texts of one length that agree in their first two thirds and nowhere else, about two thirds match.
     """

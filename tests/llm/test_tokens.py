@@ -114,6 +114,8 @@ def test_fingerprint_properties(spark):
     for i, r in made.items():
         assert same.setdefault(texts[i], r.fingerprint) == r.fingerprint
         assert 0 <= r.near_next <= 1 and syncmers.written_as(syncmers.read_from(r.fingerprint)) == r.fingerprint
+        own, changed = syncmers.read_from(r.fingerprint), syncmers.read_from(r.edited_fingerprint)
+        assert r.near_edited == syncmers.likeness(own, changed)
     assert np.mean([r.near_edited for r in made.values()]) > 0.6 > 0.1 > np.median([r.near_next for r in made.values()])
 
 
@@ -167,3 +169,24 @@ def test_chat_query(spark):
     assert got == want
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.digest(chat.windows(none, RANKS, public_tokenizers.PATTERN)).count() == 0
+
+
+def test_anchors_are_closed_syncmers():
+    """Each K-mer judged by itself: the least of its S-mers' hashes stands first or last."""
+    def hash_of(part):
+        codes = np.array([ord(c) for c in part], np.uint64)
+        return int(syncmers.gram_hashes(syncmers.mixed(codes + np.uint64(1)), len(part))[0])
+
+    rnd = random.Random(21)
+    for text in ("".join(rnd.choices("abcd \u00e9\u65e5", k=rnd.choice([16, 17, 40, 700]))) for _ in range(12)):
+        first = {}
+        for p in range(len(text) - syncmers.K + 1):
+            kmer = text[p:p + syncmers.K]
+            small = [hash_of(kmer[q:q + syncmers.S]) for q in range(syncmers.K - syncmers.S + 1)]
+            if min(small) in (small[0], small[-1]):
+                first.setdefault(hash_of(kmer) >> 32, p)
+        got = dict(syncmers.anchors(["x" * 40, text])[1].items())
+        assert got == first or not first and len(got) == 1
+        # All of them are written, in order.
+        assert [h for h, _ in sorted(got.items(), key=lambda x: x[1])] == np.frombuffer(
+            __import__("base64").b64decode(syncmers.written_as(syncmers.anchors([text])[0])), "<u4").tolist()
