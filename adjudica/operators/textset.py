@@ -47,23 +47,22 @@ def text_rows(rows: DataFrame, meta: DataFrame, docs: DataFrame, profile: str =
     document_type, session, fact, offence, decision, reason)``.
     """
     side = meta.select("incident_id", "document_id", "parse_confidence", F.lit(True).alias("_meta"))
-    body = docs.select("document_id", F.struct(
-        "event", "document_type", "session", "fact", "offence", "decision", "reason").alias("_doc"))
-    joined = rows.join(side, "incident_id", "left").join(body, "document_id", "left")
-    doc = F.col("_doc")
-    names = ("event", "document_type", "session", "fact", "offence", "decision", "reason")
-    flat = joined.withColumn("_session", F.col("session")).withColumns({n: doc[n] for n in names})
-    text = build_text(profile, metadata)
-    leaky = leakage(text, "decision", "reason") if profile != "leaky_full" else F.lit(False)
+    # A text depends on its document alone: it is built there, once, and only it and its fault travel to the rows.
+    built = docs.withColumn("_text", build_text(profile, metadata))
+    leaky = leakage("_text", "decision", "reason") if profile != "leaky_full" else F.lit(False)
+    body = built.select(F.col("document_id").alias("_of"), "_text", leaky.alias("_leaky"), F.lit(True).alias("_doc"))
+    joined = rows.join(side, "incident_id", "left")
+    # Rows without a document id match nothing; their own ids spread them.
+    blank = strip(or_empty("document_id")) == ""
+    key = F.when(blank, F.concat(F.lit("\u0000"), or_empty("incident_id"))).otherwise(F.col("document_id"))
+    joined = joined.withColumn("_key", key).join(body, F.col("_key") == F.col("_of"), "left")
     reason = (
         F.when(F.col("_meta").isNull(), "missing_meta")
-        .when(strip(or_empty("document_id")) == "", "missing_document_id")
-        .when(doc.isNull(), "missing_document")
-        .when(leaky | (strip(text) == ""), "text_build_error"))
-    built = flat.withColumns({"text": text, "drop_reason": reason})
-    return (built.withColumn("text", F.when(F.col("drop_reason").isNull(), F.col("text")))
-            .withColumn("session", F.col("_session"))
-            .drop("_meta", "_doc", "_session", "decision", "reason", "fact", "offence", "event", "document_type"))
+        .when(blank, "missing_document_id")
+        .when(F.col("_doc").isNull(), "missing_document")
+        .when(F.col("_leaky") | (strip("_text") == ""), "text_build_error"))
+    return joined.withColumn("drop_reason", reason).withColumn("text", F.when(F.col("drop_reason").isNull(), F.col("_text"))).drop(
+        "_meta", "_doc", "_of", "_key", "_text", "_leaky")
 
 
 def audit(labelled: DataFrame, rows: DataFrame, misaligned: DataFrame) -> DataFrame:
