@@ -83,6 +83,25 @@ def _(spark, sf):
     return fill.upsert(current, updates, "incident_id").select("incident_id", "document_id", "parse_confidence", "time_parse_method")
 
 
+_STORED = {"incident_id": roles.MULTI["incident_id"], "season": "CAST(year(o_orderdate) AS INT)", "ordinal": "CAST(o_orderkey AS BIGINT)",
+           "document_id": "'doc_' || CAST(o_orderkey AS STRING)"}
+_CHANGED = {**_STORED, "document_id": "CASE WHEN o_custkey % 2 = 0 THEN 'updated' END", "lap_hint": "CAST(o_custkey % 60 AS INT)"}
+
+
+@query("S06_partition_upsert", f"""WITH s AS ({roles.select_sql(_STORED, 'orders WHERE o_totalprice >= 60000')}), u AS (SELECT * FROM ({roles.select_sql(_CHANGED, 'orders WHERE o_totalprice < 200000')})
+        WHERE season IN (1996, 1997)), e AS (SELECT season, max(ordinal) + 1 AS last FROM s GROUP BY 1), f AS (SELECT season, min(ordinal) AS first FROM u WHERE incident_id NOT IN (SELECT incident_id FROM s) GROUP BY 1)
+    SELECT coalesce(s.incident_id, u.incident_id) AS incident_id, coalesce(s.season, u.season) AS season, coalesce(u.document_id, s.document_id) AS document_id, u.lap_hint,
+        coalesce(s.ordinal, e.last + u.ordinal - f.first) AS ordinal
+    FROM s FULL OUTER JOIN u ON s.incident_id = u.incident_id LEFT JOIN e ON e.season = u.season LEFT JOIN f ON f.season = u.season""")
+def _(spark, sf):
+    orders = table(spark, sf, "orders")
+    stored = roles.select(orders.where("o_totalprice >= 60000"), _STORED).withColumn("lap_hint", F.lit(None).cast("int"))
+    path = writers.write_parquet(stored, new_path(spark, "meta-by-season"), "season")
+    changed = roles.select(orders.where("o_totalprice < 200000"), _CHANGED).where("season IN (1996, 1997)")
+    writers.upsert_partitions(path, changed, "incident_id", "season", "ordinal")
+    return spark.read.parquet(path).select("incident_id", "season", "document_id", "lap_hint", "ordinal")
+
+
 @query("S07_reference_dimensions", """SELECT 'ring_' || n_nationkey AS circuit, 'land_' || n_nationkey AS country, 1950 + n_nationkey AS first_season,
     50 + n_nationkey AS total_laps, 2 AS sector_of_turn_8, n_nationkey AS ordinal FROM nation WHERE n_regionkey <> 4""")
 def _(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adjudica.operators import documents, fill, learning, selection
 from adjudica.plans import enrich
-from adjudica.sources import readers
+from adjudica.sources import readers, writers
 
 
 def plan_of(df) -> str:
@@ -94,3 +94,20 @@ def test_records_travel_with_their_row(spark):
     assert [[(x.field, x.source, x.stage, x.details) for x in r[enrich.NEW]] for r in noted.orderBy("found").collect()] == [
         [("lap", "feed", 4, {"value": "7", "error": "0.5"})], []]
     assert [tuple(r) for r in fill.unfolded(noted, enrich.NEW).collect()] == [("i", "lap", "feed", 4, {"value": "7", "error": "0.5"})]
+
+
+def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "meta")
+    schema = "id string, season int, at long, a string, b string"
+    writers.write_parquet(spark.createDataFrame([("x", 1, 0, "old", "keep"), ("y", 1, 5, "old", None), ("z", 2, 0, "z", None)], schema), path, "season")
+
+    def files(season):
+        return sorted(p.name for p in (tmp_path / "meta" / f"season={season}").glob("*.parquet"))
+
+    untouched = files(2)
+    updates = spark.createDataFrame([("y", 1, 7, "new"), ("n2", 1, 9, "second"), ("n1", 1, 8, "first"), ("x", 1, 3, None), ("q", 3, 4, "fresh")], "id string, season int, at long, a string")
+    writers.upsert_partitions(path, updates, "id", "season", "at")
+    got = {r.id: (r.season, r.at, r.a, r.b) for r in spark.read.parquet(path).collect()}
+    assert got == {"x": (1, 0, "old", "keep"), "y": (1, 5, "new", None), "n1": (1, 6, "first", None), "n2": (1, 7, "second", None),
+                   "z": (2, 0, "z", None), "q": (3, 0, "fresh", None)}
+    assert files(2) == untouched
