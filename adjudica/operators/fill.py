@@ -46,7 +46,8 @@ def records(source: str, stage: int, fields: Mapping[str, tuple[Column, Mapping[
 
 def unfolded(df: DataFrame, column: str) -> DataFrame:
     """The records of all rows, one each: (incident_id, field, source, stage, details)."""
-    rows = df.where(or_empty("incident_id") != "").select("incident_id", F.explode(column).alias("e"))
+    # Of a plain column the optimizer would ask first whether it is empty, and for that evaluate all records twice.
+    rows = df.where(or_empty("incident_id") != "").select("incident_id", F.explode(F.array_compact(column)).alias("e"))
     return rows.select("incident_id", "e.field", "e.source", "e.stage", "e.details")
 
 
