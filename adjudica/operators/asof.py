@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 #: Cells are found in two steps among FAN * FAN sampled times.
-FAN = 32
+FAN = 16
 
 
 @dataclass(frozen=True)
@@ -47,17 +47,18 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def _cell_of(bounds: Column, t: Column) -> Column:
-    """How many of the sorted bounds lie below t, looked up in FAN steps of FAN bounds."""
-    coarse = F.filter(bounds, lambda b, k: k % FAN == FAN - 1)
-    return _let(F.size(F.filter(coarse, lambda b: b < t)) * FAN,
-                lambda at: at + F.size(F.filter(F.slice(bounds, at + 1, F.lit(FAN)), lambda b: b < t)))
+    """How many of the sorted bounds lie below t: first among every FAN-th of them, then among FAN neighbours."""
+    return _let(F.size(F.filter(bounds["coarse"], lambda b: b < t)) * FAN,
+                lambda at: at + F.size(F.filter(F.slice(bounds["all"], at + 1, F.lit(FAN)), lambda b: b < t)))
 
 
 def _with_cells(stack: DataFrame, keys: list[str], fan: int) -> DataFrame:
     """Add ``_cell``; the sample is the rows of least hash, so it follows the data, and shapes the work but no result."""
     complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.col("_t").isNotNull())
     sample = stack.where(complete).select("_t", F.xxhash64("_t", "_seq", *keys).alias("h")).orderBy("h", "_t").limit(fan * FAN - 1)
-    bounded = stack.withColumn("_bounds", sample.agg(F.array_sort(F.collect_list("_t"))).scalar())
+    bounds = sample.agg(F.array_sort(F.collect_list("_t")).alias("all"))
+    both = bounds.select(F.struct("all", F.filter("all", lambda b, k: k % FAN == FAN - 1).alias("coarse")))
+    bounded = stack.withColumn("_bounds", both.scalar())
     # Probes without a key or a time match nothing; a hash spreads them, or they would be one cell.
     return bounded.withColumn("_cell", F.when(complete, _cell_of(F.col("_bounds"), F.col("_t"))).otherwise(
         F.xxhash64("_row")).cast("long")).drop("_bounds")
