@@ -1,5 +1,6 @@
 """Rules, classifier, language and the pipeline."""
 
+import random
 import zlib
 
 import numpy as np
@@ -96,6 +97,43 @@ def test_language_of_odd_rows(spark):
     assert {r.lang_pred for r in language.predict(df, language.train(bare)).collect()} == {"und"}
 
 
+def test_language_scores_equal_dense_kernel_ridge(spark):
+    """With every taught text a landmark the scores are those of kernel ridge regression on sets of n-grams."""
+    rnd = random.Random(8)
+    words = {"aa": "kala mina suro tepa".split(), "bb": "wirk zoft haun kala".split(), "cc": "xiq oouv yee mina".split()}
+    rows = [(i, " ".join(rnd.choices(words[lang], k=rnd.randint(2, 9))), lang) for i, lang in enumerate("aa bb cc".split() * 14)]
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams(text):
+        return {text[i:i + n] for n in range(1, 5) for i in range(len(text) - n + 1)}
+
+    def kernel(a, b):
+        return np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in b] for x in a])
+
+    taught = sorted({r for r in rows if fold(r[0], 3) != 1})
+    own = [grams(t) for _, t, _ in taught]
+    target = np.array([[1.0 if lang == name else -1.0 for name in words] for *_, lang in taught])
+    alpha = np.linalg.solve(kernel(own, own) + 1e-2 * len(own) / 100 * np.eye(len(own)), target)
+    want = kernel([grams(t) for _, t, _ in rows], own) @ alpha
+    model = language.train(df, landmarks=3 * len(own))
+    assert model.languages == list(words)
+    got = model.scores([language.cells(t) for _, t, _ in rows], model.places())
+    assert np.abs(got - want).max() < 0.02
+
+
+def test_language_of_long_texts_and_repeated_ids(spark):
+    rnd = random.Random(9)
+    common = {lang: ["".join(rnd.choices(letters, k=rnd.randint(2, 7))) for _ in range(400)] for lang, letters in (("aa", "abcdefghijklmno"), ("bb", "efghijklmnopqrs"))}
+    rows = [(i, " ".join(rnd.choices(common[lang], k=60)), lang) for i, lang in enumerate(["aa", "bb"] * 60)]
+    rows += [(4, " ".join(rnd.choices(common["aa"], k=60)), "aa") for _ in range(300)] + [(4, "qqq rrr", "bb")] * 200
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, rows_per_language=100, max_rows=150)
+    long = [(1000 + k, " ".join(rnd.choices(common[lang], k=180_000)), lang) for k, lang in enumerate(["aa", "bb"])]
+    got = language.predict(spark.createDataFrame(long, df.schema), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {i: lang for i, _, lang in long}
+
+
 def test_pipeline_stages_take_effect(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
