@@ -3,7 +3,8 @@
 A task cuts its texts into words and keeps the distinct ones of a block of about BLOCK_CHARS characters. Spark's
 higher-order functions encode each distinct word once: a fold over its bytes, each written as the symbol of its id, that
 merges the adjacent pair of lowest rank until no pair has a rank. The ranks are a literal: an array of small maps, picked
-by crc32, because a lookup in one large map would scan it. Decoding concatenates the binary pieces of the ids. Words stay with their block, so nothing is
+by crc32, because a lookup in one large map would scan it. A word of more than LONG bytes, which is rare, is merged in the task that
+cuts it, with a heap in place of the fold, so its time is near-linear. Decoding concatenates the binary pieces of the ids. Words stay with their block, so nothing is
 shuffled.
 """
 
@@ -14,6 +15,7 @@ import hashlib
 import json
 import zlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ BLOCK_CHARS = 8 << 20
 #: Code point of id 0 when ids are written as characters; above the surrogates, so any vocabulary's ids fit.
 FIRST = 0x10000
 DONE = "!"
+#: Longer words, in bytes, are merged with a heap by the task that cuts them: for the fold their time is quadratic.
+LONG = 2048
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -89,7 +93,39 @@ def encode_word(word: Column, merges: Column) -> Column:
         return F.when(F.endswith(s, F.lit(DONE)) | (F.length(s) < 2), s).otherwise(best)
 
     folded = F.aggregate(F.sequence(F.lit(1), F.length(word) - 1), word, step)
-    return F.when(F.length(word) < 2, word).otherwise(F.rtrim(folded, F.lit(DONE)))
+    return F.when(F.endswith(word, F.lit(DONE)), F.rtrim(word, F.lit(DONE))).when(F.length(word) < 2, word).otherwise(F.rtrim(folded, F.lit(DONE)))
+
+
+def merged_ids(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a long word: of all adjacent pairs the one of least rank, then the leftmost, is merged next.
+
+    The heap holds (rank, start, end of the left piece, end of the right piece); an entry whose pieces have changed is passed over.
+    """
+    n = len(word)
+    end = list(range(1, n + 1))
+    before = list(range(-1, n - 1))
+
+    def pair(i: int) -> tuple | None:
+        rank = ranks.get(word[i:end[end[i]]]) if i >= 0 and end[i] < n else None
+        return None if rank is None else (rank, i, end[i], end[end[i]])
+
+    heap = [p for p in map(pair, range(n)) if p]
+    heapify(heap)
+    while heap:
+        _, i, middle, stop = heappop(heap)
+        if end[i] != middle or end[middle] != stop:
+            continue
+        end[i], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = i
+        for p in (pair(before[i]), pair(i)):
+            if p:
+                heappush(heap, p)
+    ids, i = [], 0
+    while i < n:
+        ids.append(ranks[word[i:end[i]]])
+        i = end[i]
+    return ids
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
@@ -100,7 +136,7 @@ def decode_ids(ids: Column, pieces: Column) -> Column:
 def blocks(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Rows of about BLOCK_CHARS characters of texts: doc ids, words of each text, which word each is, distinct words.
 
-    A word is written as one symbol per byte.
+    A word is written as one symbol per byte, a long one as the symbols of its ids and DONE.
     """
     runs = class_runs()
     of_byte = np.array([symbol(ranks[bytes([b])]).encode("utf-8") for b in range(256)], "S4")
@@ -119,6 +155,12 @@ def blocks(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
             at = np.frombuffer(known.buffers()[1], np.int32)[known.offset:known.offset + len(known) + 1] if len(known) else np.zeros(1, np.int32)
             spelled = pa.Array.from_buffers(pa.string(), len(known), [None, pa.py_buffer((at * 4).astype(np.int32).tobytes()), pa.py_buffer(of_byte[raw].tobytes())])
+            lengthy = np.flatnonzero(np.diff(at) > LONG).tolist()
+            if lengthy:
+                whole = spelled.to_pylist()
+                for k in lengthy:
+                    whole[k] = "".join(map(symbol, merged_ids(known[k].as_py(), ranks))) + DONE
+                spelled = pa.array(whole, pa.string())
             which = np.concatenate([x.indices.to_numpy(zero_copy_only=False) for x in coded.chunks] or [np.zeros(0)]).astype(np.int32)
             return pa.RecordBatch.from_arrays([
                 pa.array([pa.concat_arrays(ids).to_pylist()], pa.list_(pa.int64())), pa.array([np.concatenate(counts)], pa.list_(pa.int32())),

@@ -40,6 +40,25 @@ def test_bpe_digest(spark):
     assert found(bpe.digest(frame(spark, rows), bpe.read_ranks(RANKS)), *DIGESTS) == brute.bpe(rows)
 
 
+def test_bpe_of_very_long_words(spark):
+    rnd = random.Random(2)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "ab", "a", "éa日", "etaoinshrdlu"]
+    rows = [(k, "".join(rnd.choices(kind, k=150_000))) for k, kind in enumerate(kinds)]
+    rows += [(10 + n, "x " + "".join(rnd.choices(kinds[4], k=bpe.LONG - 2 + n)) + " tail") for n in range(5)]
+    rows.append((20, "".join(rnd.choices(kinds[0], k=1_000_000)) + "!!"))
+    assert found(bpe.digest(frame(spark, rows), bpe.read_ranks(RANKS)), *DIGESTS) == brute.bpe(rows)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.binary(min_size=1, max_size=60))
+def test_heap_and_plain_merges_agree(word):
+    ranks = bpe.read_ranks(RANKS)
+    parts = [bytes([b]) for b in word]
+    while (best := min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)):
+        parts[best[1]:best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+    assert bpe.merged_ids(word, ranks) == [ranks[p] for p in parts]
+
+
 def test_bpe_round_trip(spark):
     ranks = bpe.read_ranks(RANKS)
     rows = odd_rows()[:40]
