@@ -25,7 +25,7 @@ from adjudica.llm.common import in_rows, texts
 from adjudica.llm.pretokens import class_runs, cut, in_slices
 
 BUCKETS = 1 << 16
-BLOCK_CHARS = 8 << 20
+BLOCK_CHARS = 6 << 20
 #: Code point of id 0 when ids are written as characters; above the surrogates, so any vocabulary's ids fit.
 FIRST = 0x10000
 DONE = "!"
@@ -133,6 +133,11 @@ def decode_ids(ids: Column, pieces: Column) -> Column:
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
 
 
+def decode_word(word: Column, pieces: Column) -> Column:
+    """Bytes of a word from the symbols of its ids."""
+    return decode_ids(F.transform(F.split(word, ""), lambda c: F.ascii(c) - F.lit(FIRST)), pieces)
+
+
 def blocks(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """Rows of about BLOCK_CHARS characters of texts: doc ids, words of each text, which word each is, distinct words.
 
@@ -191,18 +196,18 @@ def encoded_blocks(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]):
-    """(doc ids, word index, edges of texts in it, symbols of each word) of each block."""
+    """(doc ids, word index, edges of texts in it, and per word its symbols and other columns) of each block."""
     for batch in batches:
         for k in range(batch.num_rows):
             counts = batch.column("counts")[k].values.to_numpy()
             yield (batch.column("ids")[k].values, np.frombuffer(batch.column("which")[k].as_buffer(), np.int32),
-                   np.concatenate([[0], np.cumsum(counts)]).tolist(), batch.column("words")[k].values.to_numpy(zero_copy_only=False))
+                   np.concatenate([[0], np.cumsum(counts)]).tolist(), *(c[k].values.to_numpy(zero_copy_only=False) for c in batch.columns[3:]))
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """doc_id and ids (array<int>) of every row; a null or empty text has none. One output row per input row."""
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, which, edges, words in _rows(batches):
+        for ids, which, edges, words, *_ in _rows(batches):
             for d in range(len(ids)):
                 flat = [i - FIRST for w in which[edges[d]:edges[d + 1]].tolist() for i in map(ord, words[w])]
                 yield pa.RecordBatch.from_arrays([ids.slice(d, 1), pa.array([flat], pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -221,13 +226,11 @@ def digest(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     Ids are those of the tiktoken library without special tokens, whose strings are ordinary text. A null text is
     empty: no ids, digests of nothing. Repeated rows and ids give a row each; an empty table gives none.
     """
-    pieces = {symbol(rank): piece for piece, rank in ranks.items()}
     names = {symbol(rank): str(rank) for rank in ranks.values()}
 
     def assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, which, edges, words in _rows(batches):
+        for ids, which, edges, words, decoded in _rows(batches):
             codes = [" ".join([names[c] for c in w]) for w in words]
-            decoded = [b"".join([pieces[c] for c in w]) for w in words]
             many = list(map(len, words))
             words = None
             n, a, b = [], [], []
@@ -239,4 +242,5 @@ def digest(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())],
                                              names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encoded_blocks(docs, ranks).mapInArrow(assembled, OUT)
+    decoded = let(piece_literal(ranks), lambda pieces: F.transform("words", lambda w: decode_word(w, pieces)))
+    return encoded_blocks(docs, ranks).withColumn("decoded", decoded).mapInArrow(assembled, OUT)
