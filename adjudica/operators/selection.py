@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from adjudica.constants import (
     BOOLEAN_FEATURES, CORRELATION_THRESHOLD, ENGINEERED_TOKENS, IMPORTANCE_DROP_PERCENTILE,
@@ -14,6 +15,7 @@ from adjudica.constants import (
 )
 from adjudica.operators.encode import raw_value
 from adjudica.operators.quality import missing_rates
+from adjudica.session import cut_lineage
 
 
 def drop_sparse(df: DataFrame, columns: Sequence[str],
@@ -23,26 +25,76 @@ def drop_sparse(df: DataFrame, columns: Sequence[str],
     return [c for c in present if rates[c] <= max_rate], [c for c in present if rates[c] > max_rate]
 
 
+_MOMENTS = ("i int, j int, n double, x double, y double, xx double, yy double, xy double, x0 double, x1 double, y0 double, y1 double, odd boolean")
+
+
+def _moments(width: int, block: int):
+    """A task's function: for each pair of columns the moments over the rows that have both values, one row per pair and task."""
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # [i, j] is about column i over the rows that also have column j.
+        n, mean, square, cross = (np.zeros((width, width)) for _ in range(4))
+        low, high = np.full((width, width), np.inf), np.full((width, width), -np.inf)
+        odd = np.zeros((width, width), bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = np.stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            value = np.stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            finite = np.isfinite(value)
+            strange = (known & ~finite).astype(float)
+            value = np.where(known & finite, value, 0.0)
+            has = known.astype(float)
+            odd |= strange.T @ has > 0
+            centre = value.sum(0) / np.maximum(has.sum(0), 1)
+            off = np.where(known, value - centre, 0.0)
+            m = has.T @ has
+            own = np.maximum(m, 1)
+            total = off.T @ has
+            here = centre[:, None] + total / own
+            spread = np.maximum((off * off).T @ has - total * total / own, 0)
+            both = off.T @ off - total * total.T / own
+            for at in range(0, width, block):
+                for j in range(at, min(at + block, width)):
+                    rows = value[known[:, j]]
+                    mine = known[known[:, j]]
+                    low[:, j] = np.minimum(low[:, j], np.where(mine, rows, np.inf).min(0, initial=np.inf))
+                    high[:, j] = np.maximum(high[:, j], np.where(mine, rows, -np.inf).max(0, initial=-np.inf))
+            # Moments about the means of two parts are joined without a difference of large sums.
+            all_ = np.maximum(n + m, 1)
+            step = np.where(m > 0, np.where(n > 0, here - mean, 0.0), 0.0)
+            square += spread + step * step * n * m / all_
+            cross += both + step * step.T * n * m / all_
+            mean = np.where(n > 0, mean + step * m / all_, here)
+            n += m
+        i, j = np.triu_indices(width, 1)
+        i, j = i[n[i, j] > 0], j[n[i, j] > 0]
+        columns = [n[i, j], mean[i, j], mean[j, i], square[i, j], square[j, i], cross[i, j], low[i, j], high[i, j], low[j, i], high[j, i]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), *map(pa.array, columns), pa.array(odd[i, j] | odd[j, i])],
+            names=["i", "j", "n", "x", "y", "xx", "yy", "xy", "x0", "x1", "y0", "y1", "odd"])
+    return summed
+
+
 def correlations(df: DataFrame, columns: dict[str, Column], block: int = 48) -> DataFrame:
-    """(left, right, corr): Pearson over rows with both values; NULL for a constant side.
+    """(left, right, corr): Pearson over rows with both values; NULL for a constant side, NaN for a side that is not finite.
 
-    The pairs are taken in blocks, each one aggregate over a scan of its own columns, so a task sends one row per block
-    and no row is multiplied.
+    One scan serves all pairs: a task multiplies the matrices of its batches and sends a row per pair. An aggregate of
+    every pair's moments would be hundreds of buffers, which cannot be compiled, and a scan per block of pairs.
     """
     names = list(columns)
-    values = df.select(*[e.cast("double").alias(f"c{i}") for i, e in enumerate(columns.values())])
-    pairs = list(combinations(range(len(names)), 2))
-
-    def correlation(i: int, j: int) -> Column:
-        x, y = F.col(f"c{i}"), F.col(f"c{j}")
-        alike = F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
-        return F.struct(F.lit(names[i]).alias("left"), F.lit(names[j]).alias("right"), alike.alias("corr"))
-
-    parts = [values.agg(F.array(*[correlation(i, j) for i, j in pairs[at:at + block]]).alias("pairs")).select(F.inline("pairs"))
-             for at in range(0, len(pairs), block)]
-    if not parts:
+    pairs = [(i, j, names[i], names[j]) for i, j in combinations(range(len(names)), 2)]
+    if not pairs:
         return df.sparkSession.createDataFrame([], "left string, right string, corr double")
-    return reduce(DataFrame.unionAll, parts)
+    values = df.select(*[e.cast("double").alias(f"c{i}") for i, e in enumerate(columns.values())])
+    own = Window.partitionBy("i", "j")
+    parts = values.mapInArrow(_moments(len(names), block), _MOMENTS)
+    parts = parts.withColumns({c: F.col(c) - F.sum(F.col("n") * F.col(c)).over(own) / F.sum("n").over(own) for c in ("x", "y")})
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    flat = (F.min("x0") == F.max("x1")) | (F.min("y0") == F.max("y1"))
+    alike = F.sum(F.col("xy") + n * x * y) / F.sqrt(F.sum(F.col("xx") + n * x * x)) / F.sqrt(F.sum(F.col("yy") + n * y * y))
+    found = parts.groupBy("i", "j").agg(F.when(F.bool_or("odd"), F.lit(float("nan"))).when(~flat, alike).alias("corr"))
+    listed = df.sparkSession.createDataFrame(pairs, "i int, j int, left string, right string")
+    return listed.join(found, ["i", "j"], "left").select("left", "right", "corr")
 
 
 def _edges_below(value: Column, edges: Sequence[float]) -> Column:
@@ -63,11 +115,12 @@ def equal_depth_bins(df: DataFrame, columns: dict[str, Column], bins: int = 10)
 
 
 def mutual_information(df: DataFrame, discrete: dict[str, Column], label: str) -> DataFrame:
-    """(feature, mi) in nats between each discrete column and the label, in one shuffle."""
+    """(feature, mi) in nats between each discrete column and the label, in one shuffle of the rows."""
     entries = F.array(*[F.struct(F.lit(c).alias("feature"), F.coalesce(F.concat(F.lit("="), e.cast("string")), F.lit("")).alias("x"))
                         for c, e in discrete.items()])
     rows = df.select(F.explode(entries).alias("e"), F.col(label).alias("y")).select("e.*", "y")
-    joint = rows.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy"))
+    # Four readers share the counts, so the rows are multiplied and counted once.
+    joint = cut_lineage(rows.groupBy("feature", "x", "y").agg(F.count(F.lit(1)).alias("nxy")))
     by_x = joint.groupBy("feature", "x").agg(F.sum("nxy").alias("nx"))
     by_y = joint.groupBy("feature", "y").agg(F.sum("nxy").alias("ny"))
     total = joint.groupBy("feature").agg(F.sum("nxy").alias("n"))
@@ -103,10 +156,12 @@ def prune_raw(train: DataFrame, columns: Sequence[str], label: str = "penalty_se
     numeric = [c for c in dense if c in NUMERIC_FEATURES or c in BOOLEAN_FEATURES]
     kept, dropped = dense, []
     if len(numeric) > 1:
-        values = {c: raw_value(c) for c in numeric}
-        pairs = [(r.left, r.right, r.corr) for r in correlations(train, values).collect()]
-        discrete = equal_depth_bins(train, values) | {c: raw_value(c) for c in dense if c not in numeric}
-        scores = {r.feature: r.mi for r in mutual_information(train, discrete, label).collect()}
+        # Texts are cast once; every statistic below reads the values.
+        rows = cut_lineage(train.select(F.col(label).alias("_label"), *[raw_value(c).alias(f"x_{c}") for c in dense]))
+        values = {c: F.col(f"`x_{c}`") for c in numeric}
+        pairs = [(r.left, r.right, r.corr) for r in correlations(rows, values).collect()]
+        discrete = equal_depth_bins(rows, values) | {c: F.col(f"`x_{c}`") for c in dense if c not in numeric}
+        scores = {r.feature: r.mi for r in mutual_information(rows, discrete, "_label").collect()}
         kept, dropped = correlation_prune(pairs, scores, dense, numeric, threshold)
     report = [(c, "kept", None) for c in kept] + [(c, "missing", None) for c in sparse]
     report += [(a, "correlated", b) for a, b in dropped]

@@ -1,7 +1,10 @@
 """Readers of many files, the choice of documents, folds, and what the cascade records."""
 
 import csv
+import math
+from itertools import combinations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,3 +114,25 @@ def test_upsert_rewrites_touched_partitions_only(spark, tmp_path):
     assert got == {"x": (1, 0, "old", "keep"), "y": (1, 5, "new", None), "n1": (1, 6, "first", None), "n2": (1, 7, "second", None),
                    "z": (2, 0, "z", None), "q": (3, 0, "fresh", None)}
     assert files(2) == untouched
+
+
+def test_correlations_are_one_scan_and_exact(spark):
+    random = np.random.default_rng(5)
+    cells = random.normal(1e6, 3, (400, 12)).round(3)
+    cells[:, 4] = cells[:, 3] * 2 + 1
+    gone = random.random(cells.shape) < 0.2
+    gone[:, 5] = gone[:, 3] & ~gone[:, 2]
+    rows = [tuple(None if g else float(v) for v, g in zip(vs, gs)) + (0.1, float("nan") if k == 7 else float(k), None) for k, (vs, gs) in enumerate(zip(cells, gone))]
+    names = [f"k{i}" for i in range(15)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(7)
+    found = selection.correlations(df, {n: F.col(n) for n in names})
+    assert plan_of(found).count("MapInArrow") == 1 and "Union" not in plan_of(found)
+    got = {(r.left, r.right): r["corr"] for r in found.collect()}
+    assert len(got) == 105
+    for i, j in combinations(range(12), 2):
+        both = ~gone[:, i] & ~gone[:, j]
+        assert abs(got[(f"k{i}", f"k{j}")] - np.corrcoef(cells[both, i], cells[both, j])[0, 1]) < 1e-9
+    assert all(got[(f"k{i}", "k12")] is None and got[(f"k{i}", "k14")] is None for i in range(12))
+    assert math.isnan(got[("k0", "k13")]) and got[("k13", "k14")] is None
+    none = {(r.left, r.right): r["corr"] for r in selection.correlations(df.where("false"), {n: F.col(n) for n in names}).collect()}
+    assert len(none) == 105 and set(none.values()) == {None}
