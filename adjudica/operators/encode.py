@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,6 +13,8 @@ from adjudica.operators.features import assert_no_leakage
 from adjudica.operators.running import dense_code, running
 from adjudica.session import cut_lineage
 
+#: A dictionary of at most this many values is sent to every task: shuffled by three values, the rows would fill three tasks.
+SMALL = 10_000
 METADATA = ("penalty", "row_id", "incident_id", "session", "season", "penalty_severity", "split")
 
 
@@ -84,6 +86,7 @@ class Encoder:
     numeric: list[str]
     fills: dict[str, float | str]
     codes: DataFrame
+    sizes: dict[str, int] = field(default_factory=dict)
 
     @property
     def output_columns(self) -> list[str]:
@@ -97,6 +100,7 @@ class Encoder:
         for c in self.categorical:
             codes = self.codes.where(F.col("column") == c).select(
                 F.col("value").alias(f"v_{c}"), F.col("code").alias(f"cat__{c}"))
+            codes = F.broadcast(codes) if self.sizes.get(c, SMALL + 1) <= SMALL else codes
             rows = rows.withColumn(f"v_{c}", F.coalesce(f"x_{c}", F.lit(self.fills[c]))).join(codes, f"v_{c}", "left")
         return rows.select(
             *kept,
@@ -116,7 +120,8 @@ def fit_encoder(train: DataFrame, columns: Sequence[str]) -> Encoder:
         # The dictionary is read once per column, so its small table is materialised.
         counts = cut_lineage(category_counts(raw, categorical))
         fills |= {r["column"]: r["value"] for r in most_frequent(counts).collect()}
+        sizes = {r["column"]: r["count"] for r in counts.groupBy("column").count().collect()}
         codes = cut_lineage(ordinal_codes(counts))
     else:
-        codes = train.sparkSession.createDataFrame([], "column string, value string, code long")
-    return Encoder([c for c in categorical if c in fills], [c for c in numeric if c in fills], fills, codes)
+        codes, sizes = train.sparkSession.createDataFrame([], "column string, value string, code long"), {}
+    return Encoder([c for c in categorical if c in fills], [c for c in numeric if c in fills], fills, codes, sizes)

@@ -32,7 +32,8 @@ ABLATION = (
 
 
 def weighted(train: DataFrame, label: str = LABEL, fixed_labels: int | None = None) -> DataFrame:
-    return train.join(class_weights(train, label, fixed_labels), label, "left")
+    """Each row with the weight of its class; the weights, one row per class, go to the rows, which stay where they are."""
+    return train.join(F.broadcast(class_weights(train, label, fixed_labels)), label, "left")
 
 
 def is_feature(name: str) -> bool:

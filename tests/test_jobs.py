@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adjudica.operators import documents, fill, learning, selection
+from adjudica.operators import documents, encode, fill, learning, selection
 from adjudica.plans import enrich
+from adjudica.session import cut_lineage
 from adjudica.sources import readers, writers
 
 
@@ -136,3 +137,17 @@ def test_correlations_are_one_scan_and_exact(spark):
     assert math.isnan(got[("k0", "k13")]) and got[("k13", "k14")] is None
     none = {(r.left, r.right): r["corr"] for r in selection.correlations(df.where("false"), {n: F.col(n) for n in names}).collect()}
     assert len(none) == 105 and set(none.values()) == {None}
+
+
+def test_class_weights_and_small_dictionaries_leave_the_rows_where_they_are(spark):
+    rows = spark.createDataFrame([(k % 3, ("Race", "Sprint", None)[k % 3], float(k)) for k in range(60)], "penalty_severity int, session string, lap double")
+    rows = cut_lineage(rows.withColumn("lap", F.col("lap").cast("string")))
+    weights = learning.weighted(rows)
+    assert "BroadcastHashJoin" in plan_of(weights) and "SortMergeJoin" not in plan_of(weights)
+    assert {r["weight"] for r in weights.collect()} == {1.0} and weights.count() == 60
+    coder = encode.fit_encoder(rows, ["session", "lap"])
+    coded = coder.transform(rows)
+    assert coder.sizes == {"session": 2} and "SortMergeJoin" not in plan_of(coded)
+    assert sorted({r["cat__session"] for r in coded.collect()}) == [0.0, 1.0] and coded.count() == 60
+    coder.sizes["session"] = encode.SMALL + 1
+    assert "SortMergeJoin" in plan_of(coder.transform(rows)) and sorted(coder.transform(rows).collect(), key=str) == sorted(coded.collect(), key=str)
