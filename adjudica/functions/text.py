@@ -12,7 +12,13 @@ from adjudica.constants import FIELD_LABELS, INCIDENT_TYPE_KEYWORDS
 from adjudica.functions.blanks import WS, as_col, or_empty, strip
 
 ODD_SPACES = "\u00a0\ufffd"
-_ASCII_WS = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+#: White space other than the blank.
+_NO_BLANK = r"\t-\r\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _runs(more: str = "") -> str:
+    """White space and ``more``, save single spaces; printable characters, nearly all, are passed over by one comparison."""
+    return rf"(?![!-~])(?! [!-~])(?:[ {_NO_BLANK}{more}]{{2,}}|[{_NO_BLANK}{more}])"
 
 
 def contains_any(text: Column, terms: Sequence[str]) -> Column:
@@ -23,17 +29,12 @@ def contains_any(text: Column, terms: Sequence[str]) -> Column:
 
 
 def squeeze(value: Column) -> Column:
-    """Every run of white space becomes one space.
-
-    ASCII texts, nearly all, are searched for single characters only, which is several times faster than for ranges, and
-    single spaces are left where they are.
-    """
-    plain = F.regexp_replace(value, rf"[{_ASCII_WS} ]{{2,}}|[{_ASCII_WS}]", " ")
-    return F.when(F.octet_length(value) == F.length(value), plain).otherwise(F.regexp_replace(value, f"{WS}+", " "))
+    """Every run of white space becomes one space; single spaces are left where they are."""
+    return F.regexp_replace(value, _runs(), " ")
 
 
 def normalize_text(value: Column | str) -> Column:
-    return F.trim(squeeze(plain_spaces(value)))
+    return F.trim(F.regexp_replace(or_empty(value), _runs(ODD_SPACES), " "))
 
 
 def plain_spaces(value: Column | str) -> Column:
@@ -53,12 +54,16 @@ def lowered(text: Column | str) -> Column:
 
 _STOPS = f"(?:{'|'.join(FIELD_LABELS)})"
 #: A block from behind its label on: at least a line, and all lines before the next label on a line of its own.
-_BLOCK = rf"(?i)\A{WS}*\n([^\n]++(?:\n(?!{_STOPS}{WS}*\n)[^\n]*+)*+)"
+_BLOCK = rf"{WS}*\n([^\n]++(?:\n(?!{_STOPS}{WS}*\n)[^\n]*+)*+)"
+
+
+def _name(label: str) -> str:
+    return re.escape(label).replace("\\ ", " ")
 
 
 def _searched(text: Column, label: str) -> Column:
     """The field wherever its label stands: under the label, else behind it in its line."""
-    name = re.escape(label).replace("\\ ", " ")
+    name = _name(label)
     block = F.regexp_extract(text, rf"(?is){name}{WS}*\n(.+?)(?=\n{_STOPS}{WS}*\n|\z)", 1)
     inline = F.regexp_extract(text, rf"(?is){name}{WS}+(.+?)(?={WS}+{_STOPS}{WS}+|\z)", 1)
     return F.when(block != "", block).otherwise(inline)
@@ -70,37 +75,32 @@ def _searched_reason(text: Column) -> Column:
     return F.when(block != "", block).otherwise(inline)
 
 
-def field_of(text: Column, low: Column, label: str) -> Column:
+def cut_field(text: Column, label: str) -> Column:
     """Body of a labelled field of ``plain_spaces`` text: a block under the label, else the rest of its line.
 
-    The first place of the label is looked up in the lower-case text; where a block begins there, it is cut by one
-    anchored match of its own length, so all fields together are read about once. Only a label that stands in a line
+    One match ends at the first place of the label, with the block that begins there. Only a label that stands in a line
     before it has a block, or has none, is searched for in the whole text.
     """
-    name = label.lower()
-    at = F.locate(name, low)
-    rest = F.substring(text, F.when(at > 0, at + len(name)).otherwise(F.length(text) + 1), F.length(text))
-    if name == "reason":
-        own = F.nullif(F.regexp_extract(rest, rf"(?s)\A{WS}*\n(.+)", 1), F.lit(""))
-        body = F.coalesce(own, F.when(at == 0, "").otherwise(_searched_reason(text)))
-        return normalize_text(F.split_part(body, F.lit("Competitors are reminded"), F.lit(1)))
-    own = F.nullif(F.regexp_extract(rest, _BLOCK, 1), F.lit(""))
-    return normalize_text(F.coalesce(own, F.when(at == 0, "").otherwise(_searched(text, label))))
+    if label.lower() == "reason":
+        own = F.nullif(F.regexp_extract(text, rf"(?is)Reason(?:{WS}*\n(.+))?", 1), F.lit(""))
+        return normalize_text(F.split_part(F.coalesce(own, _searched_reason(text)), F.lit("Competitors are reminded"), F.lit(1)))
+    own = F.nullif(F.regexp_extract(text, rf"(?i){_name(label)}(?:{_BLOCK})?", 1), F.lit(""))
+    return normalize_text(F.coalesce(own, _searched(text, label)))
+
+
+def field_of(text: Column, low: Column, label: str) -> Column:
+    """``cut_field`` where the lower-case text is at hand: one without the label is not matched."""
+    return F.when(low.contains(label.lower()), cut_field(text, label)).otherwise("")
 
 
 def extract_field(text: Column | str, label: str) -> Column:
-    """``field_of`` for a single field of a raw text."""
-    text = plain_spaces(text)
-    return field_of(text, lowered(text), label)
+    """``cut_field`` for a single field of a raw text."""
+    return cut_field(plain_spaces(text), label)
 
 
 def time_of(text: Column, low: Column) -> Column:
-    """``last_time_field`` of ``plain_spaces`` text: the block behind the last ``Time`` that has a line of its own."""
-    tail = F.substring_index(low, "\ntime\n", -1)
-    last = F.right(text, F.length(tail) + 1)
-    own = F.regexp_extract(last, _BLOCK, 1)
-    plain = (own != "") & ~low.rlike(rf"\ntime{WS}*\ntime\n") & ~tail.rlike(rf"\ntime{WS}*\n") & (F.length(tail) < F.length(text))
-    return F.when(~low.contains("\ntime"), "").when(plain, normalize_text(own)).otherwise(last_time_field(text))
+    """``last_time_field`` where the lower-case text is at hand."""
+    return F.when(low.contains("\ntime"), last_time_field(text)).otherwise("")
 
 
 def last_time_field(text: Column | str) -> Column:
@@ -117,10 +117,13 @@ def loose_title(title: Column | str) -> Column:
 
 def document_type(title: Column | str) -> Column:
     text = loose_title(title)
-    kind = F.lit("unknown")
-    for name in ("decision", "offence", "infringement", "summons"):
-        kind = F.when(text.rlike(rf"\b{name}\b"), name).otherwise(kind)
-    return kind
+
+    def named(name: str) -> Column:
+        return text.rlike(rf"\b{name}\b")
+
+    # One chain, in which the title is put in order once.
+    return (F.when(named("summons"), "summons").when(named("infringement"), "infringement").when(named("offence"), "offence")
+            .when(named("decision"), "decision").otherwise("unknown"))
 
 
 def title_for_matching(title: Column | str) -> Column:

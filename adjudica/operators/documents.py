@@ -13,23 +13,20 @@ _DECIDING = ("decision", "offence", "infringement")
 
 def parse_documents(raw: DataFrame) -> DataFrame:
     """``(document_id, event, season, title, raw_text)`` to typed fields and a confidence."""
-    text, low = F.col("_text"), F.col("_low")
-
-    def field(label: str) -> Column:
-        return tx.field_of(text, low, label)
-
-    read = raw.withColumn("_text", tx.plain_spaces("raw_text")).withColumn("_low", tx.lowered("_text"))
+    text, blank = F.col("_text"), F.lit("")
     labels = {"_driver": "No / Driver", "_fact": "Fact", "_offence": "Offence", "_decision": "Decision", "_reason": "Reason", "_session": "Session",
               "_document": "Document", "_date": "Date", "_clock": "Time", "_competitor": "Competitor"}
-    cut = read.select(*[F.col(f"`{c}`") for c in raw.columns], "_text", "_low", *[field(label).alias(name) for name, label in labels.items()],
-                      tx.time_of(text, low).alias("_own_time"))
+    kept = [F.col(f"`{c}`") for c in raw.columns]
+    read = raw.withColumn("_text", tx.plain_spaces("raw_text"))
+    cut = read.select(*kept, "_text", *[tx.cut_field(text, label).alias(name) for name, label in labels.items()],
+                      tx.last_time_field(text).alias("_own_time"), tx.document_type("title").alias("_kind"))
     # A generator stops the optimizer from repeating the cuts in the filters and keys above it.
-    blank = F.lit("")
-    lines = cut.select(*[F.col(f"`{c}`") for c in raw.columns], F.inline(F.array(F.struct(
-        *[F.col(name) for name in labels if name not in ("_offence", "_document")], "_own_time",
-        F.coalesce(F.nullif("_offence", blank), field("Infringement")).alias("_offence"),
-        F.coalesce(F.nullif("_document", blank), field("No")).alias("_document"))))).withColumns({
-            "_session": tx.document_session("_session"), "document_type": tx.document_type("title")})
+    lines = cut.select(*kept, F.inline(F.array(F.struct(
+        *[F.col(name) for name in labels if name not in ("_offence", "_document", "_session")], "_own_time",
+        tx.document_session("_session").alias("_session"),
+        F.coalesce(F.nullif("_offence", blank), tx.cut_field(text, "Infringement")).alias("_offence"),
+        F.coalesce(F.nullif("_document", blank), tx.cut_field(text, "No")).alias("_document"),
+        F.col("_kind").alias("document_type")))))
     offence = F.col("_offence")
     car = tx.car_number("_driver")
     fields = F.struct(

@@ -54,11 +54,11 @@ def _(spark, sf):
 
 @query("F02_extract_field", f"WITH f AS ({FIELDS_SQL}) SELECT document_id, fact, offence, decision, reason, document_no, date, incident_time FROM f")
 def _(spark, sf):
-    text, low = F.col("text"), F.col("low")
-    rows = roles.documents(spark, sf).select("document_id", tx.plain_spaces("raw_text").alias("text")).withColumn("low", tx.lowered("text"))
+    text = F.col("text")
+    rows = roles.documents(spark, sf).select("document_id", tx.plain_spaces("raw_text").alias("text"))
     labels = {"fact": "Fact", "offence": "Offence", "decision": "Decision", "reason": "Reason", "document_no": "Document", "date": "Date"}
-    return rows.select("document_id", *[tx.field_of(text, low, label).alias(name) for name, label in labels.items()],
-                       tx.time_of(text, low).alias("incident_time"))
+    return rows.select("document_id", *[tx.cut_field(text, label).alias(name) for name, label in labels.items()],
+                       tx.last_time_field(text).alias("incident_time"))
 _on_fields("F03_document_type", lambda: {"document_type": tx.document_type("title")}, f"{roles.KIND_SQL} AS document_type")
 _on_fields("F04_document_session", lambda: {"session": tx.document_session("session_text")}, f"{roles.DOC_SESSION_SQL} AS session")
 _on_fields("F05_rule_session", lambda: {"session": tx.rule_session("session_text")},
