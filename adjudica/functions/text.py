@@ -323,8 +323,8 @@ def id_slug(value: Column | str) -> Column:
 
 def section(tag: str, body: Column | str) -> Column:
     """``[TAG] body``, or NULL for an empty body so that concat_ws skips it."""
-    text = normalize_text(body)
-    return F.when(text != "", F.concat(F.lit(f"[{tag}] "), text))
+    # Not a condition on the text, which would be normalised again behind it.
+    return F.concat(F.lit(f"[{tag}] "), F.nullif(normalize_text(body), F.lit("")))
 
 
 def truncate(text: Column | str, max_length: int) -> Column:

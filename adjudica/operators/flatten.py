@@ -7,18 +7,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from adjudica.constants import (
     ALIGNMENT_EXEMPT, ALIGNMENT_GROUPS, DRIVER_FIELDS, MULTI_VALUE_COLUMNS, SHARED_COLUMNS,
 )
+from adjudica.functions.blanks import or_empty
 from adjudica.functions.multi import count_keep, pick, split_drop, split_keep
 
 
 def is_aligned(df: DataFrame) -> Column:
     """Every non-empty multi-value cell has as many values as there are drivers."""
-    n = count_keep("drivers")
-    ok = F.lit(True)
-    for name in MULTI_VALUE_COLUMNS:
-        if name in df.columns and name not in ALIGNMENT_EXEMPT:
-            size = count_keep(F.col(f"`{name}`"))
-            ok = ok & ((size == 0) | (size == n))
-    return ok
+    cells = [c for c in MULTI_VALUE_COLUMNS if c in df.columns and c != "drivers" and c not in ALIGNMENT_EXEMPT]
+    # One array of cells, the drivers first: each cell is read and counted once, also where the condition is negated.
+    sizes = F.transform(F.array(*[or_empty(F.col(f"`{c}`")) for c in ("drivers", *cells)]), count_keep)
+    return F.get(F.transform(F.array(sizes), lambda n: F.forall(n, lambda size: (size == 0) | (size == n[0]))), F.lit(0))
 
 
 def misaligned_groups(df: DataFrame) -> Column:

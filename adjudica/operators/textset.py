@@ -30,13 +30,14 @@ def build_text(profile: str = "fact_offence", metadata: bool = True) -> Column:
 def leakage(text: Column | str, decision: Column | str, reason: Column | str) -> Column:
     """A forbidden tag, or a decision or reason body of some length, occurs in the text."""
     body = or_empty(text)
+    return _leaks(body, normalize_text(body), decision, reason)
+
+
+def _leaks(body: Column, flat: Column, decision: Column | str, reason: Column | str) -> Column:
+    """``leakage`` of a text whose normalised form is at hand. Each field is normalised once."""
     tagged = F.upper(body).contains("[DECISION]") | F.upper(body).contains("[REASON]")
-    flat = F.lower(normalize_text(body))
-    found = tagged
-    for field in (decision, reason):
-        value = normalize_text(field)
-        found = found | ((F.length(value) >= _MIN_BODY) & flat.contains(F.lower(value)))
-    return found
+    told = F.array(normalize_text(decision), normalize_text(reason))
+    return tagged | F.exists(told, lambda value: (F.length(value) >= _MIN_BODY) & F.lower(flat).contains(F.lower(value)))
 
 
 def text_rows(rows: DataFrame, meta: DataFrame, docs: DataFrame, profile: str = "fact_offence",
@@ -49,7 +50,9 @@ def text_rows(rows: DataFrame, meta: DataFrame, docs: DataFrame, profile: str =
     side = meta.select("incident_id", "document_id", "parse_confidence", F.lit(True).alias("_meta"))
     # A text depends on its document alone: it is built there, once, and only it and its fault travel to the rows.
     built = docs.withColumn("_text", build_text(profile, metadata))
-    leaky = leakage("_text", "decision", "reason") if profile != "leaky_full" else F.lit(False)
+    # Sections are normalised; their joints alone are left.
+    flat = F.replace("_text", F.lit("\n"), F.lit(" "))
+    leaky = _leaks(F.col("_text"), flat, "decision", "reason") if profile != "leaky_full" else F.lit(False)
     body = built.select(F.col("document_id").alias("_of"), "_text", leaky.alias("_leaky"), F.lit(True).alias("_doc"))
     joined = rows.join(side, "incident_id", "left")
     # Rows without a document id match nothing; their own ids spread them.

@@ -5,6 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from adjudica.functions.text import section
 from adjudica.operators import compare, encode, fill, flatten, learning, metrics, quality, rules, selection, splits, textset
 from adjudica.plans import jobs
 from adjudica.rulesets import DEFAULT_RULES, rule
@@ -160,6 +161,33 @@ def test_text_leakage(spark):
     assert [r.v for r in df.select(textset.leakage("t", "d", "r").alias("v")).collect()] == [False, True, True]
 
 
+def test_cells_are_counted_and_texts_normalised_once(spark):
+    """Each in one place of the plan, however often it is asked for."""
+    cells = spark.range(3).selectExpr("string(id) AS incident_id", "concat(id, ',b') AS drivers", "concat('x', id) AS nationalities", "string(NULL) AS driver_points")
+    lost = flatten.misaligned_incidents(cells)
+    assert lost._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    assert lost.count() == 3 and flatten.flatten_incidents(cells.drop("nationalities")).count() == 6
+    facts = spark.range(2).selectExpr("if(id = 0, ' \t ', concat('  a \n\n b', id)) AS fact")
+    tagged = facts.select(section("FACT", "fact").alias("v"))
+    assert tagged._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    assert {r.v for r in tagged.collect()} == {None, "[FACT] a b1"}
+
+
+def test_leaky_texts_are_errors(spark):
+    docs = spark.createDataFrame(
+        [("d1", "Monaco", "the \n LONG  decision text", "A", "long\tdecision text", None), ("d2", "Monaco", "short", "B", "short", "told at\u00a0length"),
+         ("d3", "race told", "AT length", "C", "", "x [event] race told"), ("d4", None, None, None, "told [REASON]", "reason enough"), ("d5", "e", "ends here", "begins", "ends here [offence] begins", "")],
+        "document_id string, event string, fact string, offence string, decision string, reason string").withColumns(
+        {"session": F.lit("race"), "document_type": F.when(F.col("document_id") != "d4", "decision")})
+    rows = docs.select(F.concat(F.lit("i"), "document_id").alias("incident_id"))
+    meta = docs.select(F.concat(F.lit("i"), "document_id").alias("incident_id"), "document_id", F.lit(1.0).alias("parse_confidence"))
+    built = docs.select("document_id", textset.build_text().alias("t"), "decision", "reason").select(
+        F.concat(F.lit("i"), "document_id").alias("incident_id"), textset.leakage("t", "decision", "reason").alias("v"))
+    out = {r.incident_id: r.drop_reason for r in textset.text_rows(rows, meta, docs).collect()}
+    assert out == {"id1": "text_build_error", "id2": None, "id3": None, "id4": None, "id5": "text_build_error"}
+    assert {r.incident_id: r.v for r in built.collect()} == {k: v is not None for k, v in out.items()}
+
+
 def test_fusion_ties(spark):
     df = spark.createDataFrame([(0.4, 0.4, 0.2), (0.1, 0.2, 0.7)], "a double, b double, c double")
     assert [r.v for r in df.select(learning.argmax([F.col(c) for c in "abc"]).alias("v")).collect()] == [0, 2]
