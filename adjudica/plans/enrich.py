@@ -21,7 +21,7 @@ from adjudica.functions.text import id_slug, nationality_slug
 from adjudica.operators import lookup, match, points, quality
 from adjudica.operators.asof import Feed, last_match, nearest_match, scan
 from adjudica.operators.fill import RECORDS, fill_columns, fill_gap, latest_provenance, record_all, records, unfolded
-from adjudica.session import cut_lineage
+from adjudica.session import cut_lineage, written
 
 POSITIONS = "positions_of_involved parties"
 SUGGESTIONS = ("driver_at_fault_suggestion", "driver_at_fault_confidence", "severity_suggestion", "severity_confidence")
@@ -101,7 +101,9 @@ def note_standings(incidents: DataFrame, meta: DataFrame, calendar: DataFrame, s
                    team_standings: DataFrame, results: DataFrame, teams: DataFrame,
                    overwrite: bool = True, write_blanks: bool = False) -> DataFrame:
     rows = lookup.with_meta(incidents, meta.select("incident_id", "event", "car_number"))
-    found = match.ranked_rounds(rows, calendar).withColumnRenamed("round", "_round")
+    # The match asks for the events many times and is joined to two branches: events and rounds are each found once.
+    events = written(rows.select("season", "event").where(or_empty("event") != "").distinct(), "events")
+    found = written(match.ranked_rounds(events, calendar), "rounds").withColumnRenamed("round", "_round")
     races = calendar.select("season", F.col("round").alias("_round"), F.col("circuit_id").alias("_circuit"),
                             F.col("country").alias("_country"))
     rows = rows.join(found, ["season", "event"], "left").join(races, ["season", "_round"], "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from adjudica.operators import documents, encode, fill, learning, selection
+from adjudica.operators import documents, encode, fill, learning, quality, selection
 from adjudica.plans import enrich
 from adjudica.session import cut_lineage
 from adjudica.sources import readers, writers
@@ -151,3 +151,23 @@ def test_class_weights_and_small_dictionaries_leave_the_rows_where_they_are(spar
     assert sorted({r["cat__session"] for r in coded.collect()}) == [0.0, 1.0] and coded.count() == 60
     coder.sizes["session"] = encode.SMALL + 1
     assert "SortMergeJoin" in plan_of(coder.transform(rows)) and sorted(coder.transform(rows).collect(), key=str) == sorted(coded.collect(), key=str)
+
+
+def test_standings_read_the_documents_once_for_each_branch(spark):
+    """The rounds of events are found once, not again wherever a row or a driver needs one."""
+    rows = spark.createDataFrame(
+        [("a", 2020, "", "x_1,x_2"), ("a", 2020, "7", "x_2"), ("b", 2020, "", ""), (None, 2020, "", "x_1"), ("c", 2021, "", "x_1")],
+        "incident_id string, season int, round string, drivers string")
+    rows = quality.conform(rows).withColumn("season", F.col("season").cast("int"))
+    meta = spark.range(1234).where("id < 3").selectExpr("chr(int(97 + id)) AS incident_id", "if(id = 1, 'MONACO Grand Prix', 'Monaco') AS event", "string(id) AS car_number")
+    calendar = spark.createDataFrame([(2020, 3, "Monaco Grand Prix", "ring", "land"), (2020, 2, "Spa", "wood", "land")], "season int, round int, race_name string, circuit_id string, country string")
+    standing = "season int, round int, ordinal int, driver_id string, family_name string, code string, nationality string, position string, points string, constructor_id string"
+    standings = spark.createDataFrame([(2020, 2, k, f"x-{k}", f"F{k}", f"C{k}", "n", str(k), str(9 - k), "t") for k in (1, 2)], standing)
+    by_team = spark.createDataFrame([(2020, 2, "t", "1", "15")], "season int, round int, constructor_id string, position string, points string")
+    results = spark.createDataFrame([(2020, 3, "1", "x-1", 1)], "season int, round int, number string, driver_id string, seq long")
+    teams = spark.createDataFrame([("t", 1, ["u"])], "team_id string, ordinal int, legacy_ids array<string>")
+    noted = enrich.note_standings(rows, meta, calendar, standings, by_team, results, teams)
+    assert noted._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 1234") == 2
+    got = sorted((r.incident_id or "", r["round"], r.circuit, r.drivers, r.driver_standings) for r in noted.collect())
+    assert got == [("", "", "", "x_1", ""), ("a", "3", "ring", "x_1,x_2", "1,2,2"), ("a", "7", "ring", "x_2", "1,2,2"),
+                   ("b", "3", "ring", "x_1", "1"), ("c", "", "", "x_1", "")]
